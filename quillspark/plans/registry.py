@@ -1,9 +1,43 @@
-"""Registered queries and their SQL."""
+"""Registered queries, each with SQL that DuckDB runs on the same tables where SQL can express it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import importlib
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "search", "entities", "incremental")
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Callable], Callable]:
+    """Registers build(t), where t(name) is a table, under the function's name."""
+
+    def register(build: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        _queries[build.__name__] = run
+        if sql:
+            _sql[build.__name__] = sql
+        return build
+
+    return register
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"quillspark.plans.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_sql)
