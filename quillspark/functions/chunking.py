@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACE_CHARS, strip
+
 #: Fixed value: a last chunk below this share of the limit joins the one before.
 TAIL = 0.15
 
 
 def _filled(parts: Column) -> Column:
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: strip(p)), lambda p: p != "")
 
 
 def pack(parts: Column, limit: int, separator: str) -> Column:
@@ -61,22 +63,23 @@ def paragraph_chunks(c: Column, limit: int) -> Column:
 
 def markdown_chunks(c: Column, limit: int) -> Column:
     """Sections, each a heading with what follows, in chunks; a section that is too long is split by paragraphs."""
-    sections = _filled(F.split(F.trim(c), r"(?m)(?=^#{1,6} )"))
+    sections = _filled(F.split(strip(c), r"(?m)(?=^#{1,6} )"))
     pieces = F.flatten(F.transform(sections, lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(paragraph_chunks(s, limit))))
     return let(let(pieces, lambda p: pack(p, limit, "\n\n")), lambda ch: merge_tail(ch, limit, "\n\n"))
 
 
 def chapters(c: Column) -> Column:
     """Chapters by H1 (two or more, or nothing else) or H2 headings: position, level, title, text; a preamble first."""
-    body = F.rtrim(c)
+    body = F.rtrim(c, F.lit(SPACE_CHARS))
     ones, twos = F.regexp_count(body, F.lit(r"(?m)^# \S")), F.regexp_count(body, F.lit(r"(?m)^## \S"))
     level = F.when((ones >= 2) | ((ones > 0) & (twos == 0)), 1).otherwise(2)
     parts = F.when(level == 1, F.split(body, r"(?m)(?=^# \S)")).otherwise(F.split(body, r"(?m)(?=^## \S)"))
-    kept = F.filter(parts, lambda p: F.trim(p) != "")
+    kept = F.filter(parts, lambda p: strip(p) != "")
 
     def of(p: Column, i: Column) -> Column:
         heading = F.regexp_extract(p, r"^(?:#{1,2} )([^\n]*)", 1)
-        title = F.when(p.rlike(r"^#{1,2} \S"), F.trim(F.regexp_replace(heading, r"[\s#]+$", ""))).otherwise("(wstęp)")
+        opens = F.when(level == 1, p.rlike(r"^# \S")).otherwise(p.rlike(r"^## \S"))
+        title = F.when(opens, F.trim(F.regexp_replace(heading, r"[\s#]+$", ""))).otherwise("(wstęp)")
         return F.struct((i + 1).alias("position"), level.alias("level"), title.alias("title"), F.length(p).alias("length"))
 
     return F.when(ones + twos == 0, F.filter(F.transform(kept, of), lambda x: F.lit(False))).otherwise(F.transform(kept, of))

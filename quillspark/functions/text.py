@@ -13,6 +13,14 @@ FILLERS = r"(?i)\b(eee+|yyy+|mmm+|hmm+|um+|uh+)\b[,.]?"
 BYLINE_NOISE = ("obserwuj", "autor", "autorzy", "autorka", "red.", "redakcja", "opracowanie")
 
 
+#: ASCII white space, as trim characters.
+SPACE_CHARS = " \t\n\x0b\f\r"
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
 def unaccent(c: Column) -> Column:
     return F.translate(c, MARKED, PLAIN)
 
@@ -28,18 +36,20 @@ def slug(c: Column) -> Column:
 
 def cut_from_last(c: Column, pattern: str) -> Column:
     """Without the last match of the pattern and what follows it."""
-    return F.regexp_replace(c, f"(?s)^(.*)(?:{pattern}).*$", "$1")
+    last = F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(-1))
+    tail = F.length(last) + F.length(F.try_element_at(F.split(c, pattern), F.lit(-1)))
+    return F.when(last.isNotNull(), F.left(c, F.length(c) - tail)).otherwise(c)
 
 
 def after_first(c: Column, pattern: str) -> Column:
     """What follows the first match, trimmed; all of it where nothing matches."""
-    return F.when(c.rlike(f"(?s){pattern}"), F.trim(F.regexp_replace(c, f"(?s)^.*?(?:{pattern})", ""))).otherwise(c)
+    return F.when(c.rlike(f"(?s){pattern}"), strip(F.regexp_replace(c, f"(?s)^.*?(?:{pattern})", ""))).otherwise(c)
 
 
 def through_first(c: Column, pattern: str) -> Column:
     """Up to and with the first match, trimmed; all of it where nothing matches."""
     found = F.regexp_extract(c, f"(?s)^(.*?(?:{pattern}))", 1)
-    return F.when(found != "", F.trim(found)).otherwise(c)
+    return F.when(found != "", strip(found)).otherwise(c)
 
 
 def without_lines(c: Column, pattern: str) -> Column:
@@ -65,7 +75,7 @@ def distinct_by_key(items: Column, key) -> Column:
 
 def author_names(c: Column) -> Column:
     """The names of a byline, without noise words, the first of equals in any case."""
-    parts = F.transform(F.split(c, r"(?i)[,;/\n]|\bi\b|\boraz\b"), lambda p: F.trim(p))
+    parts = F.transform(F.split(c, r"(?i)[,;/\n]|\bi\b|\boraz\b"), lambda p: strip(p))
     return distinct_by_key(F.filter(parts, lambda p: (p != "") & ~F.lower(p).isin(*BYLINE_NOISE)), F.lower)
 
 
@@ -77,7 +87,7 @@ def without_fillers(c: Column) -> Column:
 
 def speakers(c: Column, first: str, second: str) -> Column:
     """Turns marked >> given to two speakers alternately; empty parts count as turns but aren't shown."""
-    said = F.transform(F.split(c, ">>"), lambda p, i: F.struct(F.trim(p).alias("t"), F.when(i % 2 == 0, first).otherwise(second).alias("who")))
+    said = F.transform(F.split(c, ">>"), lambda p, i: F.struct(strip(p).alias("t"), F.when(i % 2 == 0, first).otherwise(second).alias("who")))
     return F.array_join(F.transform(F.filter(said, lambda s: s["t"] != ""), lambda s: F.concat(s["who"], F.lit(": "), s["t"])), "\n")
 
 

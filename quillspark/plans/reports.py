@@ -69,10 +69,11 @@ def usage_docs(t):
     return per.orderBy(F.desc_nulls_last("amount"), F.asc("user_id")).limit(50)
 
 
-@query("SELECT ts::DATE::VARCHAR AS day, event_type = 'error' AS failed, count(*) AS n, round(avg(value::DECIMAL(18,2)), 4)::DOUBLE AS mean_value FROM events GROUP BY 1, 2")
+@query("SELECT ts::DATE::VARCHAR AS day, event_type = 'error' AS failed, count(*) AS n, (sum(value::DECIMAL(18,2)) * 100)::BIGINT // count(value) AS mean_cents FROM events GROUP BY 1, 2")
 def latency_daily(t):
-    mean = F.round(money("value").cast("double") / F.count("value"), 4)
-    return usage(t).groupBy(F.to_date("ts").cast("string").alias("day"), (~F.col("success")).alias("failed")).agg(F.count("*").alias("n"), mean.alias("mean_value"))
+    cents = (money("value") * 100).cast("long").alias("cents")
+    found = usage(t).groupBy(F.to_date("ts").cast("string").alias("day"), (~F.col("success")).alias("failed")).agg(F.count("*").alias("n"), cents, F.count("value").alias("known"))
+    return found.select("day", "failed", "n", F.expr("cents div known").alias("mean_cents"))
 
 
 @query(f"SELECT {TOKENS} AS code, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, code LIMIT 10")

@@ -16,8 +16,8 @@ def sha_ids(t):
 
 
 @query(r"""
-SELECT doc_id, length(regexp_replace(text, '(?s)^(.*)(?:the ).*$', '\1')) AS before_last, length(CASE WHEN regexp_matches(text, '(?s)the ') THEN trim(regexp_replace(text, '(?s)^.*?(?:the )', '')) ELSE text END) AS after_first,
-length(CASE WHEN regexp_extract(text, '(?s)^(.*?(?:the ))', 1) <> '' THEN trim(regexp_extract(text, '(?s)^(.*?(?:the ))', 1)) ELSE text END) AS through_first, length(regexp_replace(text, '[0-9]+', '', 'g')) AS no_digits FROM documents
+SELECT doc_id, length(regexp_replace(text, '(?s)^(.*)(?:the ).*$', '\1')) AS before_last, length(CASE WHEN regexp_matches(text, '(?s)the ') THEN trim(regexp_replace(text, '(?s)^.*?(?:the )', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END) AS after_first,
+length(CASE WHEN regexp_extract(text, '(?s)^(.*?(?:the ))', 1) <> '' THEN trim(regexp_extract(text, '(?s)^(.*?(?:the ))', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) ELSE text END) AS through_first, length(regexp_replace(text, '[0-9]+', '', 'g')) AS no_digits FROM documents
 """)
 def regex_cut(t):
     c = F.col("text")

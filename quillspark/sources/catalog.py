@@ -40,7 +40,7 @@ def objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per text file: path and text."""
-    return spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
