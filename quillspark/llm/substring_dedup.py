@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 from .fm_index import ShardIndex
 
 #: An odd multiplier, its inverse modulo 2**64, and two odd mixers.
@@ -78,8 +78,28 @@ def split(text) -> list[bytes]:
     return text.as_py().encode().split() if text.is_valid else []
 
 
+#: A place is one long, in the order of texts of an id and of words: 16 bits of the text's hash, 32 of the first word, 10 of the number of windows.
+COUNT_BITS, START_BITS = 10, 32
+
+
+def place(version: Column, start: Column, windows: Column) -> Column:
+    return F.shiftleft(version.cast("long"), START_BITS + COUNT_BITS) + F.shiftleft(start.cast("long"), COUNT_BITS) + windows
+
+
+def version_of(at: Column) -> Column:
+    return F.shiftright(at, START_BITS + COUNT_BITS).cast("int")
+
+
+def start_of(at: Column) -> Column:
+    return F.shiftright(at, COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+
+
+def windows_of(at: Column) -> Column:
+    return at.bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+
+
 def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, version, start, windows, key, body) of every segment of the texts in docs (id, version, text)."""
+    """(id, at, key, body) of every segment of the texts in docs (id, version, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -95,7 +115,8 @@ def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             key, body, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(body)], names=["id", "version", "start", "windows", "key", "body"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version int, start int, windows int, key long, body long")
+    rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version int, start int, windows int, key long, body long")
+    return rows.select("id", place(F.col("version"), F.col("start"), F.col("windows")).alias("at"), "key", "body")
 
 
 def shard_texts(wanted: DataFrame, window: int) -> DataFrame:
@@ -211,23 +232,32 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, shard_wor
     Null ids come before all others. Rows that repeat an id and text are one document and are treated alike; other texts
     of an id come in the order of a hash of the text. Other columns are ignored. An empty table gives an empty table.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("version"), F.col(text_col).alias("text"))
+    if not 1 <= gram <= window < 1 << COUNT_BITS:
+        raise ValueError(f"1 <= gram <= window < {1 << COUNT_BITS} must hold")
+    version = F.hash(text_col).bitwiseAND(F.lit(0xFFFF))
+    texts = docs.select(F.col(id_col).alias("id"), version.alias("version"), F.col(text_col).alias("text"))
     found = segment_rows(texts, window, gram)
     often = found.groupBy("key").count().where(F.col("count") > 1).select("key")
-    again = cut(found.join(often, "key"))
-    place = F.struct("id", "version", "start")
-    firsts = cut(again.groupBy("key", "body").agg(F.count("*").alias("times"), F.min(place).alias("first"), F.max("windows").alias("windows")))
-    copies = again.join(firsts.where("times > 1").select("key", "body", "first"), ["key", "body"]).where(~place.eqNullSafe(F.col("first"))).select("id", "version", "start", "windows")
-    mixed_keys = firsts.groupBy("key").count().where(F.col("count") > 1).select("key", (F.col("count") > hot_contents).alias("hot"))
-    unsure = firsts.join(mixed_keys, "key").select("first.*", "windows", "key", "hot")
-    wanted = unsure.groupBy("id", "version").agg(F.collect_list(F.struct("key", "start", "windows", "hot")).alias("ranges"))
+    again = stored(found.join(often, "key"))
+    first = F.struct("id", "at")
+    spread = lambda rows: rows.select("id", version_of(F.col("at")).alias("version"), start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"))
+    firsts = stored(again.groupBy("key", "body").agg(F.count("*").alias("times"), F.min(first).alias("first")))
+    copies = spread(again.join(firsts.where("times > 1").select("key", "body", "first"), ["key", "body"]).where(~first.eqNullSafe(F.col("first"))))
+    contents = firsts.groupBy("key").count().where(F.col("count") > 1).select("key", (F.col("count") > hot_contents).alias("hot"))
+    unsure = firsts.join(contents, "key").select("first.id", "first.at", "key", "hot")
+    range_of = F.struct("key", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"), "hot")
+    wanted = unsure.groupBy("id", version_of(F.col("at")).alias("version")).agg(F.collect_list(range_of).alias("ranges"))
     rename = lambda df: df.withColumnsRenamed({"id": "i", "version": "v"})
     same = texts["id"].eqNullSafe(F.col("i")) & (texts["version"] == F.col("v"))
-    pieces = cut(shard_texts(texts.join(rename(wanted), same), window))
+    pieces = shard_texts(texts.join(rename(wanted), same).select("id", "version", "text", "ranges"), window)
+    late = copies
+    if not contents.where("hot").isEmpty():
+        pieces = stored(pieces)
+        single = pieces.where(F.col("piece").isNull())
+        where = F.struct("id", "version", "start")
+        earliest = single.groupBy("key", "body").agg(F.min(where).alias("first"))
+        late = late.unionByName(single.join(earliest, ["key", "body"]).where(~where.eqNullSafe(F.col("first"))).select("id", "version", "start", "windows"))
     searched = search_shards(pieces.where(F.col("piece").isNotNull()), window, shard_words)
-    hot = pieces.where(F.col("piece").isNull())
-    hot_first = hot.groupBy("key", "body").agg(F.min(place).alias("first"))
-    hot_copies = hot.join(hot_first, ["key", "body"]).where(~place.eqNullSafe(F.col("first"))).select("id", "version", "start", "windows")
-    ranges = copies.unionByName(searched).unionByName(hot_copies).groupBy("id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
+    ranges = late.unionByName(searched).groupBy("id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
     joined = texts.join(rename(ranges), same, "left").select("id", "text", "ranges")
     return remove_ranges(joined, window).withColumnRenamed("id", id_col)
