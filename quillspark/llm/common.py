@@ -44,6 +44,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row: filters and projections above are not merged with it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def lower_az(text: Column) -> Column:
     """Lower-cases A-Z only; other letters stay. Pure ASCII takes the fast path."""
     az = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
@@ -61,5 +66,7 @@ def steps(n: Column) -> Column:
 
 
 def with_columns(df: DataFrame, drop: list[str], **new: Column) -> DataFrame:
-    """Adds columns (over any of the same name) and drops helpers in one projection."""
-    return df.select(*[df[c] for c in df.columns if c not in drop and c not in new], *[v.alias(k) for k, v in new.items()])
+    """Adds columns (over any of the same name in any case) and drops helpers in one projection."""
+    gone = {c.lower() for c in [*drop, *new]}
+    quoted = lambda c: f"`{c.replace('`', '``')}`"
+    return df.select(*[df[quoted(c)] for c in df.columns if c.lower() not in gone], *[v.alias(k) for k, v in new.items()])

@@ -47,34 +47,58 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class ShardIndex:
-    """The index of several segments; symbols are word numbers from 1, separators stand between segments."""
+    """The index of several segments of word numbers, over symbols of q words each.
 
-    def __init__(self, segments: list[np.ndarray]):
-        lengths = np.array([len(s) for s in segments])
-        self.starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-        n = int((lengths + 1).sum())
-        words = np.zeros(n, np.uint32)
-        inside = np.ones(n, bool)
-        inside[self.starts + lengths] = False
-        words[inside] = np.concatenate(segments)
-        top = int(words.max())
-        text = words.astype(np.int64) + len(segments)
-        text[~inside] = np.arange(len(segments))
-        self.words, self.order = words, suffix_array(text)
-        self.less = len(segments) + np.concatenate(([0], np.cumsum(np.bincount(words[inside], minlength=top + 1))[:-1])) if top else np.zeros(1, np.int64)
-        self.bwt = WaveletMatrix(words[self.order - 1], top)
+    A segment is laid out as q sequences, one for each phase: the symbols at places p, p + q, p + 2q, ... So q * k words
+    from any place are k symbols in a row, and a search takes k steps. Separators stand between sequences.
+    """
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, q: int):
+        self.q = q
+        self.starts = np.cumsum(lengths) - lengths
+        symbols, have = words.astype(np.int64), 1
+        while have < q:  # numbers of 2, 3, 4 words in a row from those of fewer
+            more = min(have, q - have)
+            pair = symbols[: len(symbols) - more] * (int(symbols.max(initial=0)) + 1) + symbols[more:]
+            symbols, have = np.unique(pair, return_inverse=True)[1], have + more
+        segment = np.repeat(np.arange(len(lengths)), lengths)
+        offset = np.arange(len(words)) - self.starts[segment]
+        at = np.flatnonzero(offset + q <= lengths[segment])  # a symbol lies within its segment
+        phase = segment[at] * q + offset[at] % q
+        order = np.lexsort((offset[at], phase))
+        at, phase = at[order], phase[order]
+        lane = np.cumsum(np.concatenate(([0], phase[1:] != phase[:-1]))) if len(at) else phase
+        lanes = int(lane[-1]) + 1 if len(at) else 0
+        here = np.arange(len(at)) + lane  # a separator after each sequence
+        size = len(at) + lanes
+        self.top = int(symbols[at].max(initial=-1)) + 1
+        self.symbols = np.zeros(size, np.uint32)
+        self.symbols[here] = symbols[at] + 1
+        self.row = np.full(len(words), -1, np.int64)
+        self.row[at] = here
+        word_at = np.full(size, len(words), np.int64)
+        word_at[here] = at
+        text = self.symbols.astype(np.int64) + lanes
+        gaps = np.ones(size, bool)
+        gaps[here] = False
+        text[gaps] = np.arange(lanes)
+        suffixes = suffix_array(text)
+        self.place = word_at[suffixes]
+        self.less = lanes + np.concatenate(([0], np.cumsum(np.bincount(self.symbols[here], minlength=self.top + 1))[:-1]))
+        self.bwt = WaveletMatrix(self.symbols[suffixes - 1], self.top)
 
     def repeats(self, places: np.ndarray, length: int) -> np.ndarray:
-        """For windows of `length` words at places of the indexed text: the earliest place that reads the same.
+        """For windows of `length` words (a multiple of q) at places of the words: the earliest place that reads the same.
 
         Matching statistics by backward search, capped at `length`: a window leaves the search once its interval holds one
         suffix, as its match then ends below the cap. Equal windows share an interval, so minima are taken once for each.
         """
         earliest = places.copy()
         which = np.arange(len(places))
-        lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(self.words), np.int64)
-        for back in range(length - 1, -1, -1):
-            symbols = self.words[places[which] + back]
+        rows = self.row[places]
+        lo, hi = np.zeros(len(places), np.int64), np.full(len(places), len(self.symbols), np.int64)
+        for back in range(length // self.q - 1, -1, -1):
+            symbols = self.symbols[rows[which] + back]
             ranks = self.bwt.rank(np.concatenate((symbols, symbols)), np.concatenate((lo, hi)))
             lo, hi = self.less[symbols] + ranks[: len(which)], self.less[symbols] + ranks[len(which) :]
             many = hi - lo > 1
@@ -85,6 +109,5 @@ class ShardIndex:
         ends = np.zeros(len(begins), np.int64)
         ends[which_of] = hi
         edges = np.stack((begins, ends), axis=1).ravel()
-        order = np.append(self.order, 0)
-        earliest[which] = np.minimum.reduceat(order, edges)[::2][which_of]
+        earliest[which] = np.minimum.reduceat(np.append(self.place, len(self.row)), edges)[::2][which_of]
         return earliest

@@ -3,43 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .fm_index import ShardIndex
-
-#: An odd multiplier, its inverse modulo 2**64, and two odd mixers.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there are fewer than a million."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    out[1:] = np.uint64(base)
-    return np.multiply.accumulate(out)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    for m in MIX:
-        x = (x ^ (x >> np.uint64(33))) * m
-    return x ^ (x >> np.uint64(33))
-
+from .word_hashes import spans, word_blocks
 
 def least_places(grams: np.ndarray, span: int) -> np.ndarray:
     """For each window of `span` grams, the place of its least, the leftmost of equals."""
@@ -52,26 +27,25 @@ def least_places(grams: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def segments_of(words: list[bytes], hashes: WordHashes, window: int, gram: int) -> tuple[np.ndarray, ...] | None:
-    """(key, body, start, windows) of the segments of a text: neighbouring windows whose least gram is the same one.
+def segments_of(h: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, key, body) of the segments of a block of texts: neighbouring windows whose least gram is the same one.
 
     key is the gram's hash, body hashes all words of the segment. Equal windows have equal keys, wherever they stand.
     """
-    n = len(words)
-    if n < window:
-        return None
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    weights = powers(BASE, n + 1)
-    grams = h[: n - gram + 1].copy()
-    for j in range(1, gram):
-        grams += h[j : n - gram + 1 + j] * weights[j]
-    grams = mixed(grams)
+    n = len(h) - window + 1
+    if n < 1:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    grams = spans(h, np.arange(len(h) - gram + 1), np.arange(gram, len(h) + 1))
     at = least_places(grams, window - gram + 1)
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    counts = np.diff(np.append(starts, len(at)))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * weights[:n], dtype=np.uint64)))
-    bodies = mixed((sums[starts + counts - 1 + window] - sums[starts]) * powers(INVERSE, n)[starts])
-    return grams[at[starts]].view(np.int64), bodies.view(np.int64), starts, counts
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inside = text[:n] == text[window - 1 :]
+    new = np.ones(n, bool)
+    new[1:] = (at[1:] != at[:-1]) | ~inside[:-1]
+    starts = np.flatnonzero(new & inside)
+    breaks = np.append(np.flatnonzero(new | ~inside), n)
+    counts = breaks[np.searchsorted(breaks, starts, "right")] - starts
+    bodies = spans(h, starts, starts + counts - 1 + window)
+    return text[starts], starts - bounds[text[starts]], counts, grams[at[starts]].view(np.int64), bodies.view(np.int64)
 
 
 def split(text) -> list[bytes]:
@@ -102,18 +76,11 @@ def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, at, key, body) of every segment of the texts in docs (id, version, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found, rows = [], []
-            for k, text in enumerate(batch.column(2)):
-                if (s := segments_of(split(text), hashes, window, gram)) is not None:
-                    found.append(s)
-                    rows.append(np.full(len(s[0]), k))
-            if not found:
-                continue
-            row = pa.array(np.concatenate(rows))
-            key, body, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(body)], names=["id", "version", "start", "windows", "key", "body"])
+            for first, h, bounds in word_blocks(batch.column(2)):
+                text, start, count, key, body = segments_of(h, bounds, window, gram)
+                row = pa.array(text + first)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(body)], names=["id", "version", "start", "windows", "key", "body"])
 
     rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version int, start int, windows int, key long, body long")
     return rows.select("id", place(F.col("version"), F.col("start"), F.col("windows")).alias("at"), "key", "body")
@@ -151,42 +118,50 @@ def search_shards(pieces: DataFrame, window: int, shard_words: int) -> DataFrame
     (id, version, start), so the least place in the text is the earliest occurrence.
     """
 
-    def search(rows: list[tuple]) -> list[tuple]:
-        rows = list({r[:3]: r for r in rows}.values())  # repeated rows cut the same segment more than once
-        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-        numbers: dict[str, int] = {}
-        segments = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in r[4].split(" ")], np.uint32) for r in rows]
-        index = ShardIndex(segments)
-        counts = np.array([r[3] for r in rows])
-        of = np.repeat(np.arange(len(rows)), counts)
+    def search(shard: pa.Table) -> pa.Table:
+        order = pc.sort_indices(shard, [("id", "ascending"), ("version", "ascending"), ("start", "ascending")], null_placement="at_start")
+        shard = shard.take(order).combine_chunks()
+        id_ = shard.column("id").combine_chunks()
+        version, start, counts = (shard.column(c).to_numpy() for c in ("version", "start", "windows"))
+        # repeated rows of a document cut the same segment more than once
+        same = pc.fill_null(pc.equal(id_[1:], id_[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(id_[1:]).to_numpy(zero_copy_only=False) & pc.is_null(id_[:-1]).to_numpy(zero_copy_only=False))
+        fresh = np.ones(len(version), bool)
+        fresh[1:] = ~(same & (version[1:] == version[:-1]) & (start[1:] == start[:-1]))
+        keep = np.flatnonzero(fresh)
+        hashes, lengths = [], []
+        for chunk in shard.column("piece").take(pa.array(keep)).chunks:
+            for _, h, bounds in word_blocks(chunk):
+                hashes.append(h)
+                lengths.append(np.diff(bounds))
+        index = ShardIndex(np.unique(np.concatenate(hashes), return_inverse=True)[1], np.concatenate(lengths), next(q for q in (4, 3, 2, 1) if window % q == 0))
+        counts = counts[keep]
+        of = np.repeat(np.arange(len(keep)), counts)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
         places = index.starts[of] + offset
         late = np.flatnonzero(index.repeats(places, window) < places)
-        if not len(late):
-            return []
-        new = np.concatenate(([True], np.diff(places[late]) != 1))
+        new = np.ones(len(late), bool)
+        new[1:] = (np.diff(late) != 1) | (np.diff(of[late]) != 0)
         begin = late[new]
         size = np.diff(np.append(np.flatnonzero(new), len(late)))
-        return [(*rows[of[b]][:2], int(rows[of[b]][2] + offset[b]), int(n)) for b, n in zip(begin, size, strict=True)]
+        row = keep[of[begin]]
+        return pa.table({"id": id_.take(pa.array(row)), "version": pa.array(version[row], pa.int32()), "start": pa.array(start[row] + offset[begin], pa.int32()), "windows": pa.array(size, pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-            cols = list(zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], names=["id", "version", "start", "windows"])
-
-        held, size, last, schema = [], 0, None, None
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= shard_words and row[5] != last:
-                    if found := search(held):
-                        yield give(found, schema)
-                    held, size = [], 0
-                held.append(row[:5])
-                size += row[3] + window
-                last = row[5]
-        if held and (found := search(held)):
-            yield give(found, schema)
+            keys, weight = batch.column(5).to_numpy(), batch.column(3).to_numpy() + window
+            turns = np.flatnonzero(np.concatenate(([not held or held[-1].column(5)[-1].as_py() != keys[0]], keys[1:] != keys[:-1])))
+            at, total = 0, np.concatenate(([0], np.cumsum(weight)))
+            for turn in turns:  # a shard ends only where a key does
+                if size + total[turn] - total[at] >= shard_words:
+                    held.append(batch.slice(at, turn - at))
+                    yield from search(pa.Table.from_batches(held)).to_batches()
+                    held, size, at = [], 0, turn
+            held.append(batch.slice(at))
+            size += total[-1] - total[at]
+        if held:
+            yield from search(pa.Table.from_batches(held)).to_batches()
 
     kind = dict(pieces.dtypes)["id"]
     dealt = pieces.select("id", "version", "start", "windows", "piece", "key").repartition("key").sortWithinPartitions("key")
@@ -199,17 +174,16 @@ def remove_ranges(joined: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for text, ranges in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = split(text)
-                if ranges:
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    starts = np.array([r["start"] for r in ranges])
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, starts + np.array([r["windows"] for r in ranges]) - 1 + window, -1)
-                    stay = np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()
-                    left = [words[i] for i in stay]
-                else:
-                    left = words
+            ranges = batch.column(2)
+            flat, ends = ranges.flatten(), np.cumsum(pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False))
+            starts, stops = flat.field("start").to_numpy(), flat.field("start").to_numpy() + flat.field("windows").to_numpy() - 1 + window
+            a = 0
+            for text, b in zip(batch.column(1), ends.tolist(), strict=True):
+                left = words = split(text)
+                if a < b:
+                    edges = np.bincount(starts[a:b], minlength=len(words) + 1) - np.bincount(stops[a:b], minlength=len(words) + 1)
+                    left = list(compress(words, (np.cumsum(edges) == 0).tolist()))
+                    a = b
                 sizes.append(len(words))
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
@@ -237,7 +211,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, shard_wor
     version = F.hash(text_col).bitwiseAND(F.lit(0xFFFF))
     texts = docs.select(F.col(id_col).alias("id"), version.alias("version"), F.col(text_col).alias("text"))
     found = segment_rows(texts, window, gram)
-    often = found.groupBy("key").count().where(F.col("count") > 1).select("key")
+    # stored, so that the join's both sides are plain shuffles and a hot key's rows are split over tasks
+    often = stored(found.groupBy("key").count().where(F.col("count") > 1).select("key"))
     again = stored(found.join(often, "key"))
     first = F.struct("id", "at")
     spread = lambda rows: rows.select("id", version_of(F.col("at")).alias("version"), start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"))
