@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACES, let, steps, with_columns, words_of
+from .common import SPACE_CHARS, SPACES, let, once, steps, with_columns, words_of
 
 #: Characters of the symbol count, of the punctuation rule and of the navigation rule; phrases of boilerplate.
 SYMBOLS = r"[#*$%&|<>]"
@@ -19,7 +19,7 @@ def line_fails(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     loud = F.regexp_count(line, F.lit(LOUD))
     separators = F.regexp_count(line, F.lit(SEPARATORS))
-    return ((loud >= 4) & (loud * 10 > n * 3)) | ((separators >= 3) & (separators * 5 > n)) | ((n <= 25) & line.rlike(BOILERPLATE))
+    return ((loud >= 4) & (loud * 10 > n * 3)) | ((separators >= 3) & (separators * 5 > n)) | (line.rlike(BOILERPLATE) & (n <= 25))
 
 
 def repeat_words(words: Column) -> Column:
@@ -51,24 +51,20 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     has_word = lambda line: F.btrim(line, F.lit(SPACE_CHARS)) != ""
-    measured = with_columns(
-        docs,
-        [],
-        __words=words_of(text),
-        __lines=F.split(text, "\n"),
-    )
+    parts = once(docs, "__parts", F.struct(words_of(text).alias("words"), F.split(text, "\n").alias("lines")))
+    words, lines = F.col("__parts.words"), F.col("__parts.lines")
     figures = F.struct(
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+        F.size(words).cast("long").alias("n_words"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        let(F.filter("__lines", has_word), lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("__words")).cast("long").alias("n_repeat_words"),
-        F.array_join(F.filter("__lines", lambda line: ~line_fails(line)), "\n").alias("clean_text"),
+        let(F.filter(lines, has_word), lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+        repeat_words(words).cast("long").alias("n_repeat_words"),
+        F.array_join(F.filter(lines, lambda line: ~line_fails(line)), "\n").alias("clean_text"),
     )
-    measured = with_columns(measured, ["__words", "__lines"], __m=F.transform(F.array(figures), lambda m: m)[0])
+    measured = once(parts, "__m", figures)
     m = F.col("__m")
     size = lambda t: F.length(F.regexp_replace(t, SPACES, ""))
     failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
     lost = 100 * (m["word_chars"] - size(m["clean_text"])) > max_lost_percent * m["word_chars"]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text"]
-    return with_columns(measured, ["__m"], **{k: m[k] for k in names}, base_failed=failed, kept=~failed & ~lost)
+    return with_columns(measured, ["__m", "__parts"], **{k: m[k] for k in names}, base_failed=failed, kept=~failed & ~lost)
