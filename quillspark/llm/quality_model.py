@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, with_columns, words_of
+from .common import cut, let, once, with_columns, words_of
 
 FEATURES = ("n_words", "word_length", "symbols", "loud", "capitals", "separators", "distinct_words", "distinct_lines", "line_words", "digits")
 
@@ -120,9 +120,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_c
     empty table gives an empty table, and without labels every score is 0.5. max_rows bounds the fitting sample; scoring
     is one pass of column expressions over all rows.
     """
-    from .common import cut
-
     model = fit_rules(cut(training_rows(docs, labels, max_rows, id_col, text_col)))
-    stats = F.transform(F.array(text_features(F.col(text_col))), lambda s: model.score(s))
-    scored = with_columns(docs, [], score=F.get(stats, F.lit(0)))
-    return with_columns(scored, [], predicted=(F.col("score") >= 0.5).cast("int"))
+    scored = once(once(docs, "__stats", text_features(F.col(text_col))), "__score", model.score(F.col("__stats")))
+    return with_columns(scored, ["__stats", "__score"], score=F.col("__score"), predicted=(F.col("__score") >= 0.5).cast("int"))
