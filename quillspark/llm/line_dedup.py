@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, lower_az, steps, with_columns
+from .common import SPACE_CHARS, let, lower_az, steps, stored, with_columns
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -28,7 +28,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .where(F.length("key") >= min_chars)
         .select("id", "version", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
-    common = (
+    # stored, so that the join's both sides are plain shuffles and a hot line's rows are split over tasks
+    common = stored(
         rows.groupBy("h1", "h2")
         .agg((F.count_distinct("id") + F.max(F.col("id").isNull().cast("int"))).alias("docs"), F.max("id").alias("keeper"))
         .where(F.col("docs") >= min_docs)
