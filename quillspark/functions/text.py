@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Letters with marks and their plain forms, title phrases that bait, filler sounds, byline noise.
 MARKED = "ąćęłńóśźżäöüßàâçéèêëîïôùûñáíúÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÑÁÍÚĄĆĘŁŃÓŚŹŻ"
 PLAIN = "acelnoszzaousaaceeeeiiouunaiuAOUAACEEEEIIOUUNAIUACELNOSZZ"
-CLICKBAIT = r"(?i)(nie uwierzysz|szok(uj[aą]c[a-z]*)?\b|musisz to zobaczy[ćc]|zobacz,? co|a[żz] trudno uwierzy[ćc]|to zmieni (tw[oó]j|wszystko)|jednym trikiem|zdradzi[łl]a? sekret|internauci oszaleli|wszyscy o (tym|niej|nim) m[oó]wi[aą])"
+CLICKBAIT = r"(?iu)(nie uwierzysz|szok(uj[aą]c[a-z]*)?\b|musisz to zobaczy[ćc]|zobacz,? co|a[żz] trudno uwierzy[ćc]|to zmieni (tw[oó]j|wszystko)|jednym trikiem|zdradzi[łl]a? sekret|internauci oszaleli|wszyscy o (tym|niej|nim) m[oó]wi[aą])"
 FILLERS = r"(?i)\b(eee+|yyy+|mmm+|hmm+|um+|uh+)\b[,.]?"
 BYLINE_NOISE = ("obserwuj", "autor", "autorzy", "autorka", "red.", "redakcja", "opracowanie")
 
@@ -75,7 +75,7 @@ def distinct_by_key(items: Column, key) -> Column:
 
 def author_names(c: Column) -> Column:
     """The names of a byline, without noise words, the first of equals in any case."""
-    parts = F.transform(F.split(c, r"(?i)[,;/\n]|\bi\b|\boraz\b"), lambda p: strip(p))
+    parts = F.transform(F.split(c, r"(?i)[,;/\n]|(?<!\p{L})(?:i|oraz)(?!\p{L})"), lambda p: strip(p))
     return distinct_by_key(F.filter(parts, lambda p: (p != "") & ~F.lower(p).isin(*BYLINE_NOISE)), F.lower)
 
 
@@ -97,7 +97,7 @@ def is_clickbait(title: Column) -> Column:
 
 def is_caption(line: Column) -> Column:
     """A photo caption: at most 120 characters with a credit in front or an agency at the end."""
-    return (F.length(line) <= 120) & line.rlike(r"(?i)^\s*(fot\.|foto:|zdj[eę]cie|źródło|photo:|image:|credit:)|(PAP|AFP|Reuters|Getty Images|Shutterstock)\s*$")
+    return (F.length(line) <= 120) & line.rlike(r"(?iu)^\s*(fot\.|foto:|zdj[eę]cie|źródło|photo:|image:|credit:)|(PAP|AFP|Reuters|Getty Images|Shutterstock)\s*$")
 
 
 def snippets(c: Column, literal: str, around: int) -> Column:

@@ -124,3 +124,32 @@ def test_filters_are_checked():
     with pytest.raises(ValueError):
         SearchFilters(source_layer="other")
     assert SearchFilters().empty and not SearchFilters(languages=("en",)).empty
+
+
+def test_footnotes_and_lists(spark):
+    from quillspark.functions import markup as M
+
+    text = "Body\n1 www.e.com/a\n2 of them\n\n\n\n³ Nowak, Title\n4 Nowak 1999\nEND"
+    found = value(spark, M.footnotes, text)
+    assert [(f["marker"], f["text"], f["url"]) for f in found] == [("1", "www.e.com/a", "www.e.com/a"), ("3", "Nowak, Title", None), ("4", "Nowak 1999", None)]
+    assert all(text[f["char_offset"] :].startswith(m) for f, m in zip(found, ("1 www", "³ N", "4 N"), strict=True))
+    assert value(spark, M.without_footnotes, text) == "Body\n2 of them\n\nEND"
+    assert value(spark, M.is_references, "\n## Bibliografia:\nx") and not value(spark, M.is_references, "")
+    assert value(spark, M.blank_markers, "a **b** [img12]c") == "a   b           c"
+    assert [s["title"] for s in value(spark, M.sections, "x\n## A \nt\n## B")] == ["A", "B"]
+    assert value(spark, M.sender_address, "Ann <A@Example.com>") == "a@example.com" and value(spark, M.sender_address, "x@y") is None
+
+
+@pytest.mark.parametrize(("name", "want"), [('"Financial Times"', "Financial Times"), ('Hans "Bellingcat', "Hans Bellingcat"), ("Aleksander „Rocky” B", "Aleksander „Rocky” B"), ('""Grot"', "Grot"), ("O'Brien", "O'Brien"), (None, None), ("", "")])
+def test_quotes(name, want):
+    from quillspark.functions.names import balanced
+
+    assert balanced(name) == want
+
+
+def test_names(spark):
+    from quillspark.functions import names as N
+
+    assert value(spark, lambda c: N.label_matches(c, F.lit("Marine Le Pen")), "Lepen") and not value(spark, lambda c: N.label_matches(c, F.lit("Žemaitė")), "demokratas")
+    assert value(spark, N.is_initials, "J. K.") and not value(spark, N.is_initials, "Jan")
+    assert value(spark, lambda c: N.preferred_spelling(F.split(c, ",")), "nato,nato,NATO,Nato,Nato") == "Nato"
