@@ -27,6 +27,7 @@ def balanced(text: str | None) -> str | None:
                 paired[waiting.pop()] = at
             elif c in OPENING + BOTH + CLOSING:
                 waiting.append(at)
+        paired = {a: b for a, b in paired.items() if b > a + 1}
         ends = set(paired) | set(paired.values())
         kept = "".join(c for at, c in enumerate(text) if at in ends or c not in OPENING + BOTH + CLOSING).strip()
         if kept == text and paired.get(0) == len(text) - 1 and len(text) > 1:

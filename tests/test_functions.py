@@ -135,7 +135,7 @@ def test_footnotes_and_lists(spark):
     assert all(text[f["char_offset"] :].startswith(m) for f, m in zip(found, ("1 www", "³ N", "4 N"), strict=True))
     assert value(spark, M.without_footnotes, text) == "Body\n2 of them\n\nEND"
     assert value(spark, M.is_references, "\n## Bibliografia:\nx") and not value(spark, M.is_references, "")
-    assert value(spark, M.blank_markers, "a **b** [img12]c") == "a   b           c"
+    assert value(spark, M.blank_markers, "a **b** [img12]c") == "a   b" + " " * 10 + "c"
     assert [s["title"] for s in value(spark, M.sections, "x\n## A \nt\n## B")] == ["A", "B"]
     assert value(spark, M.sender_address, "Ann <A@Example.com>") == "a@example.com" and value(spark, M.sender_address, "x@y") is None
 
