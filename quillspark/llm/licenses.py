@@ -21,7 +21,11 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "CC-BY-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "GPL-line": "Licensed under the GNU General Public License version 3.",
+    "CC-BY-short": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-short": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-NC-short": "Licensed under CC BY-NC 4.0.",
+    "BSD-line": "Licensed under the BSD 3-Clause License.",
+    "GPL-line": "Licensed under the GNU General Public License, version 3.",
     "SPDX-MIT": "SPDX-License-Identifier: MIT",
     "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
     "SPDX-GPL-3.0": "SPDX-License-Identifier: GPL-3.0-or-later",
