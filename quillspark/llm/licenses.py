@@ -88,10 +88,29 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def apart(spans: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int]]:
+    """Of spans (name, first, last, aligned words) that overlap, the one that aligns most words, then the name that comes first."""
+    kept: list[tuple[str, int, int, int]] = []
+    cluster: list[tuple[str, int, int, int]] = []
+    reach = -1
+    for span in [*sorted(spans, key=lambda s: (s[1], s[2])), None]:
+        if span is None or span[1] > reach:
+            best: list[tuple[str, int, int, int]] = []
+            for c in sorted(cluster, key=lambda s: (-s[3], s[0], s[1])):
+                if all(c[2] < b[1] or c[1] > b[2] for b in best):
+                    best.append(c)
+            kept += sorted(best, key=lambda s: s[1])
+            cluster, reach = [], -1
+        if span is not None:
+            cluster.append(span)
+            reach = max(reach, span[2])
+    return kept
+
+
 def find_licenses(words: list[str], templates: dict[str, list[str]], least: float) -> list[tuple[str, int, int, float]]:
     """Spans of templates in a text, by name, with the share of the template's words that align.
 
-    The text is read in blocks of twice the template, a template apart, so any copy lies in one block and repeated copies don't hide
+    Of licenses that share words the one that aligns most is told. The text is read in blocks of twice the template, a template apart, so any copy lies in one block and repeated copies don't hide
     each other's unique words. A text or block that holds too few of the template's words to reach the share is skipped.
     """
     have, found = set(words), []
@@ -99,7 +118,7 @@ def find_licenses(words: list[str], templates: dict[str, list[str]], least: floa
         n, need = len(template), Counter(template)
         if sum(c for w, c in need.items() if w in have) < least * n:
             continue
-        best: list[tuple[str, int, int, float]] = []
+        best: list[tuple[str, int, int, int]] = []
         for at in range(0, max(1, len(words) - n), n):
             block = words[at : at + 2 * n]
             got = Counter(block)
@@ -108,13 +127,13 @@ def find_licenses(words: list[str], templates: dict[str, list[str]], least: floa
             aligned = patience(block, template)
             if len(aligned) < least * n:
                 continue
-            span = (name, at + aligned[0][0], at + aligned[-1][0], len(aligned) / n)
+            span = (name, at + aligned[0][0], at + aligned[-1][0], len(aligned))
             if best and span[1] <= best[-1][2]:  # the same copy, seen from the next block
                 best[-1] = max(best[-1], span, key=lambda s: s[3])
             else:
                 best.append(span)
         found += best
-    return sorted(found, key=lambda s: (s[1], s[2], s[0]))
+    return [(name, a, b, k / len(templates[name])) for name, a, b, k in apart(found)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, text_col: str = "text") -> DataFrame:

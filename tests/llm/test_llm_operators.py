@@ -303,7 +303,8 @@ def test_licenses(spark):
     docs = {1: "intro words " + apache + " outro", 2: mit + "\n\n" + "filler " * 50 + mit.upper(), 3: "no license words at all", 4: apache.replace("writing", "x").replace("express", "y"), 5: licenses.TEMPLATES["MIT-line"] + " and text"}
     found = {r["doc_id"]: [(s["license"], s["coverage"]) for s in r["licenses"]] for r in licenses.scan_licenses(frame(spark, docs)).collect()}
     assert ("Apache-2.0", 1.0) in found[1] and found[3] == [] and ("MIT-line", 1.0) in found[5]
-    assert [n for n, _ in found[2]].count("MIT") == 2
+    assert [n for n, _ in found[2]] == ["MIT", "MIT"] and len(found[1]) == 1
+    assert [x[0] for x in licenses.find_licenses(licenses.license_words("x Licensed under CC BY-NC 4.0. y"), {k: licenses.license_words(v) for k, v in licenses.TEMPLATES.items()}, 0.8)] == ["CC-BY-NC-short"]
     assert 0.95 < dict(found[4])["Apache-2.0"] < 1
 
 
