@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "search", "entities", "incremental")
+MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "articles", "search", "entities", "incremental")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 

@@ -153,3 +153,18 @@ def test_names(spark):
     assert value(spark, lambda c: N.label_matches(c, F.lit("Marine Le Pen")), "Lepen") and not value(spark, lambda c: N.label_matches(c, F.lit("Žemaitė")), "demokratas")
     assert value(spark, N.is_initials, "J. K.") and not value(spark, N.is_initials, "Jan")
     assert value(spark, lambda c: N.preferred_spelling(F.split(c, ",")), "nato,nato,NATO,Nato,Nato") == "Nato"
+
+
+def test_articles_and_transcripts(spark):
+    from quillspark.functions import articles as A
+    from quillspark.functions import transcripts as R
+
+    html = '<script type="application/ld+json">[{"@type":"Article","author":[{"name":"A &amp; B"},{"@id":"#x"}]},{"@id":"#x","name":"C"}]</script><meta property="article:published_time" content="2024-05-06T01:02">'
+    assert value(spark, A.article_authors, html) == ["A & B", "C"]
+    assert value(spark, A.publication_date, html) == datetime.date(2024, 5, 6)
+    assert value(spark, A.article_authors, "<html>") == [] and value(spark, A.publication_date, "<html>") is None
+    assert value(spark, A.embedded_target, "https://c.e.com/aHR0cHM6Ly9leGFtcGxlLmNvbS94") == "https://example.com/x"
+    assert value(spark, A.embedded_target, "https://c.e.com/") is None
+    assert value(spark, A.fenced_json, 'x ```json\n{"a": 1}\n``` y') == '{"a": 1}' and value(spark, A.complete_objects, "none") is None
+    found = value(spark, R.chapter_list, "intro 0:10\nno time\n1:00:05 - end")
+    assert [(c["start"], c["end"], c["title"]) for c in found] == [(10, 3605, "intro"), (3605, R.OPEN_END, "end")]
