@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """Root-to-leaf paths of reply trees: (tree, path, depth, node columns), the best `top` paths of each tree.
 
     nodes: tree, node (unique in its tree), parent (null at a root), role, text, score. Ancestors are found by self-joins
-    that double the distance each round, so a thread of n turns takes log2(n) rounds; each round's tables are
+    that double the distance each round, so a thread of n turns takes log2(n) rounds; what a round adds is
     checkpointed. Joins are on (tree, node), which is unique, so one long thread is spread over all tasks. A path's score is
     the sum of its nodes' scores; ties go to the smaller leaf. Nodes without a root (cycles, missing parents) start at
     the oldest ancestor that exists; a cycle has no leaf and gives no path.
@@ -37,18 +39,20 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     edge = nodes.select("tree", "node", "parent")
     parents = edge.where(F.col("parent").isNotNull()).select("tree", F.col("parent").alias("node")).distinct()
     leaves = edge.join(parents, (edge["tree"].eqNullSafe(parents["tree"])) & (edge["node"] == parents["node"]), "left_anti")
-    paths = leaves.select("tree", F.col("node").alias("path"), "node", F.lit(0).alias("up"))
+    pieces = [cut(leaves.select("tree", F.col("node").alias("path"), "node", F.lit(0).alias("up")))]
     known = edge.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     jump = cut(edge.join(known, edge["tree"].eqNullSafe(F.col("t")) & (edge["parent"] == F.col("n"))).select("tree", "node", F.col("parent").alias("to")))
     reach = 1
     while not jump.isEmpty():
         j = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "to")
         on = lambda left, key: left["tree"].eqNullSafe(j["t"]) & (left[key] == j["n"])
-        paths = cut(paths.unionByName(paths.join(j, on(paths, "node")).select("tree", "path", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))))
+        paths = reduce(DataFrame.unionByName, pieces)
+        pieces.append(cut(paths.join(j, on(paths, "node")).select("tree", "path", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))))
         jump = cut(jump.select("tree", "node", F.col("to").alias("mid")).join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("mid") == F.col("n"))).select("tree", "node", F.col("to")))
         reach *= 2
         if reach > 1 << 24:
             raise ValueError("the parents form a cycle")
+    paths = reduce(DataFrame.unionByName, pieces)
     full = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
     steps = paths.join(full, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).drop("t", "n")
     ranked = steps.groupBy("tree", "path").agg(F.sum("score").alias("path_score"), F.max("up").alias("depth"))
