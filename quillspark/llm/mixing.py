@@ -71,26 +71,28 @@ def mix_sources(
     sized = with_columns(docs, [], size=size)
     weight = quality if quality is not None else text_quality(F.col(text_col), F.col("size"))
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    keyed = with_columns(sized, [], __key=-F.log(u) / F.greatest(weight, F.lit(1e-6)))
+    # keys without nulls, so that the windows and the join share one partitioning and rows are shuffled once
+    named = {"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__n": F.col(source_col).isNull()}
+    keyed = with_columns(sized, [], __key=-F.log(u) / F.greatest(weight, F.lit(1e-6)), **named)
     keyed = with_columns(keyed, [], __bin=F.least(F.floor((1 - F.exp(-F.col("__key"))) * bins), F.lit(bins - 1)))
 
     narrow = sized.select(F.col(source_col).alias("source"), "size")
     goal = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goal = goal.select(F.col("source").alias("__source"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
-    per_bin = keyed.groupBy(F.col(source_col).alias("__s"), F.col("__bin").alias("__b")).agg(F.sum("size").alias("__sum"))
-    upto = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bin.withColumn("__offset", F.coalesce(F.sum("__sum").over(upto), F.lit(0))).join(goal, F.col("__s").eqNullSafe(F.col("__source"))).drop("__sum", "__source")
+    goal = goal.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__s"), F.col("source").isNull().alias("__n"), F.col("source_size").alias("__total"), F.col("target").alias("__target"))
+    per_bin = keyed.groupBy("__s", "__n", "__bin").agg(F.sum("size").alias("__sum"))
+    upto = Window.partitionBy("__s", "__n").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bin.withColumn("__offset", F.coalesce(F.sum("__sum").over(upto), F.lit(0))).join(goal, ["__s", "__n"]).drop("__sum")
 
-    within = Window.partitionBy(source_col, "__bin").orderBy("__key", F.col(id_col).asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__s", "__n", "__bin").orderBy("__key", F.col(id_col).asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     summed = with_columns(keyed, [], __before=F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = summed.join(offsets, summed[source_col].eqNullSafe(F.col("__s")) & (summed["__bin"] == F.col("__b")))
+    joined = summed.join(offsets, ["__s", "__n", "__bin"])
     goal_words = F.floor("__target")
     epochs = F.when(F.col("__total") > 0, F.floor(goal_words / F.col("__total"))).otherwise(0).cast("long")
     left = goal_words - epochs * F.col("__total") - F.col("__offset") - F.col("__before")
     part = F.least(F.greatest(left, F.lit(0)), F.col("size"))
     return with_columns(
         joined,
-        ["__key", "__bin", "__s", "__b", "__total", "__target", "__offset", "__before"],
+        ["__key", "__bin", "__s", "__n", "__total", "__target", "__offset", "__before"],
         source_size=F.col("__total").cast("long"),
         target=F.col("__target"),
         epochs=epochs,
