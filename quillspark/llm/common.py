@@ -65,8 +65,12 @@ def steps(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return df[f"`{name.replace('`', '``')}`"]
+
+
 def with_columns(df: DataFrame, drop: list[str], **new: Column) -> DataFrame:
     """Adds columns (over any of the same name in any case) and drops helpers in one projection."""
     gone = {c.lower() for c in [*drop, *new]}
-    quoted = lambda c: f"`{c.replace('`', '``')}`"
-    return df.select(*[df[quoted(c)] for c in df.columns if c.lower() not in gone], *[v.alias(k) for k, v in new.items()])
+    return df.select(*[column(df, c) for c in df.columns if c.lower() not in gone], *[v.alias(k) for k, v in new.items()])
