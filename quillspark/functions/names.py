@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from .text import unaccent
 
@@ -37,12 +38,12 @@ def balanced(text: str | None) -> str | None:
         text = kept
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_quotes(names: pd.Series) -> pd.Series:
     return names.map(balanced)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The best sequence ratio of a name and the comma parts of another, in lower case."""
     best = lambda x, y: max((difflib.SequenceMatcher(None, x.lower().strip(), p.strip().lower()).ratio() for p in y.split(",")), default=0.0)
