@@ -53,12 +53,15 @@ def reply_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         if reach > 1 << 24:
             raise ValueError("the parents form a cycle")
     paths = reduce(DataFrame.unionByName, pieces)
-    full = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text", "score")
-    steps = paths.join(full, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).drop("t", "n")
-    ranked = steps.groupBy("tree", "path").agg(F.sum("score").alias("path_score"), F.max("up").alias("depth"))
+    key = lambda df, *more: df.select(F.col("tree").alias("t"), F.col("node").alias("n"), *more)
+    at = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
+    # branches are ranked by their scores alone; texts are joined to the chosen ones at the end
+    scored = paths.join(key(nodes, "score"), at).drop("t", "n")
+    ranked = scored.groupBy("tree", "path").agg(F.sum("score").alias("path_score"), F.max("up").alias("depth"))
     best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "path"))).where(F.col("rank") <= top)
     best = best.select(F.col("tree").alias("t"), F.col("path").alias("p"), "depth", "rank")
-    return steps.join(best, F.col("tree").eqNullSafe(F.col("t")) & (F.col("path") == F.col("p"))).select("tree", "path", "rank", (F.col("depth") - F.col("up")).alias("turn"), "role", "text")
+    chosen = paths.join(best, F.col("tree").eqNullSafe(F.col("t")) & (F.col("path") == F.col("p"))).select("tree", "path", "rank", "node", (F.col("depth") - F.col("up")).alias("turn"))
+    return chosen.join(key(nodes, "role", "text"), at).select("tree", "path", "rank", "turn", "role", "text")
 
 
 def format_paths(paths: DataFrame) -> DataFrame:
