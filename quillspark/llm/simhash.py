@@ -176,7 +176,9 @@ def first_of_each_group(docs: DataFrame, words: int = 3, distance: int = 2, id_c
 
     Of a component with null ids only, one row stays.
     """
-    rows = grouped(docs, words, distance, id_col, text_col)
-    keep = rows.where(F.col("__id").eqNullSafe(F.col("__component"))).select("__id", "__fp").groupBy("__id").agg(F.min("__fp").alias("__fp"))
-    joined = docs.join(keep, docs[id_col].eqNullSafe(F.col("__id")))
-    return with_columns(joined, ["__id", "__fp"]).dropDuplicates([id_col])
+    # keys without nulls, so that the join and the last step share one partitioning and texts are shuffled once
+    key = lambda c: {"__k": F.coalesce(c.cast("string"), F.lit("")), "__n": c.isNull()}
+    rows = grouped(docs, words, distance, id_col, text_col).where(F.col("__id").eqNullSafe(F.col("__component")))
+    keep = rows.select(*[v.alias(k) for k, v in key(F.col("__id")).items()]).distinct()
+    joined = with_columns(docs, [], **key(F.col(id_col))).join(keep, ["__k", "__n"]).dropDuplicates(["__k", "__n"])
+    return with_columns(joined, ["__k", "__n"])
