@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,7 +82,7 @@ def anchors(fp: Column, distance: int) -> Column:
     columns = [sum(1 << b for b in range(BITS) if ((b + 1) % 64) >> k & 1) for k in range(6)]
     syndrome = sum((F.bit_count(fp.bitwiseAND(F.lit(signed(m)).cast("long"))) % 2) * (1 << k) for k, m in enumerate(columns))
     masks = anchor_masks(1 + (distance + 1) // 2)
-    table = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in masks])
+    table = F.from_json(F.lit(json.dumps(masks)), "array<array<bigint>>")  # one constant, folded when planned
     return F.transform(F.get(table, syndrome.cast("int")), lambda m: fp.bitwiseXOR(m))
 
 
