@@ -173,13 +173,25 @@ def label_documents(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
 
 
 def first_of_each_group(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their component, with all their columns; repeated ids keep one row.
+    """One row of each component, with all its columns: a row of the smallest id in it, null ids last.
 
-    Of a component with null ids only, one row stays.
+    Rows are told apart by id and text, so null and repeated ids stand for as many documents as they have texts: each component
+    keeps its own row, whatever other components share the id.
     """
+    kind = dict(docs.dtypes)[id_col]
+    keyed = docs.select(F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("row"), F.col(text_col).alias("text"))
+    prints = cut(fingerprints(keyed, words, "row", "text").select(F.col("id.i").cast(kind).alias("id"), F.col("id.h").alias("h"), "fp"))
+    # an order without nulls first: (id is null, id, hash of the text)
+    least = prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("least"))
+    found = components(near_links(least := cut(least), distance))
+    return rows_of_least(docs, least, found, "fp", id_col, text_col)
+
+
+def rows_of_least(docs: DataFrame, least: DataFrame, found: DataFrame, node: str, id_col: str, text_col: str) -> DataFrame:
+    """The docs that are the least (n, id, h) of the nodes of a component; nodes missing from found are their own."""
+    member = least.join(found, least[node] == found["node"], "left").select("least", F.coalesce("root", node).alias("root"))
+    keep = member.groupBy("root").agg(F.min("least").alias("l")).select(F.coalesce(F.col("l.id").cast("string"), F.lit("")).alias("__k"), F.col("l.n").alias("__n"), F.col("l.h").alias("__h"))
     # keys without nulls, so that the join and the last step share one partitioning and texts are shuffled once
-    key = lambda c: {"__k": F.coalesce(c.cast("string"), F.lit("")), "__n": c.isNull()}
-    rows = grouped(docs, words, distance, id_col, text_col).where(F.col("__id").eqNullSafe(F.col("__component")))
-    keep = rows.select(*[v.alias(k) for k, v in key(F.col("__id")).items()]).distinct()
-    joined = with_columns(docs, [], **key(F.col(id_col))).join(keep, ["__k", "__n"]).dropDuplicates(["__k", "__n"])
-    return with_columns(joined, ["__k", "__n"])
+    key = {"__k": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__n": F.col(id_col).isNull(), "__h": F.xxhash64(text_col)}
+    joined = with_columns(docs, [], **key).join(keep, [*key]).dropDuplicates([*key])
+    return with_columns(joined, [*key])
