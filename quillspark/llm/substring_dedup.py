@@ -52,20 +52,16 @@ def split(text) -> list[bytes]:
     return text.as_py().encode().split() if text.is_valid else []
 
 
-#: A place is one long, in the order of texts of an id and of words: 16 bits of the text's hash, 32 of the first word, 10 of the number of windows.
-COUNT_BITS, START_BITS = 10, 32
+#: A place in a text is one long, in the order of words: the first word above 10 bits of the number of windows.
+COUNT_BITS = 10
 
 
-def place(version: Column, start: Column, windows: Column) -> Column:
-    return F.shiftleft(version.cast("long"), START_BITS + COUNT_BITS) + F.shiftleft(start.cast("long"), COUNT_BITS) + windows
-
-
-def version_of(at: Column) -> Column:
-    return F.shiftright(at, START_BITS + COUNT_BITS).cast("int")
+def place(start: Column, windows: Column) -> Column:
+    return F.shiftleft(start.cast("long"), COUNT_BITS) + windows
 
 
 def start_of(at: Column) -> Column:
-    return F.shiftright(at, COUNT_BITS).bitwiseAND(F.lit((1 << START_BITS) - 1)).cast("int")
+    return F.shiftright(at, COUNT_BITS).cast("int")
 
 
 def windows_of(at: Column) -> Column:
@@ -73,7 +69,7 @@ def windows_of(at: Column) -> Column:
 
 
 def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, at, key, body) of every segment of the texts in docs (id, version, text)."""
+    """(id, version, at, key, body) of every segment of the texts in docs (id, version, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +78,8 @@ def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 row = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(body)], names=["id", "version", "start", "windows", "key", "body"])
 
-    rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version int, start int, windows int, key long, body long")
-    return rows.select("id", place(F.col("version"), F.col("start"), F.col("windows")).alias("at"), "key", "body")
+    rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version long, start int, windows int, key long, body long")
+    return rows.select("id", "version", place(F.col("start"), F.col("windows")).alias("at"), "key", "body")
 
 
 def shard_texts(wanted: DataFrame, window: int) -> DataFrame:
@@ -108,7 +104,7 @@ def shard_texts(wanted: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(key, pa.int64()), pa.array(body, pa.int64()), pa.array(piece, pa.string())], names=["id", "version", "start", "windows", "key", "body", "piece"])
 
     kind = dict(wanted.dtypes)["id"]
-    return wanted.select("id", "version", "text", "ranges").mapInArrow(run, f"id {kind}, version int, start int, windows int, key long, body long, piece string")
+    return wanted.select("id", "version", "text", "ranges").mapInArrow(run, f"id {kind}, version long, start int, windows int, key long, body long, piece string")
 
 
 def search_shards(pieces: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -144,7 +140,7 @@ def search_shards(pieces: DataFrame, window: int, shard_words: int) -> DataFrame
         begin = late[new]
         size = np.diff(np.append(np.flatnonzero(new), len(late)))
         row = keep[of[begin]]
-        return pa.table({"id": id_.take(pa.array(row)), "version": pa.array(version[row], pa.int32()), "start": pa.array(start[row] + offset[begin], pa.int32()), "windows": pa.array(size, pa.int32())})
+        return pa.table({"id": id_.take(pa.array(row)), "version": pa.array(version[row], pa.int64()), "start": pa.array(start[row] + offset[begin], pa.int32()), "windows": pa.array(size, pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -165,7 +161,7 @@ def search_shards(pieces: DataFrame, window: int, shard_words: int) -> DataFrame
 
     kind = dict(pieces.dtypes)["id"]
     dealt = pieces.select("id", "version", "start", "windows", "piece", "key").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, f"id {kind}, version int, start int, windows int")
+    return dealt.mapInArrow(run, f"id {kind}, version long, start int, windows int")
 
 
 def remove_ranges(joined: DataFrame, window: int) -> DataFrame:
@@ -204,24 +200,24 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, shard_wor
 
     Returns a row per input row: id_col, n_words, n_removed, kept_text (kept words joined by a space). Null text has no words.
     Null ids come before all others. Rows that repeat an id and text are one document and are treated alike; other texts
-    of an id come in the order of a hash of the text. Other columns are ignored. An empty table gives an empty table.
+    of an id are told apart, and ordered, by a hash of the text of 64 bits. Other columns are ignored. An empty table gives an empty table.
     """
     if not 1 <= gram <= window < 1 << COUNT_BITS:
         raise ValueError(f"1 <= gram <= window < {1 << COUNT_BITS} must hold")
-    version = F.hash(text_col).bitwiseAND(F.lit(0xFFFF))
+    version = F.xxhash64(text_col)
     texts = docs.select(F.col(id_col).alias("id"), version.alias("version"), F.col(text_col).alias("text"))
     found = segment_rows(texts, window, gram)
     # stored, so that the join's both sides are plain shuffles and a hot key's rows are split over tasks
     often = stored(found.groupBy("key").count().where(F.col("count") > 1).select("key"))
     again = stored(found.join(often, "key"))
-    first = F.struct("id", "at")
-    spread = lambda rows: rows.select("id", version_of(F.col("at")).alias("version"), start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"))
+    first = F.struct("id", "version", "at")
+    spread = lambda rows: rows.select("id", "version", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"))
     firsts = stored(again.groupBy("key", "body").agg(F.count("*").alias("times"), F.min(first).alias("first")))
     copies = spread(again.join(firsts.where("times > 1").select("key", "body", "first"), ["key", "body"]).where(~first.eqNullSafe(F.col("first"))))
     contents = firsts.groupBy("key").count().where(F.col("count") > 1).select("key", (F.col("count") > hot_contents).alias("hot"))
-    unsure = firsts.join(contents, "key").select("first.id", "first.at", "key", "hot")
+    unsure = firsts.join(contents, "key").select("first.id", "first.version", "first.at", "key", "hot")
     range_of = F.struct("key", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"), "hot")
-    wanted = unsure.groupBy("id", version_of(F.col("at")).alias("version")).agg(F.collect_list(range_of).alias("ranges"))
+    wanted = unsure.groupBy("id", "version").agg(F.collect_list(range_of).alias("ranges"))
     rename = lambda df: df.withColumnsRenamed({"id": "i", "version": "v"})
     same = texts["id"].eqNullSafe(F.col("i")) & (texts["version"] == F.col("v"))
     pieces = shard_texts(texts.join(rename(wanted), same).select("id", "version", "text", "ranges"), window)

@@ -326,6 +326,18 @@ def test_substrings(spark, seed, options):
     assert found == brute.substring_dedup(docs, options.get("window", 20))
 
 
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_substrings_of_many_texts_under_one_id(spark, same_id):
+    """Thousands of different texts under one id are told apart: each loses its own repeats and no others."""
+    r = random.Random(12)
+    shared = [" ".join(f"p{k}w{i}" for i in range(24)) for k in range(300)]
+    texts = [" ".join([*(f"t{k}w{i}" for i in range(r.randint(0, 30))), r.choice(shared), *(f"t{k}v{i}" for i in range(r.randint(0, 30)))]) for k in range(4000)]
+    docs = spark.createDataFrame([(same_id, t) for t in texts], "doc_id long, text string")
+    order = [row["text"] for row in docs.distinct().orderBy(F.xxhash64("text")).collect()]
+    want = sorted(" ".join(kept) for kept in brute.substring_dedup(dict(enumerate(order))).values())
+    assert sorted(row["kept_text"] for row in substring_dedup.dedup_substrings(docs).collect()) == want
+
+
 def test_reply_trees(spark):
     """A branching tree: the better branch is chosen, ties go to the smaller leaf, both are listed if asked for."""
     nodes = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "good", 0.9), ("t", 4, 3, "user", "more", 0.5), ("u", 1, None, "user", None, None)]
