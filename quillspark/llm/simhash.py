@@ -189,7 +189,7 @@ def first_of_each_group(docs: DataFrame, words: int = 3, distance: int = 2, id_c
 
 def rows_of_least(docs: DataFrame, least: DataFrame, found: DataFrame, node: str, id_col: str, text_col: str) -> DataFrame:
     """The docs that are the least (n, id, h) of the nodes of a component; nodes missing from found are their own."""
-    member = least.join(found, least[node] == found["node"], "left").select("least", F.coalesce("root", node).alias("root"))
+    member = least.join(found.withColumnRenamed("node", node), node, "left").select("least", F.coalesce("root", node).alias("root"))
     keep = member.groupBy("root").agg(F.min("least").alias("l")).select(F.coalesce(F.col("l.id").cast("string"), F.lit("")).alias("__k"), F.col("l.n").alias("__n"), F.col("l.h").alias("__h"))
     # keys without nulls, so that the join and the last step share one partitioning and texts are shuffled once
     key = {"__k": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__n": F.col(id_col).isNull(), "__h": F.xxhash64(text_col)}
