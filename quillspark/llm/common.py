@@ -5,6 +5,8 @@ from __future__ import annotations
 import string
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of its own only where that is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session gets one of its own; a cluster, whose machines share no local folder, an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -74,3 +79,23 @@ def with_columns(df: DataFrame, drop: list[str], **new: Column) -> DataFrame:
     """Adds columns (over any of the same name in any case) and drops helpers in one projection."""
     gone = {c.lower() for c in [*drop, *new]}
     return df.select(*[column(df, c) for c in df.columns if c.lower() not in gone], *[v.alias(k) for k, v in new.items()])
+
+
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For an operator whose helper columns begin with two underscores: input columns that do so too get other names inside it and theirs back."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        taken = {c.lower() for c in docs.columns}
+        inside: dict[str, str] = {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                inside[c] = next(n for k in range(len(taken) + 1) if (n := f"kept{k}{c}") not in inside.values() and n.lower() not in taken)
+        if not inside:
+            return operator(docs, *args, **options)
+        options = {k: inside.get(v, v) if k.endswith("_col") else v for k, v in options.items()}
+        out = operator(docs.select(*[column(docs, c).alias(inside.get(c, c)) for c in docs.columns]), *args, **options)
+        outside = {n: c for c, n in inside.items()}
+        return out.select(*[column(out, c).alias(outside.get(c, c)) for c in out.columns])
+
+    return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, lower_az, steps, with_columns
+from .common import cut, keeps_names, let, lower_az, steps, with_columns
 
 #: Everything in ASCII that is no digit, A-Z or a-z.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,6 +55,7 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+@keeps_names
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Marks the document words that stand in any benchmark window of `window` words.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, lower_az, steps, stored, with_columns
+from .common import SPACE_CHARS, keeps_names, let, lower_az, steps, stored, with_columns
 
 
+@keeps_names
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Drops lines that many documents hold, except in the document of the largest id.
 

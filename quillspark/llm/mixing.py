@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import keeps_names, with_columns
 
 
 def text_size(text: Column) -> Column:
@@ -43,6 +43,7 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     return out.select("source", "source_size", F.when(F.col("fits").isNull() | (F.col("ratio") < F.col("fits")), F.col("cap")).otherwise(F.col("fits") * F.col("weight")).alias("target"))
 
 
+@keeps_names
 def mix_sources(
     docs: DataFrame,
     weights: Sequence[float] = (3.0, 1.0, 2.0),

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, once, with_columns, words_of
+from .common import cut, keeps_names, let, once, with_columns, words_of
 
 FEATURES = ("n_words", "word_length", "symbols", "loud", "capitals", "separators", "distinct_words", "distinct_lines", "line_words", "digits")
 
@@ -112,6 +112,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     return found.select("__id", "label", text_features(F.col(text_col)).alias("stats")).orderBy(F.xxhash64("__id"), "__id").select("label", "stats")
 
 
+@keeps_names
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every document by a rule ensemble that is fitted on a bounded sample of labelled rows.
 

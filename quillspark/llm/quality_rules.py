@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACES, let, once, steps, with_columns, words_of
+from .common import SPACE_CHARS, SPACES, keeps_names, let, once, steps, with_columns, words_of
 
 #: Characters of the symbol count, of the punctuation rule and of the navigation rule; phrases of boilerplate.
 SYMBOLS = r"[#*$%&|<>]"
@@ -41,6 +41,7 @@ def repeat_words(words: Column) -> Column:
     return let(words, of)
 
 
+@keeps_names
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, max_lost_percent: int = 50, text_col: str = "text") -> DataFrame:
     """Removes the lines that fail a rule, then judges each document by what is left. One pass over the rows, no shuffle.
 

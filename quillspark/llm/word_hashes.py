@@ -44,8 +44,12 @@ def spans(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray
     return mixed((weighed[last] - weighed[first]) * powers(INVERSE, len(values) + 1)[first])
 
 
-def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(number of the first text, word hashes, bounds) of blocks of a column's texts; text k of a block has the words bounds[k] to bounds[k + 1]. Null has no words. Words are parted by ASCII white space."""
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_blocks(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, bounds) of blocks of a column's texts; text k of a block has the words bounds[k] to bounds[k + 1]. Null has no words. Words are parted by ASCII white space; lower takes A-Z as a-z."""
     if column.null_count:
         column = column.fill_null("")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -56,6 +60,8 @@ def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
         edges = offsets[at : to + 1] - offsets[at]
         block = data[offsets[at] : offsets[to]]
+        if lower:
+            block = LOWER[block]
         solid = SOLID[block]
         border = np.zeros(len(block) + 1, bool)
         border[edges] = True
