@@ -105,12 +105,13 @@ def infer(samples: list[str], alpha: float = 0.05) -> Automaton:
                 else:
                     x.to[c] = child
 
-    red = [0]
-    while blue := sorted({(child, r, c) for r in red for c, child in tree[r].to.items() if child not in red}):
+    red, settled = [0], {0}
+    while blue := sorted({(child, r, c) for r in red for c, child in tree[r].to.items() if child not in settled}):
         child, parent, c = blue[0]
         same = next((r for r in red if compatible(r, child)), None)
         if same is None:
             red.append(child)
+            settled.add(child)
             continue
         tree[parent].to[c] = same
         fold(same, child)
