@@ -50,7 +50,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held).select("doc_id", F.col("quality").alias("label"))
     out = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -366,3 +366,113 @@ def test_long_thread(spark):
     rows = [(1, i, "user" if i % 2 == 0 else "assistant", str(i)) for i in range(300)]
     (row,) = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert row["formatted"].count(chat.TURN) == 300 and len(row["loss_spans"]) == 150
+
+
+def test_reply_cycles(spark):
+    """Cycles, what hangs off them, missing parents, repeated and null nodes: none stalls or doubles a path."""
+    rows = [("c", 1, 2), ("c", 2, 1), ("c", 3, 2), ("d", 1, 1), ("d", 2, None), ("d", 3, 2), ("d", 3, 2), ("e", 5, 99), ("e", 6, 5), ("e", None, 6), (None, 1, None), (None, 2, 1)]
+    rows += [("f", k, k - 1 if k else None) for k in range(9)]
+    nodes = spark.createDataFrame([(t, n, p, "user", f"{t}{n}", 1.0, "x") for t, n, p in rows], "tree string, node int, parent int, role string, text string, score double, path string")
+    found = {}
+    for r in chat.reply_paths(nodes, top=9).collect():
+        found.setdefault((r["tree"], r["path"]), []).append((r["turn"], r["text"]))
+    assert {k: [x for _, x in sorted(v)] for k, v in found.items()} == {("d", 3): ["d2", "d3"], ("e", 6): ["e5", "e6"], (None, 2): ["None1", "None2"], ("f", 8): [f"f{k}" for k in range(9)]}
+    assert chat.reply_paths(nodes.limit(0)).count() == 0 and chat.format_paths(chat.reply_paths(nodes.limit(0))).count() == 0
+
+
+def test_reply_branches_by_brute_force(spark):
+    r = random.Random(21)
+    nodes = [(t, n, r.randrange(n) if n else None, "user", f"{t}.{n}", r.randint(0, 9) / 4) for t in range(12) for n in range(r.randint(1, 25))]
+    parent, score = {(t, n): p for t, n, p, *_ in nodes}, {(t, n): s for t, n, *_, s in nodes}
+
+    def path(t, n):
+        return [*path(t, parent[t, n]), n] if parent[t, n] is not None else [n]
+
+    want = {}
+    for t in range(12):
+        leaves = {n for u, n in parent if u == t} - {p for (u, _), p in parent.items() if u == t}
+        best = min(leaves, key=lambda n: (-sum(score[t, x] for x in path(t, n)), n))
+        want[t] = path(t, best)
+    found = {}
+    for x in chat.reply_paths(spark.createDataFrame(nodes, "tree int, node int, parent int, role string, text string, score double").repartition(3)).collect():
+        found.setdefault(x["tree"], []).append((x["turn"], int(x["text"].split(".")[1])))
+    assert {t: [n for _, n in sorted(v)] for t, v in found.items()} == want
+
+
+CLASH = ["__m", "__parts", "__id", "__version", "__key", "__bin", "__s", "__n", "__stats", "__score", "__drop_id", "__k", "__h", "kept0__m"]
+
+
+@pytest.mark.parametrize("name", ["lines", "quality", "mixing", "benchmark", "model", "secrets", "licenses"])
+def test_names_of_helpers_stay(name, spark, benchmark, labels):
+    """Extra columns that have the names of helpers keep their names and values."""
+    docs = spark.createDataFrame([(1, f"{LINE}\n{PASSAGE}", "a", *range(len(CLASH))), (2, None, None, *range(len(CLASH)))], "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in CLASH))
+    out = OPERATORS[name](docs, benchmark, labels)
+    assert [tuple(r[c] for c in CLASH) for r in out.collect()] == [tuple(range(len(CLASH)))] * 2
+
+
+def test_planted_secrets(spark):
+    """Bare keys of the formats that the labelled ones have, among long plain tokens: recall and precision of the learned spans."""
+    r = random.Random(14)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda: "".join(r.choice(base62) for _ in range(r.choice([24, 32, 40])))
+    syllables = ["ter", "na", "tion", "al", "ing", "con", "per", "ma", "lo", "gi", "cal", "un", "der", "stand"]
+    plain = lambda: "".join(r.choice(syllables) for _ in range(r.randint(6, 9)))
+    docs = {i: " ".join([*(plain() for _ in range(30)), f"token = {make()}"]) for i in range(150)}
+    planted = {}
+    for i in range(1000, 1200):
+        key, words = make(), [plain() for _ in range(20)]
+        words.insert(r.randrange(20), key)
+        docs[i], planted[i] = " ".join(words), key
+    told = {x["doc_id"]: [docs[x["doc_id"]][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == "format"] for x in secrets.scan_secrets(frame(spark, docs)).where("doc_id >= 1000").collect()}
+    right = sum(planted[i] in told[i] for i in planted)
+    assert right >= 0.9 * len(planted) and right >= 0.9 * sum(map(len, told.values()))
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_licenses_by_brute_force(spark):
+    """Edited whole licenses (words dropped, inserted, changed, wrapped anew; at any place of a text): those that a longest common subsequence tells are found, with the right name."""
+    r = random.Random(15)
+    whole = ["MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0"]
+    docs, named = {}, {}
+    for k in range(100):
+        name = whole[k % len(whole)]
+        words = licenses.TEMPLATES[name].split()
+        for _ in range(len(words) // 20):
+            at = r.randrange(len(words))
+            words[at : at + r.choice([0, 1, 1])] = r.choice([[], ["altered"], ["some", "more"]])
+        filler = [r.choice(["lorem", "the", "of", "software", "and"]) + str(r.randint(0, 99)) for _ in range(r.randint(0, 600))]
+        cut = r.randint(0, len(filler))
+        text = [*filler[:cut], *words, *filler[cut:]]
+        docs[k], named[k] = "".join(w + r.choice([" ", " ", " ", "\n", "\n# "]) for w in text), name
+        coverage = lcs(licenses.license_words(docs[k]), licenses.license_words(licenses.TEMPLATES[name])) / len(licenses.license_words(licenses.TEMPLATES[name]))
+        assert coverage >= 0.8
+    found = {x["doc_id"]: [s["license"] for s in x["licenses"]] for x in licenses.scan_licenses(frame(spark, docs)).collect()}
+    assert sum(named[k] in found[k] for k in docs) >= 0.9 * len(docs)
+    words = {k: licenses.license_words(v) for k, v in licenses.TEMPLATES.items()}
+    assert [x[0] for x in licenses.find_licenses(words["BSD-2-Clause"], words, 0.8)] == ["BSD-2-Clause"]
+    assert [x[0] for x in licenses.find_licenses(words["BSD-3-Clause"], words, 0.8)] == ["BSD-3-Clause"]
+    assert [x[0] for x in licenses.find_licenses(words["MIT-permission"], words, 0.8)] == ["MIT-permission"]
+
+
+def test_rule_scores_by_brute_force(hard, labels, spark):
+    """The column expressions give what the rules give in Python, over the same statistics."""
+    import math
+
+    r = random.Random(16)
+    rules = [quality_model.Rule(tuple((r.choice(quality_model.FEATURES), r.random() < 0.5, r.choice([0.0, 0.1, 0.5, 5.0, 40.0])) for _ in range(r.randint(1, 3))), r.uniform(-2, 2)) for _ in range(25)]
+    model = quality_model.RuleEnsemble(tuple(rules), 0.3)
+    rows = hard.select("text", quality_model.text_features(F.col("text")).alias("f")).select("text", "f", model.score(F.col("f")).alias("score")).collect()
+    for row in rows:
+        f, ws, text = row["f"].asDict(), brute.words(row["text"]), row["text"] or ""
+        assert f["n_words"] == len(ws) and f["distinct_words"] == pytest.approx(len(set(ws)) / max(1, len(ws)))
+        assert f["capitals"] == pytest.approx(sum("A" <= c <= "Z" for c in text) / max(1, len(text))) and f["line_words"] == pytest.approx(max(1, len(ws)) / len(text.split("\n")))
+        total = 0.3 + sum(x.weight for x in rules if all((f[n] > at) == above for n, above, at in x.tests))
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-total)))
