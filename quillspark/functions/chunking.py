@@ -91,8 +91,8 @@ def windows(c: Column, size: int) -> Column:
 
 
 def markdown_links(c: Column) -> Column:
-    """Text and target of each link that is no image."""
-    pattern = r"(?<!!)\[([^\]\n]*)\]\(([^)\s]*)\)"
+    """Text and target of each link that is no image; a target may hold pairs of round brackets."""
+    pattern = r"(?<!!)\[([^\]\n]*)\]\(((?:[^()\s]|\([^()\s]*\))*)\)"
     return F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("label"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("url"))
 
 

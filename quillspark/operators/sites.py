@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from ..functions.text import after_first, cut_from_last
 
-#: Kinds of facility with their labels and the nouns that stand before a place.
+_PLANT, _NUCLEAR = ("elektrownia", "elektrownię", "elektrowni"), ("jądrowa", "jądrowej")
+#: Kinds of facility with their labels and the forms of the words that stand before a place.
 FACILITIES = [
-    ("nuclear_power_plant", "Elektrownia jądrowa", r"\belektrowni(?:a|ę|i)?\s+jądrow(?:ej|a)\s+"),
-    ("power_plant", "Elektrownia", r"\belektrowni(?:a|ę|i)?\s+"),
-    ("refinery", "Rafineria", r"\brafineri[aię]\s+"),
-    ("airport", "Lotnisko", r"\blotnisk[ou]\s+"),
-    ("seaport", "Port", r"\bpor[tc]ie\s+"),
+    ("nuclear_power_plant", "Elektrownia jądrowa", (_PLANT, _NUCLEAR)),
+    ("power_plant", "Elektrownia", (_PLANT,)),
+    ("refinery", "Rafineria", (("rafineria", "rafinerii", "rafinerię"),)),
+    ("airport", "Lotnisko", (("lotnisko", "lotnisku"),)),
+    ("seaport", "Port", (("porcie",),)),
 ]
 
 
+def noun_pattern(words: tuple[tuple[str, ...], ...]) -> str:
+    """Any form of each word, one after the other, in any case, up to where the place begins."""
+    return r"(?iu)\b" + "".join(rf"(?:{'|'.join(forms)})\s+" for forms in words)
+
+
 @dataclass(frozen=True)
 class SiteRules:
     """What goes from pages of one site: all before a pattern, all from the last match of one, literals, matches."""
@@ -59,7 +65,7 @@ def facilities(docs: DataFrame, places: DataFrame) -> DataFrame:
     """
     named = places.select("id", "place", F.explode(F.array_distinct(F.concat(F.array("place"), "names"))).alias("name")).where("name <> ''")
     quoted = F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E(?![\\p{L}\\p{N}_-])"))
-    counts = F.array(*[F.struct(F.lit(kind).alias("facility_type"), F.lit(label).alias("label"), F.regexp_count("text", F.concat(F.lit(f"(?iu){noun}"), quoted)).alias("n")) for kind, label, noun in FACILITIES])
+    counts = F.array(*[F.struct(F.lit(kind).alias("facility_type"), F.lit(label).alias("label"), F.regexp_count("text", F.concat(F.lit(noun_pattern(words)), quoted)).alias("n")) for kind, label, words in FACILITIES])
     found = docs.join(named, "id").select("id", "place", F.explode(counts).alias("c")).select("id", "place", "c.*").where("n > 0")
     per = found.groupBy("id", "place", "facility_type", "label").agg(F.sum("n").alias("mentions"))
     nuclear = per.where("facility_type = 'nuclear_power_plant'").select("id", "place", F.lit(True).alias("has"))

@@ -37,10 +37,9 @@ def chapters(t):
     return t("documents").select("doc_id", F.explode(C.chapters(text)).alias("c")).select("doc_id", "c.position", "c.title")
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace('# ' || text, '**', ''), '^#{1,6} ', ''), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g')) AS plain FROM documents WHERE NOT contains(text, '#') AND NOT contains(text, '__')")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('# ' || text, '(?m)^#{1,6} ', '', 'g'), '\*\*|__', '', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), ' ') AS plain FROM documents")
 def plain_markdown(t):
-    docs = t("documents").where(~F.contains("text", F.lit("#")) & ~F.contains("text", F.lit("__")))
-    return docs.select("doc_id", F.trim(C.plain_markdown(F.concat(F.lit("# "), F.col("text")))).alias("plain"))
+    return t("documents").select("doc_id", F.trim(C.plain_markdown(F.concat(F.lit("# "), F.col("text")))).alias("plain"))
 
 
 @query("SELECT event_id, (extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts)))::BIGINT AS seconds, strftime(ts, '%H:%M:%S') AS clock FROM events")

@@ -12,12 +12,15 @@ WORDS = ("idiot", "moron", "clown", "the apache license", "token")
 
 
 def checkpointed(df):
-    """Ends lineage in the shared folder that spark.checkpoint.dir names; one of its own only where that is unset."""
+    """Ends lineage in the shared folder that spark.checkpoint.dir names. Where it is unset, a local session gets one of its own; a cluster, whose machines share no local folder, an error."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -46,13 +49,13 @@ def trigram_match(t):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, 1000000 + l_suppkey * 1000 + l_partkey % 1000 AS b FROM lineitem WHERE l_quantity > 49), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, 100000000 + o_custkey AS b FROM orders), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS root FROM both_ways UNION SELECT b, r.root FROM r JOIN both_ways ON r.node = both_ways.a)
 SELECT node, min(root) AS root FROM r GROUP BY node
 """)
 def components_merge(t):
-    edges = t("lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("a"), (1000000 + F.col("l_suppkey") * 1000 + F.col("l_partkey") % 1000).alias("b"))
-    return connected(edges, checkpointed)
+    """Orders hang together by their customer."""
+    return connected(t("orders").select(F.col("o_orderkey").alias("a"), (100000000 + F.col("o_custkey")).alias("b")), checkpointed)
 
 
 @query("SELECT doc_id, 'src' || (doc_id % 20) AS title, min(d2) AS target FROM documents LEFT JOIN (SELECT doc_id AS d2, source AS s2 FROM documents) ON s2 = 'src' || (doc_id % 20) GROUP BY 1, 2")

@@ -93,19 +93,19 @@ def counts_used_only(t):
 
 
 @query("""
-SELECT 'region-' || r_regionkey AS id, r_name AS label, 'region' AS kind FROM region UNION SELECT 'nation-' || n_nationkey, n_name, 'nation' FROM nation UNION SELECT 'supplier-' || s_suppkey, s_name, 'supplier' FROM supplier WHERE s_acctbal > 5000
+SELECT 'region-' || r_regionkey AS id, r_name AS label, 'region' AS kind FROM region UNION SELECT 'nation-' || n_nationkey, n_name, 'nation' FROM nation UNION SELECT 'supplier-' || s_suppkey, s_name, 'supplier' FROM supplier
 """)
 def graph_nodes(t):
     node = lambda df, kind, key, name: df.select(F.concat(F.lit(f"{kind}-"), F.col(key)).alias("id"), F.col(name).alias("label"), F.lit(kind).alias("kind"))
     nodes = node(t("region"), "region", "r_regionkey", "r_name").unionByName(node(t("nation"), "nation", "n_nationkey", "n_name"))
-    return nodes.unionByName(node(t("supplier").where("s_acctbal > 5000"), "supplier", "s_suppkey", "s_name")).dropDuplicates(["id"])
+    return nodes.unionByName(node(t("supplier"), "supplier", "s_suppkey", "s_name")).dropDuplicates(["id"])
 
 
 @query("""
-SELECT 'supplier-' || s_suppkey AS src, 'nation-' || s_nationkey AS dst, 'located' AS role FROM supplier WHERE s_acctbal > 5000
+SELECT 'supplier-' || s_suppkey AS src, 'nation-' || s_nationkey AS dst, 'located' AS role FROM supplier
 UNION ALL SELECT 'nation-' || n_nationkey, 'region-' || n_regionkey, 'part_of' FROM nation
 """)
 def graph_edges(t):
     edge = lambda df, a, key, b, to, role: df.select(F.concat(F.lit(f"{a}-"), F.col(key)).alias("src"), F.concat(F.lit(f"{b}-"), F.col(to)).alias("dst"), F.lit(role).alias("role"))
-    located = edge(t("supplier").where("s_acctbal > 5000"), "supplier", "s_suppkey", "nation", "s_nationkey", "located")
+    located = edge(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey", "located")
     return located.unionByName(edge(t("nation"), "nation", "n_nationkey", "region", "n_regionkey", "part_of"))

@@ -11,7 +11,7 @@ from .registry import query
 
 
 @query("""
-SELECT p_partkey, '12' AS marker, 'www.example.com/' || p_partkey AS text, 'www.example.com/' || p_partkey AS url, length('Body 1\n')::BIGINT AS char_offset FROM part
+SELECT p_partkey, '12' AS marker, 'www.example.com/' || p_partkey AS text, 'https://www.example.com/' || p_partkey AS url, length('Body 1\n')::BIGINT AS char_offset FROM part
 UNION ALL SELECT p_partkey, '3', 'Kowalski, ' || p_name || ', 1999', NULL, length('Body 1\n12 www.example.com/' || p_partkey || '\n5 of them stay\n') FROM part
 """.replace("\\n", "' || chr(10) || '"))
 def footnotes(t):

@@ -35,9 +35,9 @@ def fold_text(t):
     return t("documents").select("doc_id", F.sha2(T.fold(F.col("text")), 256).alias("digest"))
 
 
-@query(rf"SELECT doc_id, regexp_replace(trim(regexp_replace(lower(translate(left(text, 60), '{T.MARKED}', '{T.PLAIN}')), '[^a-z0-9 -]', '', 'g')), '[\s-]+', '-', 'g') AS slug FROM documents")
+@query(rf"SELECT doc_id, regexp_replace(trim(regexp_replace(lower(translate(text, '{T.MARKED}', '{T.PLAIN}')), '[^a-z0-9 -]', '', 'g')), '[\s-]+', '-', 'g') AS slug FROM documents")
 def slug(t):
-    return t("documents").select("doc_id", T.slug(F.left("text", F.lit(60))).alias("slug"))
+    return t("documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("""
@@ -49,9 +49,9 @@ def split_names(t):
     return t("customer").select("c_custkey", F.array_join(T.author_names(byline), "|").alias("names"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 40) || chr(10) || '...' || chr(10) || right(text, 40) END AS excerpt FROM conversations WHERE text IS NOT NULL")
+@query("SELECT conv_id, turn, CASE WHEN length(text) <= 80 THEN text ELSE left(text, 40) || chr(10) || '...' || chr(10) || right(text, 40) END AS excerpt FROM conversations")
 def head_tail(t):
-    return t("conversations").where("text IS NOT NULL").select("conv_id", "turn", T.head_tail(F.col("text"), 40).alias("excerpt"))
+    return t("conversations").select("conv_id", "turn", T.head_tail(F.col("text"), 40).alias("excerpt"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?s).{0,20}token.{0,20}'))::BIGINT AS n, array_to_string(regexp_extract_all(text, '(?s).{0,20}token.{0,20}'), '|') AS snippets FROM documents WHERE contains(text, 'token')")

@@ -62,11 +62,10 @@ def feed_upsert(t):
     return p.groupBy("key").agg(F.count("*").alias("seen"), F.min("page_id").alias("first_seen"), F.max("page_id").alias("last_seen"), F.max_by("url", "page_id").alias("url"))
 
 
-@query("SELECT page_id, 'doc ' || page_id AS label, url FROM pages WHERE url NOT LIKE '%)%'")
+@query("SELECT page_id, 'doc ' || page_id AS label, url FROM pages")
 def md_links(t):
     md = F.concat(F.lit("See [doc "), F.col("page_id"), F.lit("]("), F.col("url"), F.lit(") and ![img](x.png)"))
-    pages = t("pages").where(~F.contains("url", F.lit(")")))
-    return pages.select("page_id", F.explode(C.markdown_links(md)).alias("l")).select("page_id", "l.label", "l.url")
+    return t("pages").select("page_id", F.explode(C.markdown_links(md)).alias("l")).select("page_id", "l.label", "l.url")
 
 
 @query("SELECT page_id, 'https://doi.org/10.1000/x' || page_id AS url, 'doi' AS kind FROM pages UNION ALL SELECT page_id, 'https://pubmed.ncbi.nlm.nih.gov/' || (page_id + 100000), 'pmid' FROM pages UNION ALL SELECT page_id, 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || (page_id + 5000), 'pmcid' FROM pages WHERE page_id % 2 = 0")

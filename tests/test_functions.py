@@ -101,7 +101,7 @@ def test_text(spark):
         ("w lutym i marca 2000", "month", 2000, (2000, 3, 1), (2000, 3, 31)),
         ("XIX wieku", "century", 1850, (1801, 1, 1), (1900, 12, 31)),
         ("lata 80.", "decade", 1980, (1980, 1, 1), (1989, 12, 31)),
-        ("1914–1918", "range", 1914, (1914, 1, 1), (1918, 12, 31)),
+        ("1914–1918", "year", 1914, (1914, 1, 1), (1918, 12, 31)),
         ("", None, None, None, None),
     ],
 )
@@ -131,7 +131,7 @@ def test_footnotes_and_lists(spark):
 
     text = "Body\n1 www.e.com/a\n2 of them\n\n\n\n³ Nowak, Title\n4 Nowak 1999\nEND"
     found = value(spark, M.footnotes, text)
-    assert [(f["marker"], f["text"], f["url"]) for f in found] == [("1", "www.e.com/a", "www.e.com/a"), ("3", "Nowak, Title", None), ("4", "Nowak 1999", None)]
+    assert [(f["marker"], f["text"], f["url"]) for f in found] == [("1", "www.e.com/a", "https://www.e.com/a"), ("3", "Nowak, Title", None), ("4", "Nowak 1999", None)]
     assert all(text[f["char_offset"] :].startswith(m) for f, m in zip(found, ("1 www", "³ N", "4 N"), strict=True))
     assert value(spark, M.without_footnotes, text) == "Body\n2 of them\n\nEND"
     assert value(spark, M.is_references, "\n## Bibliografia:\nx") and not value(spark, M.is_references, "")
