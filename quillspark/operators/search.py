@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, unaccent
@@ -79,3 +81,44 @@ def hybrid(docs: DataFrame, embeddings: DataFrame, query: str, vector: list[floa
     lexical = lexical_hits(docs, query)
     semantic = vector_hits(embeddings, vector, least, docs) if vector else lexical.select("document_id", F.lit(None).cast("double").alias("similarity")).where(F.lit(False))
     return merge_hits(lexical, semantic).orderBy(F.desc("similarity"), F.asc("document_id")).limit(limit)
+
+
+def neighbours_of(rows: DataFrame, queries: DataFrame, k: int = 10, row_block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """(id, neighbour, rank, similarity): the k nearest rows of every query by cosine, itself left out; both are (id, embedding).
+
+    Exact, in blocks: rows and queries are dealt into blocks of bounded size, and each pair of blocks is one matrix product that
+    gives at most k rows a query. These partial lists are merged by a window that keeps k a query. Similarity is
+    rounded to six places, ties go to the smaller id. A vector of length zero has no neighbours.
+    """
+
+    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // size))
+        return df.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(name)), n
+
+    r, row_blocks = blocks(rows, row_block, "r")
+    q, query_blocks = blocks(queries, query_block, "q")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left, right = r.select("r", every(query_blocks, "q"), "id", "embedding"), q.select(every(row_blocks, "r"), "q", "id", "embedding")
+
+    def best(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            ids = t.column("id").to_numpy()
+            m = np.array(t.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+            norm = np.sqrt((m * m).sum(axis=1))
+            return ids[norm > 0], m[norm > 0] / norm[norm > 0, None]
+
+        (ids, m), (asked, v) = unit(ours), unit(theirs)
+        if not len(ids) or not len(asked):
+            return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        by_id = np.argsort(ids, kind="stable")
+        ids, m = ids[by_id], m[by_id]
+        scores = np.round(v @ m.T, 6)
+        scores[asked[:, None] == ids[None, :]] = -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(scores, top, axis=1)
+        keep = np.isfinite(found)
+        return pa.table({"id": np.repeat(asked, top.shape[1]).reshape(top.shape)[keep], "neighbour": ids[top][keep], "similarity": found[keep]})
+
+    partial = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(best, "id long, neighbour long, similarity double")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
+    return partial.withColumn("rank", rank).where(F.col("rank") <= k)

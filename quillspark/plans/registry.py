@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "articles", "portal", "search", "entities", "incremental")
+MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "articles", "portal", "search", "entities", "incremental", "feeds", "review", "mutations")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
@@ -28,6 +28,24 @@ def query(sql: str | None = None) -> Callable[[Callable], Callable]:
     return register
 
 
+def literal(x) -> str:
+    """A value as an SQL literal."""
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).lower()
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+
+
+def rows_sql(rows: list[tuple], names: str) -> str:
+    """SQL of the rows themselves: what a query over inline cases must give."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) v({names})"
+
+
+def inline(t, rows: list[tuple], schema: str) -> DataFrame:
+    return t("region").sparkSession.createDataFrame(rows, schema)
+
+
 def _load() -> None:
     for name in MODULES:
         importlib.import_module(f"quillspark.plans.{name}")

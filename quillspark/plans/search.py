@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MARKED, PLAIN
 from ..operators.filters import SearchFilters, apply_filters
-from ..operators.search import hybrid, lexical_hits, token_coverage, vector_hits
+from ..operators.search import hybrid, lexical_hits, neighbours_of, token_coverage, vector_hits
 from .registry import query
 
 QUERY = "the thander with"
@@ -76,3 +76,13 @@ def parser_eval(t):
     right = F.col("expected").eqNullSafe(F.col("actual"))
     scored = expected.join(actual, ["id", "field"], "left").groupBy("field").agg(F.count("*").alias("cases"), F.count_if(right).alias("hits"))
     return scored.withColumn("percent", F.round(F.col("hits") * 100.0 / F.col("cases"), 2))
+
+
+@query("""
+WITH s AS (SELECT q.vec_id AS id, e.vec_id AS neighbour, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM s) SELECT id, neighbour, rank, similarity FROM r WHERE rank <= 10
+""")
+def vector_neighbours(t):
+    """Every vector whose id is divisible by 20 is a query, against all vectors."""
+    rows = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return neighbours_of(rows, rows.where("id % 20 = 0"))
