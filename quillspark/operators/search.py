@@ -121,4 +121,4 @@ def neighbours_of(rows: DataFrame, queries: DataFrame, k: int = 10, row_block: i
 
     partial = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(best, "id long, neighbour long, similarity double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
-    return partial.withColumn("rank", rank).where(F.col("rank") <= k)
+    return partial.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)

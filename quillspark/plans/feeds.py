@@ -22,7 +22,7 @@ def _feeds(t, item, head: str, tail: str):
 
 
 def _rows(feeds, entries):
-    return feeds.select("feed", F.posexplode(entries).alias("position", "e")).select("feed", "position", "e.*")
+    return feeds.select("feed", F.posexplode(entries).alias("position", "e")).select("feed", F.col("position").cast("long").alias("position"), "e.*")
 
 
 @query(_ENTRIES.format(published="CASE WHEN page_id % 3 = 0 THEN '2024-03-0' || (page_id % 9 + 1) || 'T10:00:00+01:00' WHEN page_id % 3 = 1 THEN 'soon' ELSE '' END", summary="CASE WHEN page_id % 2 = 0 THEN 'Bold ' || page_id ELSE '' END"))
