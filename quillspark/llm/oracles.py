@@ -17,7 +17,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 """
 
 _LOUD = r"[!?#*$%&|<>{}~^=_\\]"
-_STOCK = r"(?i)\b(cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|sign up|log in|subscribe now|lorem ipsum)\b"
+_STOCK = (
+    r"(?i)\b((cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|sign up|log in|subscribe now|lorem ipsum|"
+    r"datenschutzerkl[äÄ]rung|cookie-richtlinie|nutzungsbedingungen|alle rechte vorbehalten|javascript aktivieren|hier klicken|jetzt (anmelden|abonnieren|registrieren)|impressum|"
+    r"politique de cookies|mentions l[éÉ]gales|conditions d.utilisation|tous droits r[éÉ]serv[éÉ]s|activer javascript|cliquez ici|se connecter|abonnez-vous|"
+    r"pol[íÍ]tica de (cookies|privacidad)|aviso legal|t[éÉ]rminos (de uso|y condiciones)|todos los derechos reservados|activar javascript|(haz|haga) clic|iniciar sesi[óÓ]n|suscr[íÍ]bete)\b|politique de confidentialit)"
+)
 OP2 = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 grams AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),

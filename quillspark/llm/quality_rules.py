@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, SPACES, keeps_names, let, once, steps, with_columns, words_of
 
-#: Characters of the symbol count, of the punctuation rule and of the navigation rule; phrases of boilerplate.
+#: Characters of the symbol count, of the punctuation rule and of the navigation rule.
 SYMBOLS = r"[#*$%&|<>]"
 LOUD = r"[!?#*$%&|<>{}~^=_\\]"
 SEPARATORS = r"[|»›•]"
-BOILERPLATE = r"(?i)\b(cookie policy|privacy policy|terms of (use|service)|all rights reserved|enable javascript|click here|sign up|log in|subscribe now|lorem ipsum)\b"
-
+#: Stock phrases of pages in English, German, French and Spanish, each from and to an ASCII letter, marked letters in both cases.
+STOCK_PHRASES = (
+    "cookie policy", "privacy policy", "terms of (use|service)", "all rights reserved", "enable javascript", "click here", "sign up", "log in", "subscribe now", "lorem ipsum",
+    "datenschutzerkl[äÄ]rung", "cookie-richtlinie", "nutzungsbedingungen", "alle rechte vorbehalten", "javascript aktivieren", "hier klicken", "jetzt (anmelden|abonnieren|registrieren)", "impressum",
+    "politique de cookies", "mentions l[éÉ]gales", "conditions d.utilisation", "tous droits r[éÉ]serv[éÉ]s", "activer javascript", "cliquez ici", "se connecter", "abonnez-vous",
+    "pol[íÍ]tica de (cookies|privacidad)", "aviso legal", "t[éÉ]rminos (de uso|y condiciones)", "todos los derechos reservados", "activar javascript", "(haz|haga) clic", "iniciar sesi[óÓ]n", "suscr[íÍ]bete",
+)
+BOILERPLATE = rf"(?i)\b(({'|'.join(STOCK_PHRASES)})\b|politique de confidentialit)"
 
 def line_fails(line: Column) -> Column:
-    """Punctuation: 4 or more loud characters and over 0.3 a word. Navigation: 3 or more separators and over 0.2 a word. Boilerplate: a stock phrase in a line of at most 25 words."""
+    """Punctuation: 4 or more loud characters and over 0.3 a word. Navigation: 3 or more separators and over 0.2 a word. Boilerplate: a stock phrase of one of four languages in a line of at most 25 words."""
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     loud = F.regexp_count(line, F.lit(LOUD))
     separators = F.regexp_count(line, F.lit(SEPARATORS))

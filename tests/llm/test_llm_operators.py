@@ -132,6 +132,15 @@ def test_quality_lines(spark):
     assert rows[1]["kept"] and rows[1]["clean_text"] == prose and not rows[2]["kept"]
 
 
+@pytest.mark.parametrize("line", ["Click here", "Unsere Datenschutzerklärung", "Jetzt ANMELDEN!", "Impressum", "Politique de confidentialité", "© Tous droits réservés", "POLÍTICA DE PRIVACIDAD", "Inicie: iniciar sesión", "Haga clic."])
+def test_stock_phrases(spark, line):
+    """A stock phrase of any of the languages costs a short line, not a long one."""
+    prose = "\n".join(" ".join(f"{w}{i * i}" for w in ("hier", "sind", "quelques", "palabras", "of", "line")) + "." for i in range(20))
+    long = " ".join(["und", "dann", line] * 13)
+    out = quality_rules.quality_rules(frame(spark, {1: f"{prose}\n{line}\n{long}"})).first()
+    assert out["clean_text"] == f"{prose}\n{long}"
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 3])
 def test_anchors_meet(spark, distance):
     """Fingerprints within the distance share an anchor, wherever the bits are."""
