@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,17 +22,43 @@ def merge_entries(old: DataFrame, batch: DataFrame) -> DataFrame:
     return both.groupBy("feed", "key").agg(F.max_by("title", "last_seen").alias("title"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def upsert_table(stream: DataFrame, target: str, checkpoint: str, keys: list[str], at: str) -> StreamingQuery:
-    """Keeps the newest row of each key in a parquet table. Each batch writes a new version beside the old, named by its
-    batch, so a batch that runs again after a failure writes the same."""
+def current_paths(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """Where each bucket of a table of upsert_table stands, after all batches or those before a number: as many entries as buckets."""
+    batches = [int(r["batch"]) for r in _log(spark, target).select("batch").distinct().collect()]
+    past = [n for n in batches if before is None or n < before]
+    return {r["bucket"]: r["path"] for r in _log(spark, target).where(F.col("batch") == max(past)).collect()} if past else {}
+
+
+def _log(spark: SparkSession, target: str) -> DataFrame:
+    try:
+        return spark.read.schema("bucket int, path string, batch long").parquet(f"{target}/log")
+    except AnalysisException:  # nothing is written yet
+        return spark.createDataFrame([], "bucket int, path string, batch long")
+
+
+def read_table(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of a table of upsert_table, as of its last batch."""
+    return spark.read.parquet(*current_paths(spark, target).values())
+
+
+def upsert_table(stream: DataFrame, target: str, checkpoint: str, keys: list[str], at: str, buckets: int = 16) -> StreamingQuery:
+    """Keeps the newest row of each key in a parquet table in buckets of the keys' hash.
+
+    A batch reads and writes anew only the buckets that its keys fall into, then logs where each bucket stands: that log is
+    what makes a batch count. A batch that runs again after a failure starts from the batches before it and writes the same.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy(*keys).agg(F.max(F.struct(at, *[c for c in batch.columns if c not in (*keys, at)])).alias("r")).select(*keys, "r.*").select(*batch.columns)
-        out = newest
-        if number > 0:
-            out = upsert_latest(spark.read.parquet(f"{target}/version={number - 1}"), newest, keys, at)
-        out.write.mode("overwrite").parquet(f"{target}/version={number}")
+        old = current_paths(spark, target, number)
+        touched = [r["b"] for r in batch.select(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]
+        read = [old[b] for b in touched if b in old]
+        out = upsert_latest(spark.read.schema(batch.schema).parquet(*read), newest, keys, at) if read else newest
+        out.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/data/batch={number}")
+        stands = old | {b: f"{target}/data/batch={number}/bucket={b}" for b in touched}
+        if stands:
+            spark.createDataFrame(sorted(stands.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{target}/log/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
