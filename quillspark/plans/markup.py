@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions import names as N
 from ..operators.sites import SiteRules, clean_pages, facilities
-from .registry import query
+from .registry import inline, query, rows_sql
 
 
 @query("""
@@ -88,6 +88,27 @@ def name_guards(t):
     return t("customer").select("c_custkey", N.label_matches(mention, F.lit("Emmanuel Macron")).alias("matches"), N.is_truncated_lemma(F.lit("Wil"), variants).alias("truncated"))
 
 
+_GUARDS = [
+    (1, "Macrona", "Emmanuel Macron", "Brn", ["Brnem"], "A.", True, True, True),
+    (2, "Lepen", "Marine Le Pen", "Wil", ["Wilno", "Wilnie"], "J. K.", True, True, True),
+    (3, "demokratas", "Žemaitė", "Wil", ["Wilno", "Wil"], "J. Kowalski", False, False, False),
+    (4, "JÓZEFA", "Jozef Kot", "Brn", ["Brna"], "j.", True, False, False),
+    (5, "Li", "Li Wei", "BRN", ["brnem"], "", False, True, False),
+    (6, "Ann", "Joanna-Maria X", "Wegr", ["Węgrzy"], "Jan", True, False, False),
+    (7, "Al Bo", "Albo", "Brn", [], "J. K. Kot", False, False, False),
+    (8, "", "Jan Kot", "Brn", ["Brnem", "Wilno"], "A. B. C.", False, False, True),
+    (9, "Kowalski", "", "Gdańs", ["Gdańska", "GDAŃSKU"], "AB.", False, True, False),
+    (10, "pan Kot", "Ewa Kotowska", "Rz", ["Rzym"], "A", True, True, False),
+]
+
+
+@query(rows_sql([(r[0], *r[6:]) for r in _GUARDS], "id, matches, truncated, initials"))
+def name_guard_cases(t):
+    rows = inline(t, [r[:6] for r in _GUARDS], "id int, mention string, label string, base string, variants array<string>, surface string")
+    guards = [N.label_matches(F.col("mention"), F.col("label")).alias("matches"), N.is_truncated_lemma(F.col("base"), F.col("variants")).alias("truncated"), N.is_initials(F.col("surface")).alias("initials")]
+    return rows.select("id", *guards)
+
+
 @query("SELECT c_nationkey, mode AS spelling FROM (SELECT c_nationkey, c_mktsegment AS mode, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, min(c_custkey)) AS k FROM customer GROUP BY 1, 2) WHERE k = 1")
 def preferred_spellings(t):
     ordered = t("customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_mktsegment"))).alias("s"))
