@@ -89,5 +89,55 @@ FROM o GROUP BY conv_id
 """
 
 
+
+def _op12(rounds: int = 6) -> str:
+    """Rounds of assigning and averaging, written out one after another."""
+    near = "SELECT v.k, v.part, v.p, min({ 'd': list_sum(list_transform(list_zip(v.p, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': b.entry }) AS best FROM v JOIN b{r} b ON v.part = b.part GROUP BY v.k, v.part, v.p"
+    mean = (
+        "SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT part, entry, list((s - (s % n + n) % n) // n ORDER BY d) AS c FROM "
+        "(SELECT part, best.e AS entry, d, sum(p[d])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, 9)) AS d FROM a{r}) GROUP BY ALL) GROUP BY part, entry) m ON b.part = m.part AND b.entry = m.entry"
+    )
+    steps = [
+        "WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS k, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true))",
+        "v AS MATERIALIZED (SELECT k, part, x[part * 8 + 1:part * 8 + 8] AS p FROM (SELECT *, unnest(range(0, 8)) AS part FROM kept))",
+        "b0 AS MATERIALIZED (SELECT part, k - 1 AS entry, p AS c FROM v WHERE k <= 16)",
+    ]
+    for r in range(rounds):
+        steps += [f"a{r} AS MATERIALIZED ({near.replace('{r}', str(r))})", f"b{r + 1} AS MATERIALIZED ({mean.replace('{r}', str(r))})"]
+    steps += [
+        f"a AS MATERIALIZED ({near.replace('{r}', str(rounds))})",
+        "coded AS (SELECT k, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a GROUP BY k)",
+        f"told AS (SELECT sha256(string_agg(c[d]::VARCHAR, ',' ORDER BY part, entry, d)) AS codebooks_sha256 FROM (SELECT *, unnest(range(1, 9)) AS d FROM b{rounds}))",
+    ]
+    return ", ".join(steps) + " SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (k), told"
+
+
+OP12 = _op12()
+
+#: CRC-32 by its definition, eight steps a byte, over the distinct features.
+_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+OP13 = rf"""
+WITH RECURSIVE bytes(i, k, c) AS (SELECT i, 0, i FROM range(256) t(i) UNION ALL SELECT i, k + 1, {_STEP} FROM bytes WHERE k < 8),
+crcs AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bytes WHERE k = 8),
+texts AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id, {_ITEM} AS ws FROM documents UNION ALL SELECT 'b', row_number() OVER (), NULL, {_ITEM} FROM benchmark),
+found AS MATERIALIZED (SELECT side, row, array_to_string(ws[i:i + n - 1], ' ') AS f FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM (SELECT *, unnest([1, 2, 3]) AS n FROM texts))),
+named AS MATERIALIZED (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM found), crcs),
+placed AS MATERIALIZED (SELECT side, row, bucket FROM found JOIN named USING (f)),
+sums AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM placed),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT t0.s FROM sums t0) + 10000)::DOUBLE / ((s + 1.0::DOUBLE) * ((SELECT t0.t FROM sums t0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM placed GROUP BY bucket)),
+weighed AS (SELECT row, count(*) AS n_features, sum(gain) AS weight FROM placed JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row),
+scored AS (
+  SELECT doc_id, len(ws) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM texts LEFT JOIN weighed USING (row) WHERE side = 'd'),
+drawn AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place, 5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= k THEN place END AS rank FROM drawn
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op5_mixing": OP5, "op6_decontamination": OP6, "op9_substring_dedup": OP9, "op10_chat_format": OP10}
+    return {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op5_mixing": OP5, "op6_decontamination": OP6, "op9_substring_dedup": OP9, "op10_chat_format": OP10, "op12_vector_codes": OP12, "op13_resampling": OP13}

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_turns, unescape
-from .common import table
+from .common import shared_folder, table
 from .decontaminate import find_benchmark
 from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality_model import score_quality
 from .quality_rules import quality_rules
+from .resampling import importance_ranks
 from .secrets import scan_secrets
 from .simhash import label_documents
 from .substring_dedup import dedup_substrings
+from .token_files import read_token_files, write_token_files
+from .vector_codes import code_vectors, codebooks_hash, told_code, with_label_errors
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +84,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("masked").cast("long").alias("loss_chars"), F.sha2("masked", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files to the shared folder and reads them back."""
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), by_words=True, end_id=2, vocabulary=49_408)
+    out = read_token_files(spark, folder)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = code_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    out = with_label_errors(coded.select("vec_id", "label", "code", "error"))
+    return out.select("vec_id", told_code(F.col("code")).alias("code"), "error", "label_error", F.lit(codebooks_hash(books)).alias("codebooks_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,5 +110,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_line_dedup, op2_quality_rules, op3_simhash, op4_secrets, op5_mixing, op6_decontamination, op7_quality_model, op8_licenses, op9_substring_dedup, op10_chat_format)
+    ops = (op1_line_dedup, op2_quality_rules, op3_simhash, op4_secrets, op5_mixing, op6_decontamination, op7_quality_model, op8_licenses, op9_substring_dedup, op10_chat_format, op11_token_files, op12_vector_codes, op13_resampling)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}

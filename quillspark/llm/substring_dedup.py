@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .fm_index import ShardIndex
-from .word_hashes import spans, word_blocks
+from .word_hashes import Block, hash_words, joined_words, run_hashes, text_blocks
+
 
 def least_places(grams: np.ndarray, span: int) -> np.ndarray:
     """For each window of `span` grams, the place of its least, the leftmost of equals."""
@@ -27,15 +28,17 @@ def least_places(grams: np.ndarray, span: int) -> np.ndarray:
     return at
 
 
-def segments_of(h: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, key, body) of the segments of a block of texts: neighbouring windows whose least gram is the same one.
+def segments_of(b: Block, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, key, body, more) of the segments of a block of texts: neighbouring windows whose least gram is the same one.
 
-    key is the gram's hash, body hashes all words of the segment. Equal windows have equal keys, wherever they stand.
+    key is the gram's hash: equal windows have equal keys, wherever they stand. body and more are the XXH128 of the segment's
+    words, joined by spaces.
     """
-    n = len(h) - window + 1
+    n = len(b.first) - window + 1
     if n < 1:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    grams = spans(h, np.arange(len(h) - gram + 1), np.arange(gram, len(h) + 1))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    h, bounds = hash_words(b.data, b.first, b.last), b.bounds
+    grams = run_hashes(h, np.arange(len(h) - gram + 1), gram)
     at = least_places(grams, window - gram + 1)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     inside = text[:n] == text[window - 1 :]
@@ -44,8 +47,10 @@ def segments_of(h: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tu
     starts = np.flatnonzero(new & inside)
     breaks = np.append(np.flatnonzero(new | ~inside), n)
     counts = breaks[np.searchsorted(breaks, starts, "right")] - starts
-    bodies = spans(h, starts, starts + counts - 1 + window)
-    return text[starts], starts - bounds[text[starts]], counts, grams[at[starts]].view(np.int64), bodies.view(np.int64)
+    data, first, last = joined_words(b)
+    digests = b"".join([xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(first[starts].tolist(), last[starts + counts - 2 + window].tolist(), strict=True)])
+    body = np.frombuffer(digests, np.int64).reshape(-1, 2)
+    return text[starts], starts - bounds[text[starts]], counts, grams[at[starts]].view(np.int64), body[:, 0].copy(), body[:, 1].copy()
 
 
 def split(text) -> list[bytes]:
@@ -69,17 +74,17 @@ def windows_of(at: Column) -> Column:
 
 
 def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, version, at, key, body) of every segment of the texts in docs (id, version, text)."""
+    """(id, version, at, key, body, more) of every segment of the texts in docs (id, version, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, h, bounds in word_blocks(batch.column(2)):
-                text, start, count, key, body = segments_of(h, bounds, window, gram)
-                row = pa.array(text + first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(body)], names=["id", "version", "start", "windows", "key", "body"])
+            for block in text_blocks(batch.column(2)):
+                text, start, count, key, body, more = segments_of(block, window, gram)
+                row = pa.array(text + block.at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key), pa.array(body), pa.array(more)], names=["id", "version", "start", "windows", "key", "body", "more"])
 
-    rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version long, start int, windows int, key long, body long")
-    return rows.select("id", "version", place(F.col("start"), F.col("windows")).alias("at"), "key", "body")
+    rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version long, start int, windows int, key long, body long, more long")
+    return rows.select("id", "version", place(F.col("start"), F.col("windows")).alias("at"), "key", "body", "more")
 
 
 def shard_texts(wanted: DataFrame, window: int) -> DataFrame:
@@ -124,12 +129,10 @@ def search_shards(pieces: DataFrame, window: int, shard_words: int) -> DataFrame
         fresh = np.ones(len(version), bool)
         fresh[1:] = ~(same & (version[1:] == version[:-1]) & (start[1:] == start[:-1]))
         keep = np.flatnonzero(fresh)
-        hashes, lengths = [], []
-        for chunk in shard.column("piece").take(pa.array(keep)).chunks:
-            for _, h, bounds in word_blocks(chunk):
-                hashes.append(h)
-                lengths.append(np.diff(bounds))
-        index = ShardIndex(np.unique(np.concatenate(hashes), return_inverse=True)[1], np.concatenate(lengths), next(q for q in (4, 3, 2, 1) if window % q == 0))
+        # words are numbered by their bytes, so equal numbers are equal words
+        pieces = pc.split_pattern(shard.column("piece").combine_chunks().take(pa.array(keep)).cast(pa.large_string()), " ")
+        numbers = pieces.flatten().dictionary_encode().indices.to_numpy()
+        index = ShardIndex(numbers, pc.list_value_length(pieces).to_numpy(), next(q for q in (4, 3, 2, 1) if window % q == 0))
         counts = counts[keep]
         of = np.repeat(np.arange(len(keep)), counts)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -192,8 +195,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, shard_wor
     """Removes every word under a window of `window` words that also starts earlier (smaller id, or earlier in the text).
 
     Texts are cut into segments, neighbouring windows that share their least gram; equal windows get equal keys.
-    Keys that occur once are done. Of the others, equal segments collapse to their first instance; later instances go
-    whole. Keys with several contents are dealt to shards, where an FM-index finds the windows of one segment
+    Keys that occur once are done. Of the others, equal segments (by the XXH128 of their words) collapse to their first instance; later instances go
+    whole. Keys with several contents are dealt to shards, where an FM-index over words as they are finds the windows of one segment
     in another. Keys of over hot_contents contents are too large for a shard: their windows are hashed one by one and grouped
     instead, which is exact too. Counts and firsts are taken in two steps (partial, then final), so common passages
     and copies are spread over all tasks, and a shard stays bounded.
@@ -212,8 +215,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, shard_wor
     again = stored(found.join(often, "key"))
     first = F.struct("id", "version", "at")
     spread = lambda rows: rows.select("id", "version", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"))
-    firsts = stored(again.groupBy("key", "body").agg(F.count("*").alias("times"), F.min(first).alias("first")))
-    copies = spread(again.join(firsts.where("times > 1").select("key", "body", "first"), ["key", "body"]).where(~first.eqNullSafe(F.col("first"))))
+    firsts = stored(again.groupBy("key", "body", "more").agg(F.count("*").alias("times"), F.min(first).alias("first")))
+    copies = spread(again.join(firsts.where("times > 1").select("key", "body", "more", "first"), ["key", "body", "more"]).where(~first.eqNullSafe(F.col("first"))))
     contents = firsts.groupBy("key").count().where(F.col("count") > 1).select("key", (F.col("count") > hot_contents).alias("hot"))
     unsure = firsts.join(contents, "key").select("first.id", "first.version", "first.at", "key", "hot")
     range_of = F.struct("key", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"), "hot")
