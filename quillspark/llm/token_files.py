@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -14,12 +16,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .word_hashes import text_blocks
+from .word_hashes import LOWER, Block, text_blocks
 
-#: What a worker keeps of words already encoded, at most.
-KEPT_WORDS = 400_000
+#: What a worker keeps of words and pieces already encoded, at most.
+KEPT_WORDS = 600_000
 #: White space other than the line ends that part words here, and the beginning of a control token: such words are encoded whole.
 _OTHER_SPACE, _CONTROL = re.compile(r"[^\S\n]"), "<|"
+#: Fixed value: a splitter that makes pieces of letters, single digits and runs of other marks. Its pieces of plain ASCII words are found without it.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: 1 letters, 2 digits, 3 other visible marks of ASCII; 0 makes a word one that only the tokenizer splits.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[48:58] = 2
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[[39, 124]] = 0
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -31,7 +41,8 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 class Encoder:
     """A tokenizer of the tokenizers library. by_words: words parted by ASCII white space are encoded once each and put together.
 
-    by_words holds for a tokenizer that drops white space before its merges, so no token and no rule of it spans two words.
+    by_words holds for a tokenizer that drops white space before its merges, so no token and no rule of it spans two words. If its
+    splitter is LETTER_RUNS over lower-case text, plain ASCII words fall into its pieces right here, and only pieces are merged.
     """
 
     def __init__(self, path: str, by_words: bool):
@@ -39,17 +50,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
-        self._forget()
+        told = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_runs = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": LETTER_RUNS} and not splits[1]["add_prefix_space"]
         self.pieces: dict[str, list[int]] = {}
+        self._forget()
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
     def _ids(self, words: list[str]) -> list[list[int]]:
         """Ids of words, by the tokenizer's own normalizer, splitter and merges; each distinct piece is merged once."""
         out: list[list[int]] = []
@@ -66,29 +83,50 @@ class Encoder:
             for (piece, _), word in zip(found, np.searchsorted(borders, [at for _, (at, _) in found]).tolist(), strict=True):
                 ids = self.pieces.get(piece)
                 if ids is None:
-                    ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(piece)]
+                    ids = self.pieces[piece] = self._merged(piece)
                 own[word] += ids
             out += own
         if len(self.pieces) > KEPT_WORDS:
             self.pieces = {}
         return out
 
-    def _rows_of(self, words: list[str]) -> np.ndarray:
-        """Where the ids of distinct words are kept."""
+    def _rows_of(self, units: list[str]) -> np.ndarray:
+        """Where the ids of distinct units (words, or pieces in lower case) are kept."""
         if len(self.rows) > KEPT_WORDS:
             self._forget()
-        missing = [w for w in words if w not in self.rows]
-        for w, ids in zip(missing, self._ids(missing), strict=True):
-            row = len(self.rows)
-            if row == len(self.starts):
-                self.starts, self.sizes = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.starts, self.sizes))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[row], self.sizes[row] = self.used, len(ids)
-            self.used += len(ids)
-            self.rows[w] = row
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        get = self.rows.get
+        found = np.array([get(u, -1) for u in units], np.int64)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [units[k] for k in missing.tolist()]
+            hard = [k for k, u in enumerate(new) if not (self.by_runs and u.isascii() and _CLASS[u.encode()[0]] and "'" not in u and "|" not in u and u.isprintable())]
+            ids = [[]] * len(new)
+            for k, own in zip(hard, self._ids([new[k] for k in hard]), strict=True):
+                ids[k] = own
+            merge, left = self._merged, set(range(len(new))).difference(hard)
+            for k in left:
+                ids[k] = merge(new[k])
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.sizes = np.concatenate((self.sizes, sizes))
+            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
+            found[missing] = np.arange(len(self.rows), len(self.rows) + len(new))
+            self.rows.update(zip(new, found[missing].tolist(), strict=True))
+        return found
+
+    def _units(self, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, borders, bounds) of a block's units: bytes[borders[k]:borders[k + 1]] is one, text i has the units bounds[i] to bounds[i + 1]."""
+        data, sizes = b.data[b.inside], b.last - b.first
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        if not self.by_runs or not len(data):
+            return data, starts, b.bounds
+        kind = _CLASS[data]
+        plain = np.repeat(np.minimum.reduceat(kind, starts[:-1]) > 0, sizes)
+        new = np.ones(len(data), bool)
+        new[1:] = plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        new[starts[:-1]] = True
+        borders = np.append(np.flatnonzero(new), len(data))
+        return np.where(plain, LOWER[data], data), borders, np.searchsorted(borders, starts[b.bounds])
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of the first text, ids, bounds) of blocks of texts. Null is empty."""
@@ -97,12 +135,11 @@ class Encoder:
             yield 0, np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0, *map(len, found)])
             return
         for b in text_blocks(column):
-            sizes = b.last - b.first
-            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(b.data[b.inside]))).dictionary_encode()
-            rows = self._rows_of(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(sizes) else np.zeros(0, np.int64)
+            data, borders, bounds = self._units(b)
+            units = pa.StringArray.from_buffers(len(borders) - 1, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+            rows = self._rows_of(units.dictionary.to_pylist())[units.indices.to_numpy()] if len(borders) > 1 else np.zeros(0, np.int64)
             counts = self.sizes[rows]
-            yield b.at, ragged(self.flat, self.starts[rows], counts), np.concatenate(([0], np.cumsum(counts)))[b.bounds]
+            yield b.at, ragged(self.flat, self.starts[rows], counts), np.concatenate(([0], np.cumsum(counts)))[bounds]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
