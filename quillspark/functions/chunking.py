@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE_CHARS, strip
+from .text import SPACE_CHARS, let, strip
 
 #: Fixed value: a last chunk below this share of the limit joins the one before.
 TAIL = 0.15
@@ -44,10 +44,6 @@ def merge_tail(chunks: Column, limit: int, separator: str) -> Column:
     return F.when((n >= 2) & (F.length(last) < limit * TAIL), joined).otherwise(chunks)
 
 
-def let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sentence_chunks(c: Column, limit: int) -> Column:
     """Sentences, one a line, in chunks; line ends inside sentences become spaces."""
     flat = F.regexp_replace(F.regexp_replace(c, r"\n(?!\n)", " "), r" {2,}", " ")

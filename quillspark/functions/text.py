@@ -21,6 +21,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, however often body (or a lambda in it) names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unaccent(c: Column) -> Column:
     return F.translate(c, MARKED, PLAIN)
 
