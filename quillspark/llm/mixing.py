@@ -20,6 +20,11 @@ def text_quality(text: Column, size: Column) -> Column:
     return F.when(size > 0, F.lit(0.25) + 0.75 * F.least(mean / 6.0, 6.0 / F.greatest(mean, F.lit(0.5)))).otherwise(0.25)
 
 
+def key_range(key: Column, bins: int) -> Column:
+    """The number of a positive key's range, of `bins` a doubling."""
+    return F.floor(F.log2(key) * bins)
+
+
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """The words that each source is to give: share of all words by weight, none above `most` times its own.
 
@@ -51,7 +56,7 @@ def mix_sources(
     most: float = 2.0,
     quality: Column | None = None,
     seed: int = 17,
-    bins: int = 4096,
+    bins: int = 1024,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -61,21 +66,23 @@ def mix_sources(
     Sources in order of name (null last) have the weights in turn. A source takes each of its documents whole as often
     as its size fits into its target, then a fraction: documents in order of their Efraimidis-Spirakis keys,
     -ln(u) / quality with u from a hash of id and seed, until the words left are used up; the document at the edge is
-    taken in part, so taken words meet the target rounded down. Prefix sums are taken in two levels, of `bins` key ranges and
-    within each, so no task holds a source.
+    taken in part, so taken words meet the target rounded down. Prefix sums are taken in two levels, of key ranges and
+    within each, so no task holds a source: a doubling of keys has `bins` ranges, and as of exponential variates of any weight at most 0.26
+    fall within one doubling, a range has at most 0.26 / bins of a source, whatever the weights of its documents.
 
     Adds size, source_size, target, epochs, taken (replacing input columns of these names); all rows stay, with taken 0 where
-    unused. Null or empty text has size 0 and is never taken. Null sources are one source; null ids, ties and repeated
-    rows are told apart by size alone and otherwise alike, so results are the same on every run. Empty in, empty out.
+    unused. Null or empty text has size 0 and is never taken. Null sources are one source; null ids
+    are told apart by their texts, ties and repeated rows by size alone and otherwise alike, so results are the same on every run. Empty in, empty out.
     """
     size = text_size(F.col(text_col))
     sized = with_columns(docs, [], size=size)
     weight = quality if quality is not None else text_quality(F.col(text_col), F.col("size"))
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    told = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.xxhash64(text_col)))
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", told, F.lit(str(seed)))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     # keys without nulls, so that the windows and the join share one partitioning and rows are shuffled once
     named = {"__s": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "__n": F.col(source_col).isNull()}
     keyed = with_columns(sized, [], __key=-F.log(u) / F.greatest(weight, F.lit(1e-6)), **named)
-    keyed = with_columns(keyed, [], __bin=F.least(F.floor((1 - F.exp(-F.col("__key"))) * bins), F.lit(bins - 1)))
+    keyed = with_columns(keyed, [], __bin=key_range(F.col("__key"), bins))
 
     narrow = sized.select(F.col(source_col).alias("source"), "size")
     goal = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import near_copies, resampling, substring_dedup, token_files, vector_codes, word_hashes
+from quillspark.llm import mixing, near_copies, resampling, substring_dedup, token_files, vector_codes, word_hashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -236,3 +236,24 @@ def test_ranks_of_hard_rows(spark):
     assert resampling.importance_ranks(empty, empty.select("text")).count() == 0
     assert resampling.importance_ranks(docs, empty.select("text")).count() == 83
     assert resampling.importance_ranks(docs.where(F.lit(False)), target).count() == 0
+
+
+# mixing
+
+
+@pytest.mark.parametrize("weights", [(0.25,), (1.0,), (0.25, 0.5, 0.7, 1.0), (1e-6, 1.0)])
+def test_no_range_of_keys_is_heavy(spark, weights):
+    bins, n = 64, 40_000
+    r = random.Random(3)
+    keys = spark.createDataFrame([(-math.log(r.random()) / r.choice(weights),) for _ in range(n)], "key double")
+    most = keys.groupBy(mixing.key_range(F.col("key"), bins).alias("b")).count().agg(F.max("count")).first()[0]
+    assert most <= 3 * 0.26 / bins * n
+
+
+def test_null_ids_are_told_apart(spark):
+    rows = [(None, " ".join(["word"] * (i % 17 + 1)) + f" t{i}", "a") for i in range(400)] + [(i, "x y z", "b") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix_sources(docs).collect()
+    assert sorted((x.text, x.taken) for x in out) == sorted((x.text, x.taken) for x in mixing.mix_sources(docs.repartition(5)).collect())
+    taken, goal = sum(x.taken for x in out if x.source == "a"), next(x.target for x in out if x.source == "a")
+    assert goal - 1 < taken <= goal and all(0 <= x.taken <= 2 * x.size for x in out)
