@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "articles", "portal", "search", "entities", "incremental", "feeds", "review", "mutations", "places", "answers", "workflow", "repairs")
+MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "articles", "portal", "search", "entities", "incremental", "feeds", "review", "mutations", "places", "answers", "workflow", "repairs", "flows")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
