@@ -77,14 +77,16 @@ def may_fetch(url: Column) -> Column:
 
 
 def parsed_query(payload: Column) -> Column:
-    """A model's JSON as a query: days and years in order, lists and sort checked, swapped telling of ranges that were turned, error naming the first field that isn't legal."""
+    """A model's JSON as a query: days and years in order, lists and sort checked, swapped telling of ranges that were turned, error naming the first field that isn't legal, `response` for what is no JSON object."""
+    # broken JSON still yields a struct of nulls, so whether it is an object at all is asked of the variant
+    whole = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json(payload)), F.lit("OBJECT")), F.lit(False))
     q = F.from_json(payload, QUERY)
     day = lambda name: F.try_to_date(q[name], "yyyy-MM-dd")
     bad_day = lambda name: q[name].isNotNull() & day(name).isNull()
     days, years = ordered(day("published_on_from"), day("published_on_to")), ordered(q["subject_period_start_year"], q["subject_period_end_year"])
     sort = F.coalesce(F.nullif(q["sort"], F.lit("")), F.lit("relevance"))
     error = (
-        F.when(q.isNull() | ~F.startswith(strip(payload), F.lit("{")), "response")
+        F.when(~whole, "response")
         .when(bad_day("published_on_from") | bad_day("published_on_to"), "published_on")
         .when(~sort.isin(*SORTS), "sort")
         .when(F.exists(F.coalesce(q["languages"], F.array().cast("array<string>")), lambda x: ~x.rlike("^[a-z]{2}$")), "languages")

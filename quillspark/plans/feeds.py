@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import feeds as P
-from .registry import inline, query, rows_sql
+from .registry import query, shaped, shaped_sql
 
 _ENTRIES = "SELECT page_id % 10 AS feed, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) - 1 AS position, 'Title ' || page_id AS title, url, {published} AS published, {summary} AS summary FROM pages"
 
@@ -48,12 +48,12 @@ def feed_json(t):
     return _rows(rows, P.json_entries(F.col("raw"), {"title": "name", "url": "link"}))
 
 
-_KINDS = [("rss", "https://a.example/f", None, "https://a.example/f"), ("wordpress", "https://b.example/w", None, "https://b.example/w"), ("youtube_channel", None, "UC1", P.CHANNEL_FEED + "UC1"), ("json_api", "https://c.example/j", "x", "https://c.example/j"), ("gopher", "gopher://d", None, None)]
+_KINDS = [("rss", "https://a.example/{}", None, "https://a.example/{}"), ("wordpress", "https://b.example/w", None, "https://b.example/w"), ("youtube_channel", None, "UC{}", P.CHANNEL_FEED + "UC{}"), ("json_api", "https://c.example/j", "x", "https://c.example/j"), ("gopher", "gopher://d", None, None)]
 
 
-@query(rows_sql(_KINDS, "kind, url, channel, address"))
+@query(shaped_sql(_KINDS, "kind, url, channel, address"))
 def feed_urls(t):
-    return inline(t, [r[:3] for r in _KINDS], "kind string, url string, channel string").withColumn("address", P.feed_url(F.col("kind"), F.col("url"), F.col("channel")))
+    return shaped(t, [r[:3] for r in _KINDS], "kind string, url string, channel string").withColumn("address", P.feed_url(F.col("kind"), F.col("url"), F.col("channel"))).drop("shape")
 
 
 _DATES = [
@@ -63,12 +63,12 @@ _DATES = [
     ("2024-03-01T09:00:00Z", 1709283600),
     ("Thu, 29 Feb 2024 23:30:15 -0230", 1709258415),
     ("30 Feb 2024 10:00:00 +0000", None),
-    ("yesterday", None),
+    ("yesterday {}", None),
     ("", None),
     (None, None),
 ]
 
 
-@query(rows_sql(_DATES, "raw, seconds"))
+@query(shaped_sql(_DATES, "raw, seconds"))
 def feed_dates(t):
-    return inline(t, [r[:1] for r in _DATES], "raw string").withColumn("seconds", F.unix_timestamp(P.published_at(F.col("raw"))))
+    return shaped(t, [r[:1] for r in _DATES], "raw string").withColumn("seconds", F.unix_timestamp(P.published_at(F.col("raw")))).drop("shape")

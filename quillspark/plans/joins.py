@@ -70,9 +70,11 @@ def price_asof(t):
     return effective_at(t("events").select("event_id", "event_type", "ts"), "ts", F.broadcast(prices(t)), ["event_type"]).select("event_id", F.col("rate").cast("double").alias("rate"))
 
 
-@query(f"SELECT event_type, rate::DOUBLE AS rate FROM (VALUES {PRICES_SQL}) p(event_type, a, b, rate) WHERE b IS NULL")
+@query(f"SELECT event_type, rate::DOUBLE AS rate, n FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) LEFT JOIN (SELECT * FROM (VALUES {PRICES_SQL}) p(event_type, a, b, rate) WHERE b IS NULL) USING (event_type)")
 def price_current(t):
-    return prices(t).where("effective_to IS NULL").select("event_type", F.col("rate").cast("double").alias("rate"))
+    """Each type of event with its number of events and the price now in force, if any."""
+    counts = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.join(F.broadcast(prices(t).where("effective_to IS NULL")), "event_type", "left").select("event_type", F.col("rate").cast("double").alias("rate"), "n")
 
 
 @query("SELECT c_custkey, (SELECT min(o_orderpriority) FROM orders WHERE o_custkey = c_custkey) AS rank FROM customer ORDER BY rank NULLS LAST, c_custkey DESC LIMIT 80")

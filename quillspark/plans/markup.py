@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions import names as N
 from ..operators.sites import SiteRules, clean_pages, facilities
-from .registry import inline, query, rows_sql
+from .registry import query, shaped, shaped_sql
 
 
 @query("""
@@ -102,11 +102,11 @@ _GUARDS = [
 ]
 
 
-@query(rows_sql([(r[0], *r[6:]) for r in _GUARDS], "id, matches, truncated, initials"))
+@query(shaped_sql([r[6:] for r in _GUARDS], "matches, truncated, initials"))
 def name_guard_cases(t):
-    rows = inline(t, [r[:6] for r in _GUARDS], "id int, mention string, label string, base string, variants array<string>, surface string")
+    rows = shaped(t, [r[1:6] for r in _GUARDS], "mention string, label string, base string, variants array<string>, surface string")
     guards = [N.label_matches(F.col("mention"), F.col("label")).alias("matches"), N.is_truncated_lemma(F.col("base"), F.col("variants")).alias("truncated"), N.is_initials(F.col("surface")).alias("initials")]
-    return rows.select("id", *guards)
+    return rows.select("doc_id", *guards)
 
 
 @query("SELECT c_nationkey, mode AS spelling FROM (SELECT c_nationkey, c_mktsegment AS mode, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, min(c_custkey)) AS k FROM customer GROUP BY 1, 2) WHERE k = 1")

@@ -1,4 +1,4 @@
-"""Place names, over inline mentions and over texts that hold planted names."""
+"""Place names, over mentions of several shapes and over texts that hold planted names."""
 
 from __future__ import annotations
 
@@ -7,63 +7,63 @@ from pyspark.sql import functions as F
 from ..functions import places as P
 from ..functions.text import MARKED, PLAIN
 from ..operators import places as O
-from .registry import inline, query, rows_sql
+from .registry import inline, query, shaped, shaped_sql
 
 _COUNTRIES = [
-    ("Polska", "Polska"), ("polskiej", "Polska"), ("polski", "Polska"), ("Rozmowy z Polską", None), ("Iranem", "Iran"), ("Rosjanie", "Rosja"), ("Ukraińcami", "Ukraina"), ("włoskiej", "Włochy"), ("Włoszczowa", None),
-    ("Zjednoczonych Emiratach Arabskich", "Zjednoczone Emiraty Arabskie"), ("Emiraty", "Zjednoczone Emiraty Arabskie"), ("Korea", None), ("Koreą Północną", "Korea Północna"), ("Sudanie Południowym", "Sudan Południowy"), ("Sudan", "Sudan"),
-    ("Dominikana", None), ("Papua-Nowa Gwinea", "Papua-Nowa Gwinea"), ("Gwinei Bissau", "Gwinea Bissau"), (" niger ", "Niger"), ("Nigeryjczyk", None), ("nigerii", "Nigeria"), ("USA", "Stany Zjednoczone"), ("Polska.", None), ("-Polska", None), ("", None), ("   ", None), (None, None),
+    ("Polska", "Polska"), ("polskiej", "Polska"), ("polski", "Polska"), ("Rozmowy z {} Polską", None), ("Iranem", "Iran"), ("Rosjanie", "Rosja"), ("Ukraińcami", "Ukraina"), ("włoskiej", "Włochy"), ("Włoszczowa", None),
+    ("Zjednoczonych Emiratach Arabskich", "Zjednoczone Emiraty Arabskie"), ("Emiraty", "Zjednoczone Emiraty Arabskie"), ("Korea {}", None), ("Koreą Północną", "Korea Północna"), ("Sudanie Południowym", "Sudan Południowy"), ("Sudan", "Sudan"),
+    ("Dominikana", None), ("Papua-Nowa Gwinea", "Papua-Nowa Gwinea"), ("Gwinei Bissau", "Gwinea Bissau"), (" niger ", "Niger"), ("Nigeryjczyk {}", None), ("nigerii", "Nigeria"), ("USA", "Stany Zjednoczone"), ("Polska.", None), ("-Polska", None), ("", None), ("   ", None), (None, None),
 ]
 
 
-@query(rows_sql(_COUNTRIES, "mention, country"))
+@query(shaped_sql(_COUNTRIES, "mention, country"))
 def country_names(t):
-    return inline(t, [r[:1] for r in _COUNTRIES], "mention string").withColumn("country", O.canonical_name(F.col("mention"), P.COUNTRIES))
+    return shaped(t, [r[:1] for r in _COUNTRIES], "mention string").withColumn("country", O.canonical_name(F.col("mention"), P.COUNTRIES)).drop("shape")
 
 
 _PLACES = [
-    ("Omdurmanie", "Omdurman", None, None, None, None), ("Al-Fasziru", "Al-Faszir", None, None, None, None), ("al faszir", "Al-Faszir", None, None, None, None), ("Al-Ubajidem", "Al-Ubajjid", None, None, None, None), ("Ofensywa RSF na Al-Faszir trwa", None, None, None, None, None),
+    ("Omdurmanie", "Omdurman", None, None, None, None), ("Al-Fasziru", "Al-Faszir", None, None, None, None), ("al faszir", "Al-Faszir", None, None, None, None), ("Al-Ubajidem", "Al-Ubajjid", None, None, None, None), ("Ofensywa {} na Al-Faszir trwa", None, None, None, None, None),
     ("Morzu Czerwonym", None, "Morze Czerwone", None, None, None), ("Zatoce Perskiej", None, "Zatoka Perska", None, None, None), ("Cieśniny Ormuz", None, "Cieśnina Ormuz", None, None, None), ("Ormuz", None, None, None, None, None),
     ("Kordofanie Północnym", None, None, "Kordofan Północny", None, None), ("Sahelu", None, None, None, "Sahel", 15.0), ("Bliskim Wschodzie", None, None, None, "Bliski Wschód", 30.0), ("Lewancie", None, None, None, "Lewant", 34.0),
-    ("Afryce Subsaharyjskiej", None, None, None, "Afryka Subsaharyjska", 2.0), ("Azji Południowo-Wschodniej", None, None, None, "Azja Południowo-Wschodnia", 5.0), ("Ameryka Północna", None, None, None, None, None), ("Warszawa", None, None, None, None, None),
+    ("Afryce Subsaharyjskiej", None, None, None, "Afryka Subsaharyjska", 2.0), ("Azji Południowo-Wschodniej", None, None, None, "Azja Południowo-Wschodnia", 5.0), ("Ameryka Północna", None, None, None, None, None), ("Warszawa {}", None, None, None, None, None),
 ]
 
 
-@query(rows_sql(_PLACES, "mention, city, water, province, region, latitude"))
+@query(shaped_sql(_PLACES, "mention, city, water, province, region, latitude"))
 def place_names(t):
-    rows = inline(t, [r[:1] for r in _PLACES], "mention string")
+    rows = shaped(t, [r[:1] for r in _PLACES], "mention string")
     m = F.col("mention")
-    named = rows.select("mention", O.canonical_name(m, P.CITIES).alias("city"), O.canonical_name(m, P.WATERS).alias("water"), O.canonical_name(m, P.PROVINCES).alias("province"), O.canonical_name(m, P.REGIONS).alias("region"))
+    named = rows.select("doc_id", "mention", O.canonical_name(m, P.CITIES).alias("city"), O.canonical_name(m, P.WATERS).alias("water"), O.canonical_name(m, P.PROVINCES).alias("province"), O.canonical_name(m, P.REGIONS).alias("region"))
     points = inline(t, [(name, float(latitude)) for name, (latitude, _) in P.REGION_POINTS.items()], "region string, latitude double")
     return named.join(F.broadcast(points), "region", "left")
 
 
 _EDGES = [
-    ("Al-Faszirze Emiraty", "Al-Faszirze", "Zjednoczone Emiraty Arabskie"), ("Polska Kijów", "Kijów", "Polska"), ("Chartum Zjednoczone Emiraty Arabskie", "Chartum", "Zjednoczone Emiraty Arabskie"), ("Cieśnina Ormuz", None, None), ("Emiraty", None, None),
-    ("Korea Północna", None, None), ("Białym Domu saudyjski", "Białym Domu", "Arabia Saudyjska"), ("Polska, Niemcy", "Polska", "Niemcy"), ("Kijów,  Ukraina", "Kijów", "Ukraina"), ("Polska -", None, None), ("", None, None), (None, None, None),
+    ("Al-Faszirze {} Emiraty", "Al-Faszirze {}", "Zjednoczone Emiraty Arabskie"), ("Polska Kijów", "Kijów", "Polska"), ("Chartum Zjednoczone Emiraty Arabskie", "Chartum", "Zjednoczone Emiraty Arabskie"), ("Cieśnina Ormuz", None, None), ("Emiraty", None, None),
+    ("Korea Północna", None, None), ("Białym Domu {} saudyjski", "Białym Domu {}", "Arabia Saudyjska"), ("Polska, Niemcy", "Polska", "Niemcy"), ("Kijów,  Ukraina", "Kijów", "Ukraina"), ("Polska -", None, None), ("", None, None), (None, None, None),
 ]
 
 
-@query(rows_sql(_EDGES, "mention, rest, country"))
+@query(shaped_sql(_EDGES, "mention, rest, country"))
 def country_edges(t):
-    return inline(t, [r[:1] for r in _EDGES], "mention string").withColumn("s", O.split_country(F.col("mention"))).select("mention", "s.rest", "s.country")
+    return shaped(t, [r[:1] for r in _EDGES], "mention string").withColumn("s", O.split_country(F.col("mention"))).select("doc_id", "mention", "s.rest", "s.country")
 
 
-_SURFACES = [("PL", "Polska", None), ("pl", None, None), ("UA", "Ukraina", None), ("Grecy", "Grecja", None), ("WŁOSI", "Włochy", None), ("Węgrzy", "Węgry", None), ("Polskę", "Polska", None), ("Turk", "Turcja", None), ("Al-Faszir", None, "El Fasher"), ("Kijów", None, None), ("RPA", "Republika Południowej Afryki", None)]
+_SURFACES = [("PL", "Polska", None), ("pl", None, None), ("UA", "Ukraina", None), ("Grecy", "Grecja", None), ("WŁOSI", "Włochy", None), ("Węgrzy", "Węgry", None), ("Polskę", "Polska", None), ("Turk", "Turcja", None), ("Al-Faszir", None, "El Fasher"), ("Kijów {}", None, None), ("RPA", "Republika Południowej Afryki", None)]
 
 
-@query(rows_sql(_SURFACES, "surface, country, ask"))
+@query(shaped_sql(_SURFACES, "surface, country, ask"))
 def surface_countries(t):
     asks = F.coalesce(*[F.when(F.col("surface") == k, F.lit(v)) for k, v in P.GEOCODE_NAMES.items()])
-    return inline(t, [r[:1] for r in _SURFACES], "surface string").select("surface", O.country_of(F.col("surface")).alias("country"), asks.alias("ask"))
+    return shaped(t, [r[:1] for r in _SURFACES], "surface string").select("doc_id", "surface", O.country_of(F.col("surface")).alias("country"), asks.alias("ask"))
 
 
-_PAIRS = [("Dana", "Dan", "PROPN", True), (" dana ", "DAN", "noun", True), ("Dana", "Dan", "VERB", False), ("Dana", "Dan", None, False), ("Dana", "Dana", "PROPN", False), ("Ewa", "Dan", "NOUN", False), (None, "Dan", "NOUN", False)]
+_PAIRS = [("Dana", "Dan", "PROPN", True), (" dana ", "DAN", "noun", True), ("Dana", "Dan", "VERB", False), ("Dana", "Dan", None, False), ("Dana", "Dana", "PROPN", False), ("Ewa {}", "Dan", "NOUN", False), (None, "Dan", "NOUN", False)]
 
 
-@query(rows_sql(_PAIRS, "surface, lemma, pos, rejected"))
+@query(shaped_sql(_PAIRS, "surface, lemma, pos, rejected"))
 def rejected_pairs(t):
-    return inline(t, [r[:3] for r in _PAIRS], "surface string, lemma string, pos string").withColumn("rejected", O.rejected(F.col("surface"), F.col("lemma"), F.col("pos")))
+    return shaped(t, [r[:3] for r in _PAIRS], "surface string, lemma string, pos string").withColumn("rejected", O.rejected(F.col("surface"), F.col("lemma"), F.col("pos"))).drop("shape")
 
 
 #: What the query plants at the end of every text.

@@ -1,11 +1,11 @@
-"""Excerpts, spans, posts and normalisations, over documents and inline cases."""
+"""Excerpts, spans, posts and normalisations, over documents and documents of several shapes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import review as R
-from .registry import inline, query, rows_sql
+from .registry import query, shaped, shaped_sql
 
 
 @query("""
@@ -17,56 +17,56 @@ def excerpts(t):
     return t("documents").select("doc_id", R.sentence_tail(F.col("text"), 200).alias("tail"), R.capped(F.col("text"), 300).alias("capped"))
 
 
-_HOSTS = [("https://www.facebook.com/x/posts/1", "facebook"), ("https://facebook.com", "facebook"), ("https://pl.linkedin.com/in/y", "linkedin"), ("https://notfacebook.com/x", None), ("https://facebook.com.example.org/", None), ("HTTPS://M.FACEBOOK.COM/a?b", "facebook"), ("no url", None), (None, None)]
+_HOSTS = [("https://www.facebook.com/x/posts/{}", "facebook"), ("https://facebook.com", "facebook"), ("https://pl.linkedin.com/in/y", "linkedin"), ("https://notfacebook.com/{}", None), ("https://facebook.com.example.org/", None), ("HTTPS://M.FACEBOOK.COM/a?b", "facebook"), ("no url {}", None), (None, None)]
 
 
-@query(rows_sql(_HOSTS, "url, platform"))
+@query(shaped_sql(_HOSTS, "url, platform"))
 def url_platforms(t):
-    return inline(t, [r[:1] for r in _HOSTS], "url string").withColumn("platform", R.platform(F.col("url")))
+    return shaped(t, [r[:1] for r in _HOSTS], "url string").withColumn("platform", R.platform(F.col("url"))).drop("shape")
 
 
 _POSTS = [
-    ("A post\n\nof two parts\nLike\nComment", "A post\n\nof two parts"),
-    ("A post\n12 reactions\nmore text", "A post"),
-    ("Wpis\n3 komentarze\nx", "Wpis"),
-    ("A post\n… more\nrest", "A post"),
+    ("A post {}\n\nof two parts\nLike\nComment", "A post {}\n\nof two parts"),
+    ("A post {}\n12 reactions\nmore text", "A post {}"),
+    ("Wpis {}\n3 komentarze\nx", "Wpis {}"),
+    ("A post {}\n… more\nrest", "A post {}"),
     ("Count 1\n7\n\n12\nLike", "Count 1"),
     ("Only one number\n7\nstays", "Only one number\n7\nstays"),
     ("12345\n99999\nlong numbers stay", "12345\n99999\nlong numbers stay"),
-    ("  nothing below  ", "nothing below"),
+    ("  nothing {} below  ", "nothing {} below"),
     ("Like", ""),
     ("", ""),
     (None, ""),
 ]
 
 
-@query(rows_sql(_POSTS, "post, text"))
+@query(shaped_sql(_POSTS, "post, text"))
 def post_texts(t):
-    return inline(t, [r[:1] for r in _POSTS], "post string").withColumn("text", R.post_text(F.col("post")))
+    return shaped(t, [r[:1] for r in _POSTS], "post string").withColumn("text", R.post_text(F.col("post"))).drop("shape")
 
 
-_TOLD = [("Title\nWczoraj, 12:58\ntext", "2024-03-01"), ("3 godziny temu", "2024-03-01"), ("1 godzinę temu", "2024-03-02"), ("Dziś, 09:15", "2024-03-02"), ("x\n 200 minut temu ", "2024-03-01"), ("wczoraj byłem w kinie", None), ("dzisiaj", "2024-03-02"), ("", None), (None, None)]
+_TOLD = [("Title {}\nWczoraj, 12:58\ntext", "2024-03-01"), ("3 godziny temu", "2024-03-01"), ("1 godzinę temu", "2024-03-02"), ("Dziś, 09:15", "2024-03-02"), ("x\n 200 minut temu ", "2024-03-01"), ("wczoraj byłem w {}", None), ("dzisiaj", "2024-03-02"), ("", None), (None, None)]
 
 
-@query(rows_sql(_TOLD, "text, day"))
+@query(shaped_sql(_TOLD, "text, day"))
 def told_dates(t):
-    return inline(t, [r[:1] for r in _TOLD], "text string").withColumn("day", R.told_date(F.col("text"), F.lit("2024-03-02 02:00:00").cast("timestamp")).cast("string"))
+    return shaped(t, [r[:1] for r in _TOLD], "text string").withColumn("day", R.told_date(F.col("text"), F.lit("2024-03-02 02:00:00").cast("timestamp")).cast("string")).drop("shape")
 
 
 _PERIODS = [
     ("  II  RP ", "1939", "1918", "HIGH", "II RP", 1918, 1939, "high"),
-    ("Antyk", "-500", "400", "sure", "Antyk", -500, 400, "low"),
-    ("PRL", "1944", None, None, "PRL", 1944, None, "low"),
+    ("Antyk {}", "-500", "400", "sure", "Antyk {}", -500, 400, "low"),
+    ("PRL {}", "1944", None, None, "PRL {}", 1944, None, "low"),
     ("x" * 120, "9999", "abc", "medium", "x" * 100, None, None, "medium"),
     ("  ", "1", "2", "low", None, None, None, None),
     (None, "1", "2", "low", None, None, None, None),
 ]
 
 
-@query(rows_sql(_PERIODS, "name, first, last, sure, label, start, \"end\", confidence"))
+@query(shaped_sql(_PERIODS, "name, first, last, sure, label, start, \"end\", confidence"))
 def named_periods(t):
-    rows = inline(t, [r[:4] for r in _PERIODS], "name string, first string, last string, sure string")
-    return rows.withColumn("p", R.period(F.col("name"), F.col("first"), F.col("last"), F.col("sure"))).select("name", "first", "last", "sure", "p.label", "p.start", "p.end", "p.confidence")
+    rows = shaped(t, [r[:4] for r in _PERIODS], "name string, first string, last string, sure string")
+    return rows.withColumn("p", R.period(F.col("name"), F.col("first"), F.col("last"), F.col("sure"))).select("doc_id", "name", "first", "last", "sure", "p.label", "p.start", "p.end", "p.confidence")
 
 
 @query("SELECT o_orderkey, least(o_custkey, o_orderkey) AS start, CASE WHEN o_orderkey % 5 > 0 THEN greatest(o_custkey, o_orderkey) END AS \"end\", o_orderkey % 5 > 0 AND o_custkey > o_orderkey AS swapped FROM orders WHERE o_orderkey % 5 > 0 UNION ALL SELECT o_orderkey, o_custkey, NULL, false FROM orders WHERE o_orderkey % 5 = 0")
@@ -88,45 +88,48 @@ _FRAGMENTS = [
 ]
 
 
-@query(rows_sql(_FRAGMENTS, "text, position, fragment"))
+_FRAGMENT_TEXTS = list(dict.fromkeys(r[0] for r in _FRAGMENTS))
+
+
+@query(shaped_sql([(_FRAGMENT_TEXTS.index(r[0]), *r) for r in _FRAGMENTS], "text, position, fragment", len(_FRAGMENT_TEXTS)))
 def timeline_fragments(t):
-    rows = inline(t, [(x,) for x in dict.fromkeys(r[0] for r in _FRAGMENTS)], "text string")
-    return rows.select("text", F.posexplode(R.fragments(F.col("text"), 10)).alias("position", "fragment"))
+    rows = shaped(t, [(x,) for x in _FRAGMENT_TEXTS], "text string")
+    return rows.select("doc_id", "text", F.posexplode(R.fragments(F.col("text"), 10)).alias("position", "fragment"))
 
 
 _SPANS = [
-    ("The quick\n  brown fox", "quick brown", 4, 17, False, False, "The  fox"),
-    ("The quick brown fox", "ick  bro", 6, 13, True, True, "The quwn fox"),
+    ("The quick\n  brown fox {}", "quick brown", 4, 17, False, False, "The  fox {}"),
+    ("The quick brown fox {}", "ick  bro", 6, 13, True, True, "The quwn fox {}"),
     ("a.b a+b", "a+b", 4, 7, False, False, "a.b "),
     ("twice twice", " twice ", 0, 5, False, False, " twice"),
     ("końcówka", "ńców", 2, 6, True, True, "koka"),
-    ("nothing", "else", None, None, None, None, "nothing"),
-    ("nothing", "  ", None, None, None, None, "nothing"),
+    ("nothing {}", "else", None, None, None, None, "nothing {}"),
+    ("nothing {}", "  ", None, None, None, None, "nothing {}"),
     ("q\\Ed", "\\E", 1, 3, False, True, "qd"),
 ]
 
 
-@query(rows_sql(_SPANS, "original, wanted, start, \"end\", mid_start, mid_end, rest"))
+@query(shaped_sql(_SPANS, "original, wanted, start, \"end\", mid_start, mid_end, rest"))
 def span_cuts(t):
-    rows = inline(t, [r[:2] for r in _SPANS], "original string, wanted string")
+    rows = shaped(t, [r[:2] for r in _SPANS], "original string, wanted string")
     s = R.span(F.col("original"), F.col("wanted"))
-    return rows.withColumn("s", s).select("original", "wanted", "s.start", "s.end", "s.mid_start", "s.mid_end", R.without_span(F.col("original"), F.col("wanted")).alias("rest"))
+    return rows.withColumn("s", s).select("doc_id", "original", "wanted", "s.start", "s.end", "s.mid_start", "s.mid_end", R.without_span(F.col("original"), F.col("wanted")).alias("rest"))
 
 
-_LABELS = [("Al-Faszir", "El Fasher, Sudan Zachodni, Sudan", "Al-Faszir, Sudan Zachodni, Sudan"), ("Kijów", "Kyiv", "Kijów"), ("A", "B,", "A"), ("A", None, "A"), ("A", "", "A")]
+_LABELS = [("Al-Faszir", "El Fasher, Sudan {}, Sudan", "Al-Faszir, Sudan {}, Sudan"), ("Kijów {}", "Kyiv", "Kijów {}"), ("A", "B,", "A"), ("A", None, "A"), ("A", "", "A")]
 
 
-@query(rows_sql(_LABELS, "query, display, label"))
+@query(shaped_sql(_LABELS, "query, display, label"))
 def place_labels(t):
-    return inline(t, [r[:2] for r in _LABELS], "query string, display string").withColumn("label", R.relabelled(F.col("query"), F.col("display")))
+    return shaped(t, [r[:2] for r in _LABELS], "query string, display string").withColumn("label", R.relabelled(F.col("query"), F.col("display"))).drop("shape")
 
 
-_KEYS = [("uploads/2024/abc123-report-final.pdf", "report-final.pdf"), ("plain.txt", "plain.txt"), ("a-b/c.txt", "c.txt"), ("x/-y", "y"), ("x-", "")]
+_KEYS = [("uploads/2024/abc123-report-{}.pdf", "report-{}.pdf"), ("{}.txt", "{}.txt"), ("a-b/c.txt", "c.txt"), ("x/-y", "y"), ("x-", "")]
 
 
-@query(rows_sql(_KEYS, "key, name"))
+@query(shaped_sql(_KEYS, "key, name"))
 def upload_names(t):
-    return inline(t, [r[:1] for r in _KEYS], "key string").withColumn("name", R.upload_name(F.col("key")))
+    return shaped(t, [r[:1] for r in _KEYS], "key string").withColumn("name", R.upload_name(F.col("key"))).drop("shape")
 
 
 @query("SELECT event_id, round(ceil(user_id / 60.0::DOUBLE) * 0.37::DOUBLE, 2) AS price FROM events")

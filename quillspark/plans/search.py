@@ -65,16 +65,16 @@ def coverage(t):
 
 
 @query("""
-WITH c AS (SELECT * FROM (VALUES (1, 'year', '1999', '1999'), (1, 'lang', 'en', 'de'), (2, 'year', '2001', NULL), (2, 'lang', 'fr', 'fr'), (3, 'year', NULL, NULL)) v(id, field, expected, actual))
-SELECT field, count(*) AS cases, count(*) FILTER (expected IS NOT DISTINCT FROM actual) AS hits, round(count(*) FILTER (expected IS NOT DISTINCT FROM actual) * 100.0::DOUBLE / count(*), 2) AS percent FROM c GROUP BY field
+WITH c AS (SELECT 'lang' AS field, lang AS expected, CASE WHEN doc_id % 3 = 0 THEN 'xx' ELSE lang END AS actual FROM documents UNION ALL SELECT 'source', CASE WHEN doc_id % 5 > 0 THEN source END, CASE WHEN doc_id % 4 > 0 AND doc_id % 5 > 0 THEN upper(source) END FROM documents)
+SELECT field, count(*) AS cases, count(*) FILTER (lower(expected) IS NOT DISTINCT FROM lower(actual)) AS hits, round(count(*) FILTER (lower(expected) IS NOT DISTINCT FROM lower(actual)) * 100.0::DOUBLE / count(*), 2) AS percent FROM c GROUP BY field
 """)
 def parser_eval(t):
-    spark = t("region").sparkSession
-    expected = spark.createDataFrame([(1, "1999", "en"), (2, "2001", "fr")], "id int, year string, lang string").unpivot("id", ["year", "lang"], "field", "expected")
-    expected = expected.unionByName(spark.createDataFrame([(3, "year", None)], "id int, field string, expected string"))
-    actual = spark.createDataFrame([(1, "year", "1999"), (1, "lang", "de"), (2, "lang", "fr")], "id int, field string, actual string")
-    right = F.col("expected").eqNullSafe(F.col("actual"))
-    scored = expected.join(actual, ["id", "field"], "left").groupBy("field").agg(F.count("*").alias("cases"), F.count_if(right).alias("hits"))
+    """Fields told for each document against those expected: some wrong, some missing, some rightly null, case aside."""
+    d, k = t("documents"), F.col("doc_id")
+    expected = d.select("doc_id", "lang", F.when(k % 5 > 0, F.col("source")).alias("source")).unpivot("doc_id", ["lang", "source"], "field", "expected")
+    told = d.select("doc_id", F.when(k % 3 == 0, "xx").otherwise(F.col("lang")).alias("lang"), F.when((k % 4 > 0) & (k % 5 > 0), F.upper("source")).alias("source")).unpivot("doc_id", ["lang", "source"], "field", "actual")
+    right = F.lower("expected").eqNullSafe(F.lower("actual"))
+    scored = expected.join(told.where("actual IS NOT NULL"), ["doc_id", "field"], "left").groupBy("field").agg(F.count("*").alias("cases"), F.count_if(right).alias("hits"))
     return scored.withColumn("percent", F.round(F.col("hits") * 100.0 / F.col("cases"), 2))
 
 

@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 from ..functions import extraction as X
 from ..operators import workflow as W
 from ..operators.entities import alias_index
-from .registry import inline, query, rows_sql
+from .registry import inline, query, shaped, shaped_sql
 
 _PERSONS = [
-    (1, "jan  KOWALSKI", 10, "resolved"), (2, "Jan Kowalsky", 10, "fuzzy"), (3, "Zenon Wójcik", None, "review"), (4, "J. K.", None, "review"), (5, "Nowakówna", 20, "resolved"), (6, "Anna Nowakk", 20, "fuzzy"), (7, "", None, "review"), (8, None, None, "review"), (9, "Jan Kowalsky", 10, "fuzzy"),
+    (1, "jan  KOWALSKI", 10, "resolved"), (2, "Jan Kowalsky", 10, "fuzzy"), (3, "Zenon {} Wójcik", None, "review"), (4, "J. K.", None, "review"), (5, "Nowakówna", 20, "resolved"), (6, "Anna Nowakk", 20, "fuzzy"), (7, "", None, "review"), (8, None, None, "review"), (9, "Jan Kowalsky", 10, "fuzzy"),
 ]
 
 
-@query(rows_sql(_PERSONS, "id, name, entity_id, status"))
+@query(shaped_sql([r[1:] for r in _PERSONS], "name, entity_id, status"))
 def persons_resolved(t):
     names = inline(t, [(10, "Jan Kowalski"), (20, "Anna Nowak"), (30, "Józef Kot")], "entity_id int, name string")
     aliases = inline(t, [(10, "J. K."), (30, "J. K."), (20, "Nowakówna")], "entity_id int, name string")
-    return W.persons(inline(t, [r[:2] for r in _PERSONS], "id int, name string"), alias_index(names, aliases), names, 0.6)
+    rows = shaped(t, [r[1:2] for r in _PERSONS], "name string").select(F.col("doc_id").alias("id"), "name")
+    return W.persons(rows, alias_index(names, aliases), names, 0.6).withColumnRenamed("id", "doc_id")
 
 
 @query("""
@@ -80,60 +81,69 @@ def suggestions_applied(t):
     return W.applied_suggestions(links, t("events").select(F.col("user_id").alias("document_id"), (F.col("user_id") % 3).alias("group_id"), F.col("value").alias("confidence"), status.alias("status")), 50.0)
 
 
-_RUN = [("1:0", "Intro słowa", 1.0), ("1:1", "A", 1.0), ("1:2", "jeden dwa", 1.0), ("3:0", "tylko tekst", 1.0)]
+_RUN = [
+    ("TEMAT", "approved", "Intro {}\n[img1: x]\nPodpis\n# A\n**jeden** [dwa](u)", ["Intro {}", "A", "jeden dwa"]),
+    ("REKLAMA", "approved", "nic", []),
+    ("TEMAT", "approved", "tylko {}", ["tylko {}"]),
+    ("TEMAT", "draft", "nic", []),
+    ("TEMAT", "approved", "Fot. Jan / PAP", []),
+]
 
 
-@query(rows_sql(_RUN, "key, text, length"))
+@query(shaped_sql([(k, n, text, 1.0) for k, r in enumerate(_RUN) for n, text in enumerate(r[3])], "part, text, length", len(_RUN)))
 def run_vectors(t):
-    chunks = [(1, "TEMAT", "approved", "Intro słowa\n[img1: x]\nPodpis\n# A\n**jeden** [dwa](u)"), (2, "REKLAMA", "approved", "nic"), (3, "TEMAT", "approved", "tylko tekst"), (4, "TEMAT", "draft", "nic"), (5, "TEMAT", "approved", "Fot. Jan / PAP")]
-    out = W.vectors_of_run(inline(t, chunks, "chunk_id int, type string, status string, text string"), 4)
+    chunks = shaped(t, [r[:3] for r in _RUN], "type string, status string, text string").withColumnRenamed("doc_id", "chunk_id").drop("shape")
+    out = W.vectors_of_run(chunks, 64)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return out.select("key", "text", F.round(norm, 4).alias("length"))
+    key = F.split("key", ":")
+    return out.select(F.get(key, F.lit(0)).cast("long").alias("doc_id"), F.get(key, F.lit(1)).cast("int").alias("part"), "text", F.round(norm, 4).alias("length"))
+
 
 
 _REPORTS = [
-    (1, "Jak podała agencja AFP, wojna trwa. AFP poinformowała też o rozmowach.", [("AFP", "AFP", "Jak podała agencja AFP, wojna trwa.")]),
+    (1, "Jak podała agencja AFP, wojna {} trwa. AFP poinformowała też o rozmowach.", [("AFP", "AFP", "Jak podała agencja AFP, wojna {} trwa.")]),
     (2, "NYT to gazeta. France 24 i New York Times ujawniły nic.\nNew York Times ujawnił plan!", [("The New York Times", "New York Times", "New York Times ujawnił plan!")]),
     (3, "W AFPX podano. AFP milczy.", []),
-    (4, "france24 informuje, że nyt opisał sprawę", [("France24", "France24", "france24 informuje, że nyt opisał sprawę"), ("The New York Times", "NYT", "france24 informuje, że nyt opisał sprawę")]),
+    (4, "france24 informuje, że nyt opisał {}", [("France24", "France24", "france24 informuje, że nyt opisał {}"), ("The New York Times", "NYT", "france24 informuje, że nyt opisał {}")]),
     (5, "", []),
     (6, None, []),
 ]
 
 
-@query(rows_sql([(i, *f) for i, _, found in _REPORTS for f in found], "id, source, mention, evidence"))
+@query(shaped_sql([(i - 1, *f) for i, _, found in _REPORTS for f in found], "source, mention, evidence", len(_REPORTS)))
 def reported_sources(t):
-    return W.reported_sources(inline(t, [r[:2] for r in _REPORTS], "id int, text string"))
+    rows = shaped(t, [r[1:2] for r in _REPORTS], "text string").select(F.col("doc_id").alias("id"), "text")
+    return W.reported_sources(rows).withColumnRenamed("id", "doc_id")
 
 
 _URLS = [
-    ("https://www.onet.pl/a", "onet", True), ("http://FAKT.pl", "onet", True), ("https://sport.o2.pl:8080/x", "wp", True), ("https://example.org", None, True), ("ftp://wp.pl/x", "wp", False), ("http://localhost/x", None, False), ("http://127.0.0.1:80", None, False), ("https://10.1.2.3/a", None, False), ("https://172.20.0.1", None, False),
+    ("https://www.onet.pl/{}", "onet", True), ("http://FAKT.pl", "onet", True), ("https://sport.o2.pl:8080/x", "wp", True), ("https://{}.example.org", None, True), ("ftp://wp.pl/x", "wp", False), ("http://localhost/x", None, False), ("http://127.0.0.1:80", None, False), ("https://10.1.2.3/a", None, False), ("https://172.20.0.1", None, False),
     ("https://172.32.0.1", None, True), ("http://[::1]/", None, False), ("http://[fe80::1]/", None, False), ("http://user@192.168.0.1/", None, False), ("http://169.254.169.254/meta", None, False), ("https://100.64.1.1", None, False), ("https:///x", None, False), ("", None, False), (None, None, False),
 ]
 
 
-@query(rows_sql(_URLS, "url, portal, allowed"))
+@query(shaped_sql(_URLS, "url, portal, allowed"))
 def url_guards(t):
-    return inline(t, [r[:1] for r in _URLS], "url string").select("url", X.portal(F.col("url")).alias("portal"), X.may_fetch(F.col("url")).alias("allowed"))
+    return shaped(t, [r[:1] for r in _URLS], "url string").select("doc_id", "url", X.portal(F.col("url")).alias("portal"), X.may_fetch(F.col("url")).alias("allowed"))
 
 
 _PAGES = [
-    ("nav\n# Portal główny\na\nb\nc\nd\n# Tytuł artykułu\nPierwsze zdanie.\nŚrodek\nOstatnie zdanie.\n\n## Stopka", "b\nc\nd\n# Tytuł artykułu\nPierwsze zdanie.\nŚrodek\nOstatnie zdanie.\n\n## Stopka", "Pierwsze zdanie.\nŚrodek\nOstatnie zdanie.", "Pierwsze zdanie.\nŚrodek\nOstatnie zdanie."),
+    ("nav\n# Portal główny\na\nb\nc\nd\n# Tytuł artykułu\nPierwsze zdanie.\nŚrodek {}\nOstatnie zdanie.\n\n## Stopka", "b\nc\nd\n# Tytuł artykułu\nPierwsze zdanie.\nŚrodek {}\nOstatnie zdanie.\n\n## Stopka", "Pierwsze zdanie.\nŚrodek {}\nOstatnie zdanie.", "Pierwsze zdanie.\nŚrodek {}\nOstatnie zdanie."),
     ("a\nb\nc\nd\ne", "c\nd\ne", None, None),
-    ("# Krótki\nPierwsze  zdanie. Dalej\nx\nOstatnie zdanie.\nreklama", "x\nOstatnie zdanie.\nreklama", None, "Pierwsze  zdanie. Dalej\nx\nOstatnie zdanie."),
+    ("# Krótki\nPierwsze  zdanie. Dalej\nx\nOstatnie zdanie.\nreklama {}", "x\nOstatnie zdanie.\nreklama {}", None, "Pierwsze  zdanie. Dalej\nx\nOstatnie zdanie."),
     ("Ostatnie zdanie.\nPierwsze zdanie.", "Ostatnie zdanie.\nPierwsze zdanie.", None, None),
 ]
 
 
-@query(rows_sql([(r[0], r[1], r[2] or r[3], r[3]) for r in _PAGES], "page, trimmed, to_footer, to_sentence"))
+@query(shaped_sql([(r[0], r[1], r[2] or r[3], r[3]) for r in _PAGES], "page, trimmed, to_footer, to_sentence"))
 def article_borders(t):
     page = F.col("page")
     cut = lambda *footers: X.between(page, F.lit("Pierwsze zdanie."), F.lit("Ostatnie  zdanie."), footers)
-    return inline(t, [r[:1] for r in _PAGES], "page string").select("page", X.without_navigation(page).alias("trimmed"), cut("## Stopka").alias("to_footer"), cut().alias("to_sentence"))
+    return shaped(t, [r[:1] for r in _PAGES], "page string").select("doc_id", "page", X.without_navigation(page).alias("trimmed"), cut("## Stopka").alias("to_footer"), cut().alias("to_sentence"))
 
 
 _CHAPTERS = [
-    ("wstęp\n\n## Jeden\ntekst a\n\ndalej\n\nDwa\ntekst b", ["Jeden", "Dwa"], ["wstęp", "## Jeden\ntekst a\n\ndalej", "Dwa\ntekst b"]),
+    ("wstęp {}\n\n## Jeden\ntekst {}\n\ndalej\n\nDwa\ntekst b", ["Jeden", "Dwa"], ["wstęp {}", "## Jeden\ntekst {}\n\ndalej", "Dwa\ntekst b"]),
     ("bez\n\nrozdziałów", ["Jeden", "Dwa"], None),
     ("Jeden\nx\n\ny", ["Jeden", "Dwa", "Trzy"], None),
     ("Jeden\nx\n\ny", ["Jeden", "Dwa"], ["Jeden\nx\n\ny"]),
@@ -141,11 +151,11 @@ _CHAPTERS = [
 ]
 
 
-@query(rows_sql([(k, None if r[2] is None else " || ".join(r[2])) for k, r in enumerate(_CHAPTERS)], "id, chunks"))
+@query(shaped_sql([(None if r[2] is None else " || ".join(r[2]),) for r in _CHAPTERS], "chunks"))
 def chapter_chunks(t):
-    rows = inline(t, [(k, *r[:2]) for k, r in enumerate(_CHAPTERS)], "id int, text string, titles array<string>")
+    rows = shaped(t, [r[:2] for r in _CHAPTERS], "text string, titles array<string>")
     chunks = X.chapter_chunks(F.col("text"), F.col("titles"), 1000)
-    return rows.select("id", F.when(chunks.isNotNull(), F.array_join(chunks, " || ")).alias("chunks"))
+    return rows.select("doc_id", F.when(chunks.isNotNull(), F.array_join(chunks, " || ")).alias("chunks"))
 
 
 def _asked(**fields) -> str:
@@ -153,17 +163,19 @@ def _asked(**fields) -> str:
 
 
 _QUERIES = [
-    (_asked(query=" wojna ", published_on_from="2024-05-01", published_on_to="2024-01-01", languages=["pl", "en"]), "wojna", "2024-01-01", "2024-05-01", None, None, "pl,en", "relevance", True, None),
+    (_asked(query=" wojna {} ", published_on_from="2024-05-01", published_on_to="2024-01-01", languages=["pl", "en"]), "wojna {}", "2024-01-01", "2024-05-01", None, None, "pl,en", "relevance", True, None),
     (_asked(subject_period_start_year=1945, subject_period_end_year=1939, sort="published_desc"), None, None, None, 1939, 1945, None, "published_desc", True, None),
     (_asked(query="", published_on_from="2024-02-30"), None, None, None, None, None, None, "relevance", False, "published_on"),
     (_asked(query="x", sort="best"), "x", None, None, None, None, None, "best", False, "sort"),
     (_asked(query="x", languages=["pl", "polski"]), "x", None, None, None, None, "pl,polski", "relevance", False, "languages"),
     (_asked(query="x", subject_period_start_year=1900, sort=""), "x", None, None, 1900, None, None, "relevance", False, None),
     ("[1]", None, None, None, None, None, None, "relevance", False, "response"),
-    ("{broken", None, None, None, None, None, None, "relevance", False, None),
+    ("{broken", None, None, None, None, None, None, "relevance", False, "response"),
+    ("", None, None, None, None, None, None, "relevance", False, "response"),
+    (None, None, None, None, None, None, None, "relevance", False, "response"),
 ]
 
 
-@query(rows_sql(_QUERIES[:-1], "payload, query, published_from, published_to, first_year, last_year, languages, sort, swapped, error"))
+@query(shaped_sql(_QUERIES, "payload, query, published_from, published_to, first_year, last_year, languages, sort, swapped, error"))
 def parsed_queries(t):
-    return inline(t, [r[:1] for r in _QUERIES[:-1]], "payload string").withColumn("q", X.parsed_query(F.col("payload"))).select("payload", "q.*")
+    return shaped(t, [r[:1] for r in _QUERIES], "payload string").withColumn("q", X.parsed_query(F.col("payload"))).select("doc_id", "payload", "q.*")
