@@ -20,16 +20,28 @@ from .word_hashes import LOWER, Block, text_blocks
 
 #: What a worker keeps of words and pieces already encoded, at most.
 KEPT_WORDS = 600_000
+#: Bytes of texts whose words are looked up at a time.
+ENCODED_AT_ONCE = 1 << 23
 #: White space other than the line ends that part words here, and the beginning of a control token: such words are encoded whole.
 _OTHER_SPACE, _CONTROL = re.compile(r"[^\S\n]"), "<|"
 #: Fixed value: a splitter that makes pieces of letters, single digits and runs of other marks. Its pieces of plain ASCII words are found without it.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: 1 letters, 2 digits, 3 other visible marks of ASCII; 0 makes a word one that only the tokenizer splits.
+#: 1 letters, 2 digits, 3 other visible marks of ASCII; 0 makes a word one that only the tokenizer splits. Letters of two bytes, the first of which is C3, are letters, too.
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[33:127] = 3
 _CLASS[48:58] = 2
 _CLASS[[*range(65, 91), *range(97, 123)]] = 1
 _CLASS[[39, 124]] = 0
+_LATIN = 0xC3
+_SECOND = np.zeros(256, np.uint8)
+_SECOND[0x80:0xC0] = 1
+_SECOND[[0x97, 0xB7]] = 0  # the signs of multiplication and division
+_LOWER_SECOND = np.arange(256, dtype=np.uint8)
+_LOWER_SECOND[[*range(0x80, 0x97), *range(0x98, 0x9F)]] += 32
+_PLAIN = re.compile("[!-&(-{}~À-ÖØ-öø-ÿ]+")
+#: Byte-level merges see each byte as a character: those that print as themselves, the others from 256 on, in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -42,7 +54,7 @@ class Encoder:
     """A tokenizer of the tokenizers library. by_words: words parted by ASCII white space are encoded once each and put together.
 
     by_words holds for a tokenizer that drops white space before its merges, so no token and no rule of it spans two words. If its
-    splitter is LETTER_RUNS over lower-case text, plain ASCII words fall into its pieces right here, and only pieces are merged.
+    splitter is LETTER_RUNS over lower-case text, words of plain ASCII and Latin letters fall into its pieces right here, and only pieces are merged.
     """
 
     def __init__(self, path: str, by_words: bool):
@@ -50,6 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
+        self.merge = self.tokenizer.model.tokenize
         told = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
         splits = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
@@ -65,7 +78,7 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+        return [t.id for t in self.merge(piece)]
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         """Ids of words, by the tokenizer's own normalizer, splitter and merges; each distinct piece is merged once."""
@@ -99,13 +112,15 @@ class Encoder:
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [units[k] for k in missing.tolist()]
-            hard = [k for k, u in enumerate(new) if not (self.by_runs and u.isascii() and _CLASS[u.encode()[0]] and "'" not in u and "|" not in u and u.isprintable())]
+            hard = [k for k, u in enumerate(new) if not (self.by_runs and _PLAIN.fullmatch(u))]
             ids = [[]] * len(new)
             for k, own in zip(hard, self._ids([new[k] for k in hard]), strict=True):
                 ids[k] = own
-            merge, left = self._merged, set(range(len(new))).difference(hard)
-            for k in left:
-                ids[k] = merge(new[k])
+            merge, easy = self.merge, np.ones(len(new), bool)
+            easy[hard] = False
+            for k in np.flatnonzero(easy).tolist():
+                piece = new[k] if new[k].isascii() else new[k].encode().decode("latin-1").translate(_BYTES)
+                ids[k] = [t.id for t in merge(piece)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
             self.sizes = np.concatenate((self.sizes, sizes))
@@ -120,13 +135,16 @@ class Encoder:
         starts = np.concatenate(([0], np.cumsum(sizes)))
         if not self.by_runs or not len(data):
             return data, starts, b.bounds
-        kind = _CLASS[data]
+        kind, lower = _CLASS[data], LOWER[data]
+        second = np.flatnonzero(data[:-1] == _LATIN) + 1
+        kind[second], lower[second] = _SECOND[data[second]], _LOWER_SECOND[data[second]]
+        kind[second - 1] = kind[second]
         plain = np.repeat(np.minimum.reduceat(kind, starts[:-1]) > 0, sizes)
         new = np.ones(len(data), bool)
         new[1:] = plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
         new[starts[:-1]] = True
         borders = np.append(np.flatnonzero(new), len(data))
-        return np.where(plain, LOWER[data], data), borders, np.searchsorted(borders, starts[b.bounds])
+        return np.where(plain, lower, data), borders, np.searchsorted(borders, starts[b.bounds])
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of the first text, ids, bounds) of blocks of texts. Null is empty."""
@@ -134,7 +152,7 @@ class Encoder:
             found = self._whole([x or "" for x in column.to_pylist()])
             yield 0, np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0, *map(len, found)])
             return
-        for b in text_blocks(column):
+        for b in text_blocks(column, size=ENCODED_AT_ONCE):
             data, borders, bounds = self._units(b)
             units = pa.StringArray.from_buffers(len(borders) - 1, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
             rows = self._rows_of(units.dictionary.to_pylist())[units.indices.to_numpy()] if len(borders) > 1 else np.zeros(0, np.int64)
@@ -200,7 +218,7 @@ def write_token_files(
     end_id: int | None = None,
     vocabulary: int = 1 << 32,
     pack_bytes: int = 4 << 20,
-    sample_docs: int = 2000,
+    sample_docs: int = 1000,
     sample_bytes: int = 1 << 14,
     dictionary_bytes: int = 1 << 16,
     level: int = 3,

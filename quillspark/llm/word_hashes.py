@@ -43,8 +43,8 @@ class Block(NamedTuple):
     bounds: np.ndarray
 
 
-def text_blocks(column: pa.Array, solid: np.ndarray = SOLID, lower: bool = False) -> Iterator[Block]:
-    """Blocks of a column's texts, in order. solid tells the bytes of words; lower takes A-Z as a-z. Null has no words."""
+def text_blocks(column: pa.Array, solid: np.ndarray = SOLID, lower: bool = False, size: int = BLOCK) -> Iterator[Block]:
+    """Blocks of a column's texts of about `size` bytes, in order. solid tells the bytes of words; lower takes A-Z as a-z. Null has no words."""
     if column.null_count:
         column = column.fill_null("")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -52,7 +52,7 @@ def text_blocks(column: pa.Array, solid: np.ndarray = SOLID, lower: bool = False
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         edges = offsets[at : to + 1] - offsets[at]
         block = data[offsets[at] : offsets[to]]
         if lower:

@@ -62,8 +62,8 @@ def test_near_copies_with_colliding_words(spark):
 # token files
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x0b\x1c\x85  ́̈'<|>aAeİΣσß19.,sS"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=6))
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t\x0b\x1c\x85  ́̈'<|>aAeİΣσß19.,sSéÉÿÞ×÷Àœ«»"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=6))
 def test_encoding_by_words_equals_whole_texts(texts):
     encoder = token_files.Encoder(PATH, True)
     got = []
