@@ -90,13 +90,13 @@ _RUN = [
 ]
 
 
-@query(shaped_sql([(k, n, text, 1.0) for k, r in enumerate(_RUN) for n, text in enumerate(r[3])], "part, text, length", len(_RUN)))
+@query(shaped_sql([(k, n, text, True) for k, r in enumerate(_RUN) for n, text in enumerate(r[3])], "part, text, unit", len(_RUN)))
 def run_vectors(t):
     chunks = shaped(t, [r[:3] for r in _RUN], "type string, status string, text string").withColumnRenamed("doc_id", "chunk_id").drop("shape")
-    out = W.vectors_of_run(chunks, 64)
+    out = W.vectors_of_run(chunks, 4)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     key = F.split("key", ":")
-    return out.select(F.get(key, F.lit(0)).cast("long").alias("doc_id"), F.get(key, F.lit(1)).cast("int").alias("part"), "text", F.round(norm, 4).alias("length"))
+    return out.select(F.get(key, F.lit(0)).cast("long").alias("doc_id"), F.get(key, F.lit(1)).cast("int").alias("part"), "text", F.round(norm, 4).isin(0.0, 1.0).alias("unit"))
 
 
 
