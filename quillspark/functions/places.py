@@ -62,7 +62,7 @@ COUNTRIES = {
     "Sri Lanka": ("sri lank*",),
     "Nepal": ("nepal*",),
     "Bhutan": ("bhutan*",),
-    "Malediwy": ("maldiw*",),
+    "Malediwy": ("malediw*",),
     "Afganistan": ("afganistan*", "afgansk*",),
     "Iran": ("iran*", "iransk*",),
     "Irak": ("irak*", "irac*",),

@@ -12,7 +12,7 @@ from .urls import unescape
 #: What begins a part, from the widest to the narrowest, and the name of a picture without one.
 HEADS = (r"\n# ", r"\n## ", r"\n### ", r"\n\*\*", r"\n— \*\*")
 UNNAMED = "Brak opisu"
-COMPACT_DATE = r"(?<!\d)(?:0?[1-9]|[12]\d|3[01])[./-](?:0?[1-9]|1[0-2])(?:[./-](?:\d{4}|\d{2}))?(?!\d)"
+NUMBERS = r"\d+(?:[./-]\d+)+"
 AROUND = 220
 
 
@@ -75,32 +75,69 @@ def numbered_images(c: Column, ignored: tuple[str, ...] = ()) -> Column:
     return let(rows, of)
 
 
+#: What each tag of a mail yields; all others yield nothing. Bold and italics are told apart from these, as they come in pairs.
+_LINE_ENDS = ("br", "p", "div", "tr", "table", "section", "article", "header", "footer", "ul", "ol")
+TAGS = {mark + name: "\n" for name in _LINE_ENDS for mark in ("", "/")} | {f"h{k}": "\n" + "#" * k + " " for k in range(1, 7)} | {f"/h{k}": "\n" for k in range(1, 7)} | {"li": "\n- "}
+STARS = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+UNSEEN = r"(?is)<(head|style|script)\b[^>]*>.*?</\1\b[^>]*>|<!--.*?-->"
+
+
 def mail_text(c: Column) -> Column:
-    """The text of a mail in HTML: blocks and breaks end lines, headings get #, items a dash, links their address, bold and italics stars."""
-    rules = [
-        (r"(?is)<(head|style|script)\b[^>]*>.*?</\1\b[^>]*>|<!--.*?-->", ""),
-        (r"(?i)<br\s*/?>|</?(p|div|tr|table|section|article|header|footer|ul|ol)\b[^>]*>|</h[1-6]\s*>", "\n"),
-        *[(rf"(?i)<h{k}\b[^>]*>", "\n" + "#" * k + " ") for k in range(1, 7)],
-        (r"(?i)<li\b[^>]*>", "\n- "),
-        (r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "$2 ($1)"),
-        (r"(?is)<(strong|b)\s*>(.*?)</(strong|b)\s*>", "**$2**"),
-        (r"(?is)<(em|i)\s*>(.*?)</(em|i)\s*>", "*$2*"),
-        (r"<[^>]+>", ""),
-    ]
-    for pattern, new in rules:
-        c = F.regexp_replace(c, pattern, new)
-    return strip(F.regexp_replace(F.regexp_replace(unescape(c), r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+    """The text of a mail in HTML: blocks and breaks end lines, headings get #, items a dash, links their address, bold and italics stars.
+
+    The mail is cut into tags and texts; a fold over them knows the open link and the open stars. A closing tag without its opening one yields nothing.
+    """
+    tokens = F.regexp_extract_all(F.regexp_replace(c, UNSEEN, ""), F.lit(r"<[^<>]+>|[^<]+|<"), F.lit(0))
+    look = lambda name, table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), name)
+    without = lambda xs, k: F.concat(F.slice(xs, F.lit(1), k - 1), F.slice(xs, k + 1, F.size(xs)))
+    start = F.struct(F.lit(None).cast("string").alias("link"), F.array().cast("array<string>").alias("stars"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, token: Column) -> Column:
+        name = F.lower(F.regexp_extract(token, r"^<\s*(/?[A-Za-z][A-Za-z0-9]*)[\s/>]", 1))
+        plain, bare = ~token.rlike("(?s)^<.+>$"), token.rlike(r"(?i)^<[a-z]+\s*>$")
+        href = F.nullif(F.regexp_extract(token, r'(?is)\shref="([^"]*)"', 1), F.lit(""))
+        opens, closes = look(name, STARS), look(F.regexp_extract(name, "^/(.+)$", 1), STARS)
+        opened, closed = bare & opens.isNotNull(), closes.isNotNull() & F.array_contains(s["stars"], closes)
+        told = (
+            F.when(plain, token)
+            .when(opened, opens)
+            .when(closed, closes)
+            .when((name == "/a") & s["link"].isNotNull(), F.concat(F.lit(" ("), s["link"], F.lit(")")))
+            .otherwise(F.coalesce(look(name, TAGS), F.lit("")))
+        )
+        stars = F.when(opened, F.array_append(s["stars"], opens)).when(closed, without(s["stars"], F.array_position(s["stars"], closes).cast("int"))).otherwise(s["stars"])
+        link = F.when(name == "a", href).when(name == "/a", F.lit(None)).otherwise(s["link"])
+        return F.struct(link.alias("link"), stars.alias("stars"), F.array_append(s["out"], told).alias("out"))
+
+    text = unescape(F.array_join(F.aggregate(tokens, start, step)["out"], ""))
+    return strip(F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+
+
+def _dates_of(run: Column) -> Column:
+    """(from, numbers) of the dates in a run of numbers parted by marks: a day, a month and perhaps a year of two or four digits, from the left."""
+    numbers = F.split(run, r"[./-]")
+    within = lambda k, low, high: F.length(F.get(numbers, k)).between(1, 2) & F.get(numbers, k).try_cast("int").between(low, high)
+
+    def step(s: Column, k: Column) -> Column:
+        is_date = (k >= s["free"]) & F.coalesce(within(k, 1, 31) & within(k + 1, 1, 12), F.lit(False))
+        n = F.when(F.length(F.get(numbers, k + 2)).isin(2, 4), 3).otherwise(2)
+        return F.when(is_date, F.struct((k + n).alias("free"), F.array_append(s["found"], F.struct(k.alias("at"), n.alias("n"))).alias("found"))).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<at:int,n:int>>").alias("found"))
+    found = F.aggregate(F.sequence(F.lit(0), F.size(numbers) - 1), start, step)["found"]
+    reach = lambda k: F.length(F.array_join(F.slice(numbers, 1, k), "."))
+    begin = lambda d: F.when(d["at"] == 0, 0).otherwise(reach(d["at"]) + 1)
+    return F.transform(found, lambda d: F.struct(begin(d).alias("from"), F.substr(run, begin(d) + 1, reach(d["at"] + d["n"]) - begin(d)).alias("date")))
 
 
 def dated_places(c: Column) -> Column:
     """(start, date, around) of each date in figures such as 5.04 or 12/11/2023, with the text up to 220 characters around it; start counts from 0."""
-    found, between = F.regexp_extract_all(c, F.lit(COMPACT_DATE), F.lit(0)), F.split(c, COMPACT_DATE)
+    lengths = lambda xs, n: F.aggregate(F.transform(F.slice(xs, F.lit(1), n), F.length), F.lit(0), lambda a, x: a + x)
 
     def of(z: Column) -> Column:
-        rows, texts = z["found"], z["between"]
-        before = lambda k: F.aggregate(F.transform(F.slice(texts, F.lit(1), k + 1), F.length), F.lit(0), lambda a, x: a + x) + F.aggregate(F.transform(F.slice(rows, F.lit(1), k), F.length), F.lit(0), lambda a, x: a + x)
-        placed = F.transform(rows, lambda d, k: F.struct(before(k).alias("start"), d.alias("date")))
+        before = lambda k: lengths(z["between"], k + 1) + lengths(z["runs"], k)
+        dates = F.flatten(F.transform(z["runs"], lambda run, k: F.transform(_dates_of(run), lambda d: F.struct((before(k) + d["from"]).alias("start"), d["date"].alias("date")))))
         left = lambda p: F.greatest(p["start"] - AROUND, F.lit(0))
-        return F.transform(placed, lambda p: F.struct(p["start"].alias("start"), p["date"].alias("date"), strip(F.substr(c, left(p) + 1, p["start"] + F.length(p["date"]) + AROUND - left(p))).alias("around")))
+        return F.transform(dates, lambda p: F.struct(p["start"].alias("start"), p["date"].alias("date"), strip(F.substr(c, left(p) + 1, p["start"] + F.length(p["date"]) + AROUND - left(p))).alias("around")))
 
-    return let(F.struct(found.alias("found"), between.alias("between")), of)
+    return let(F.struct(F.regexp_extract_all(c, F.lit(NUMBERS), F.lit(0)).alias("runs"), F.split(c, NUMBERS).alias("between")), of)

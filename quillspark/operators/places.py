@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places as P
 from ..functions.chunking import let
-from ..functions.text import strip, unaccent
+from ..functions.text import MARKED, PLAIN, strip, unaccent
 
 #: Letters that a mention may add to each stem; words that a glued country may have.
 ENDING, EDGE = 4, 4
@@ -20,6 +20,11 @@ def plain(c: Column) -> Column:
     return strip(F.lower(unaccent(c)))
 
 
+def plain_name(name: str) -> str:
+    """A name of a table as `plain` has a mention, its words parted by single spaces."""
+    return " ".join(name.translate(str.maketrans(MARKED, PLAIN)).lower().replace("-", " ").split())
+
+
 def _forms(table: dict[str, tuple[str, ...]]) -> tuple[int, list[dict]]:
     """How many letters every first word has at least, and the forms as rows."""
     rows = []
@@ -37,7 +42,7 @@ def _fits(words: Column, form: Column) -> Column:
 
 
 def canonical_name(c: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    """The one name that a whole mention is a form of; null where none or several fit. Forms are looked up by their first letters, within the row."""
+    """The name that a whole mention is, else the one that it is a form of; null where none or several fit. Forms are looked up by their first letters, within the row."""
     head, rows = _forms(table)
     by_head: dict[str, list[dict]] = {}
     for r in rows:
@@ -51,7 +56,9 @@ def canonical_name(c: Column, table: dict[str, tuple[str, ...]]) -> Column:
         names = F.array_distinct(F.transform(F.filter(near, whole), lambda f: f["name"]))
         return F.when(F.size(names) == 1, F.get(names, 0))
 
-    return F.when(plain(c).rlike(r"^\w+([\s-]+\w+)*$"), let(F.split(plain(c), r"[\s-]+"), of))
+    names = F.create_map(*[F.lit(x) for name in table for x in (plain_name(name), name)])
+    own = F.try_element_at(names, F.regexp_replace(plain(c), r"[\s-]+", " "))
+    return F.coalesce(own, F.when(plain(c).rlike(r"^\w+([\s-]+\w+)*$"), let(F.split(plain(c), r"[\s-]+"), of)))
 
 
 def country_of(surface: Column) -> Column:

@@ -12,7 +12,7 @@ from .registry import inline, query, shaped, shaped_sql
 _COUNTRIES = [
     ("Polska", "Polska"), ("polskiej", "Polska"), ("polski", "Polska"), ("Rozmowy z {} Polską", None), ("Iranem", "Iran"), ("Rosjanie", "Rosja"), ("Ukraińcami", "Ukraina"), ("włoskiej", "Włochy"), ("Włoszczowa", None),
     ("Zjednoczonych Emiratach Arabskich", "Zjednoczone Emiraty Arabskie"), ("Emiraty", "Zjednoczone Emiraty Arabskie"), ("Korea {}", None), ("Koreą Północną", "Korea Północna"), ("Sudanie Południowym", "Sudan Południowy"), ("Sudan", "Sudan"),
-    ("Dominikana", None), ("Papua-Nowa Gwinea", "Papua-Nowa Gwinea"), ("Gwinei Bissau", "Gwinea Bissau"), (" niger ", "Niger"), ("Nigeryjczyk {}", None), ("nigerii", "Nigeria"), ("USA", "Stany Zjednoczone"), ("Polska.", None), ("-Polska", None), ("", None), ("   ", None), (None, None),
+    ("Dominikana", "Dominikana"), ("Malediwów", "Malediwy"), ("Republika Południowej Afryki", "Republika Południowej Afryki"), ("Papua-Nowa Gwinea", "Papua-Nowa Gwinea"), ("Gwinei Bissau", "Gwinea Bissau"), (" niger ", "Niger"), ("Nigeryjczyk {}", None), ("nigerii", "Nigeria"), ("USA", "Stany Zjednoczone"), ("Polska.", None), ("-Polska", None), ("", None), ("   ", None), (None, None),
 ]
 
 

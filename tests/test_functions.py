@@ -168,3 +168,34 @@ def test_articles_and_transcripts(spark):
     assert value(spark, A.fenced_json, 'x ```json\n{"a": 1}\n``` y') == '{"a": 1}' and value(spark, A.complete_objects, "none") is None
     found = value(spark, R.chapter_list, "intro 0:10\nno time\n1:00:05 - end")
     assert [(c["start"], c["end"], c["title"]) for c in found] == [(10, 3605, "intro"), (3605, R.OPEN_END, "end")]
+
+
+@pytest.mark.parametrize("table", ["COUNTRIES", "CITIES", "WATERS", "PROVINCES", "REGIONS"])
+def test_names_are_their_own(spark, table):
+    from quillspark.functions import places as P
+    from quillspark.operators.places import canonical_name
+
+    names = getattr(P, table)
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", canonical_name(F.col("name"), names).alias("found"))
+    assert [r.name for r in rows.collect() if r.found != r.name] == []
+
+
+DATED = [("5.04", [(0, "5.04")]), ("a 5.04.2023.7 b", [(2, "5.04.2023")]), ("123.04 5.123 32.1.02", [(16, "1.02")]), ("1-02/99x", [(0, "1-02/99")]), ("12.5.123", [(0, "12.5")]), ("00.1 1.00 1.13", []), ("31.12.01.01", [(0, "31.12.01")]), ("1.2.3.4.5", [(0, "1.2"), (4, "3.4")]), ("", [])]
+
+
+@pytest.mark.parametrize(("text", "want"), DATED)
+def test_dates_in_figures(spark, text, want):
+    from quillspark.functions import splitting
+
+    found = spark.range(1).select(splitting.dated_places(F.lit(text)).alias("d")).first().d
+    assert [(x.start, x.date) for x in found] == want
+
+
+MAILS = [("<b>x</b></b> <b class='y'>z</b>", "**x** z"), ("<a href='u'>v</a> <a href=\"u\">v</a> w</a>", "v v (u) w"), ("1 < 2 <p >a</p>", "1 < 2\na"), ("<H2 id=x>T</H2>", "## T"), ("<i><b>x</i></b>", "***x***")]
+
+
+@pytest.mark.parametrize(("html", "want"), MAILS)
+def test_mail_tags(spark, html, want):
+    from quillspark.functions import splitting
+
+    assert spark.range(1).select(splitting.mail_text(F.lit(html)).alias("t")).first().t == want
