@@ -72,26 +72,33 @@ def neighbours(df: DataFrame, order: str, bucket: int) -> DataFrame:
     edges = b.groupBy("__bucket").agg(F.min(order).alias("low"), F.max(order).alias("high"))
     across = Window.orderBy("__bucket")
     edges = edges.select("__bucket", F.lag("high").over(across).alias("__before"), F.lead("low").over(across).alias("__after"))
-    joined = inner.join(edges, "__bucket")
+    joined = inner.join(edges, "__bucket", "left")  # rows without a key stay, without neighbours
     return joined.withColumns({"previous_id": F.coalesce("previous_id", "__before"), "next_id": F.coalesce("next_id", "__after")}).drop("__bucket", "__before", "__after")
 
 
 def connected(edges: DataFrame, cut, rounds: int = 64) -> DataFrame:
-    """(node, root) with the smallest node of each component of edges (a, b): labels shrink along edges and their own roots.
+    """(node, root) with the smallest node of each component of edges (a, b), by alternating stars.
 
-    cut(df) ends a round's lineage (a checkpoint). Each round takes label minima by partial aggregation and jumps to
-    the label's label, so rounds grow with the logarithm of a component's width.
+    A round hangs the larger neighbours of each node on its smallest one, then each node's smaller ones, until every component is a
+    star around its root: rounds grow with the logarithm of a component's width, and each holds as many rows as edges at
+    most. cut(df) ends a round's lineage (a checkpoint). Both stars take minima by partial aggregation first.
     """
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(both.select(F.col("a").alias("node")).union(both.select("b")).distinct().select("node", F.col("node").alias("root")))
+    own = edges.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
+    pairs = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    stamp = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+    down = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    told = stamp(down)
     for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("root", "near").alias("root"))
-        up = step.select(F.col("node").alias("n"), F.col("root").alias("far"))
-        new = cut(step.join(up, step["root"] == up["n"], "left").select("node", F.least("root", "far").alias("root")))
-        changed = new.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old")
-        done = changed.isEmpty()
-        labels = new
-        if done:
-            return labels
+        both = down.unionByName(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(smallest, "a").select(F.explode(F.array(pairs(F.col("a"), F.col("m")), pairs(F.col("b"), F.col("m")))).alias("e")).select("e.*").where("a <> b").distinct()
+        down = cut(small)
+        new = stamp(down)
+        if new == told:
+            stars = down.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            known = stars.unionByName(down.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return known.unionByName(own.join(known.select("node"), "node", "left_anti"))
+        told = new
     raise ValueError("components did not settle")

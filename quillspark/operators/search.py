@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, unaccent
+from ..functions.text import MARKED, PLAIN, fold
 
 #: Weights of the text score and of the merge, occurrences that fill a token's credit, least token length.
 COVERAGE, TITLE_COVERAGE, PHRASE_BODY, PHRASE_TITLE = 0.70, 0.35, 0.20, 0.35
@@ -39,11 +39,20 @@ def vector_hits(embeddings: DataFrame, vector: list[float], least: float, docs:
     return scored.groupBy("document_id").agg(F.max("similarity").alias("similarity"))
 
 
+def folded_pattern(text: str) -> str:
+    """A pattern for what a folded text is in unfolded ones: each letter in either case, with or without marks. Texts needn't be folded to be searched."""
+    forms: dict[str, str] = {"k": "\u212a"}
+    for marked, plain in zip(MARKED, PLAIN, strict=True):
+        forms[plain.lower()] = forms.get(plain.lower(), "") + marked + marked.lower() + marked.upper()
+    one = lambda c: f"[{c}{c.upper() if len(c.upper()) == 1 else ''}{''.join(x for x in forms.get(c, '') if x.isalpha())}]" if c.isalpha() else re.escape(c)
+    return "".join(map(one, text))
+
+
 def token_coverage(body: Column, tokens: list[str]) -> Column:
-    """The mean over tokens of min(1, occurrences / 2)."""
+    """The mean over folded tokens of min(1, occurrences / 2), in any case and with any marks."""
     if not tokens:
         return F.lit(0.0)
-    one = lambda w: F.least(F.lit(1.0), F.regexp_count(body, F.lit(re.escape(w))) / F.lit(float(SATURATION)))
+    one = lambda w: F.least(F.lit(1.0), F.regexp_count(body, F.lit(folded_pattern(w))) / F.lit(float(SATURATION)))
     total = one(tokens[0])
     for w in tokens[1:]:
         total = total + one(w)
@@ -51,20 +60,21 @@ def token_coverage(body: Column, tokens: list[str]) -> Column:
 
 
 def lexical_hits(docs: DataFrame, query: str) -> DataFrame:
-    """(document_id, text_score) of documents whose title or body holds the phrase, or whose body holds every token; marks and case don't matter."""
+    """(document_id, text_score) of documents whose title or body holds the phrase, or whose body holds every token; marks and case don't matter.
+
+    Bodies are searched as they are, by patterns of every form of a letter: no text is folded, and a text is counted only if it is a hit.
+    """
     phrase, tokens = fold_literal(query), [fold_literal(w) for w in query_tokens(query)]
-    folded = docs.select("id", fold(F.coalesce("title", F.lit(""))).alias("title"), F.lower(unaccent(F.coalesce("text", F.lit("")))).alias("body"))
-    in_title, in_body = F.contains("title", F.lit(phrase)), F.contains("body", F.lit(phrase))
+    rows = docs.select("id", fold(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
+    in_title, in_body = F.contains("title", F.lit(phrase)), F.col("body").rlike(folded_pattern(phrase))
     every = F.lit(bool(tokens))
     for w in tokens:
-        every = every & F.contains("body", F.lit(w))
+        every = every & F.col("body").rlike(folded_pattern(w))
     score = COVERAGE * token_coverage(F.col("body"), tokens) + TITLE_COVERAGE * token_coverage(F.col("title"), tokens) + PHRASE_BODY * in_body.cast("double") + PHRASE_TITLE * in_title.cast("double")
-    return folded.where(in_title | in_body | every).select(F.col("id").alias("document_id"), F.least(F.lit(1.0), score).alias("text_score"))
+    return rows.where(in_title | in_body | every).select(F.col("id").alias("document_id"), F.least(F.lit(1.0), score).alias("text_score"))
 
 
 def fold_literal(text: str) -> str:
-    from ..functions.text import MARKED, PLAIN
-
     return " ".join(text.translate(str.maketrans(MARKED, PLAIN)).lower().split())
 
 

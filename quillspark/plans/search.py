@@ -9,7 +9,7 @@ from ..operators.filters import SearchFilters, apply_filters
 from ..operators.search import hybrid, lexical_hits, neighbours_of, token_coverage, vector_hits
 from .registry import query
 
-QUERY = "the thander with"
+QUERY = "and was the"
 FOLD = f"lower(translate(%s, '{MARKED}', '{PLAIN}'))"
 
 
@@ -27,12 +27,16 @@ def first_vector(t) -> list[float]:
 
 
 _SEM = "SELECT e.vec_id AS document_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-_LEX = f"""
-SELECT doc_id AS document_id, least(1.0::DOUBLE, 0.70::DOUBLE * ((least(1.0::DOUBLE, n1 / 2.0::DOUBLE) + least(1.0::DOUBLE, n2 / 2.0::DOUBLE) + least(1.0::DOUBLE, n3 / 2.0::DOUBLE)) / 3) + 0.35::DOUBLE * ((0.0 + least(1.0::DOUBLE, 1 / 2.0::DOUBLE) + 0.0) / 3)
-  + 0.20::DOUBLE * (CASE WHEN contains(body, 'the thander with') THEN 1 ELSE 0 END)) AS text_score
-FROM (SELECT doc_id, body, len(regexp_extract_all(body, 'thander')) AS n1, len(regexp_extract_all(body, 'the')) AS n2, len(regexp_extract_all(body, 'with')) AS n3 FROM (SELECT doc_id, {FOLD % 'text'} AS body FROM documents %s))
-WHERE contains(body, 'the thander with') OR (n1 > 0 AND n2 > 0 AND n3 > 0)
-"""
+
+
+def _lex(query: str, where: str = "") -> str:
+    """SQL of the lexical leg for a query whose folded words are its tokens."""
+    tokens, phrase = query.split(), query
+    share = lambda c: "(" + " + ".join(f"least(1.0::DOUBLE, len(regexp_extract_all({c}, '{w}')) / 2.0::DOUBLE)" for w in tokens) + f") / {len(tokens)}"
+    every = " AND ".join(f"contains(body, '{w}')" for w in tokens)
+    return f"""
+    SELECT doc_id AS document_id, least(1.0::DOUBLE, 0.70::DOUBLE * ({share("body")}) + 0.35::DOUBLE * ({share("title")}) + 0.20::DOUBLE * contains(body, '{phrase}')::INT + 0.35::DOUBLE * contains(title, '{phrase}')::INT) AS text_score
+    FROM (SELECT doc_id, {FOLD % "coalesce(text, '')"} AS body, {FOLD % "'Über ' || source || ' the'"} AS title FROM documents {where}) WHERE contains(title, '{phrase}') OR contains(body, '{phrase}') OR ({every})"""
 
 
 @query(f"SELECT document_id, round(sim, 6) AS similarity FROM ({_SEM}) s JOIN documents ON doc_id = document_id WHERE lang = 'en' AND sim > 0.3 ORDER BY similarity DESC, document_id LIMIT 10")
@@ -42,13 +46,21 @@ def vector_topk_filtered(t):
     return hits.orderBy(F.desc("similarity"), F.asc("document_id")).limit(10)
 
 
-@query(f"SELECT document_id, round(text_score, 6) AS text_score FROM ({_LEX % ''})")
+#: Frequent words, a phrase of titles, marks and cases in queries and texts, words that no text has.
+LEXICAL = {"and was THE": "and was the", "Über SRC1": "uber src1", "élan pour": "elan pour", "más ein": "mas ein", "nowhere-to-be-found": "nowhere to be found"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{asked}' AS query, document_id, round(text_score, 6) AS text_score FROM ({_lex(folded)})" for asked, folded in list(LEXICAL.items())[:4]))
 def lexical_search(t):
-    return lexical_hits(documents(t), QUERY).withColumn("text_score", F.round("text_score", 6))
+    found = [lexical_hits(documents(t), q).select(F.lit(q).alias("query"), "document_id", F.round("text_score", 6).alias("text_score")) for q in LEXICAL]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query(f"""
-WITH lex AS ({_LEX % "WHERE lang = 'en'"}), sem AS (SELECT document_id, sim FROM ({_SEM}) s WHERE sim > 0.2 AND document_id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
+WITH lex AS ({_lex(QUERY, "WHERE lang = 'en'")}), sem AS (SELECT document_id, sim FROM ({_SEM}) s WHERE sim > 0.2 AND document_id IN (SELECT doc_id FROM documents WHERE lang = 'en')),
 m AS (SELECT coalesce(lex.document_id, sem.document_id) AS document_id, coalesce(text_score, 0) AS t, coalesce(sim, 0) AS s, CASE WHEN text_score IS NOT NULL AND sim IS NOT NULL THEN 'hybrid' WHEN sim IS NOT NULL THEN 'semantic' ELSE 'text' END AS match FROM lex FULL JOIN sem ON lex.document_id = sem.document_id)
 SELECT document_id, round(greatest(t, s, 0.65::DOUBLE * s + 0.35::DOUBLE * t), 6) AS similarity, match FROM m ORDER BY similarity DESC, document_id LIMIT 50
 """)
@@ -59,9 +71,7 @@ def hybrid_search(t):
 
 @query(f"SELECT doc_id, round((least(1.0::DOUBLE, len(regexp_extract_all(body, 'the')) / 2.0::DOUBLE) + least(1.0::DOUBLE, len(regexp_extract_all(body, 'idiot')) / 2.0::DOUBLE)) / 2, 6) AS coverage FROM (SELECT doc_id, {FOLD % 'text'} AS body FROM documents)")
 def coverage(t):
-    from ..functions.text import unaccent
-
-    return t("documents").select("doc_id", F.round(token_coverage(F.lower(unaccent(F.col("text"))), ["the", "idiot"]), 6).alias("coverage"))
+    return t("documents").select("doc_id", F.round(token_coverage(F.col("text"), ["the", "idiot"]), 6).alias("coverage"))
 
 
 @query("""

@@ -163,3 +163,45 @@ def test_feed_merge(spark):
     batch = spark.createDataFrame([("f", "https://e.com/a?utm_x=1", "old", t1), ("f", "https://E.com/a/", "new", t2)], "feed string, url string, title string, seen_at timestamp")
     (row,) = feeds.merge_entries(old, batch).collect()
     assert tuple(row) == ("f", "https://e.com/a", "new", t1, t2)
+
+
+def test_components_of_chains_stars_and_loops(spark, tmp_path):
+    import random
+
+    from quillspark.operators.relational import connected
+
+    r = random.Random(4)
+    chain = list(range(200))
+    r.shuffle(chain)
+    edges = list(zip(chain, chain[1:])) + [(1000, 1000 + k) for k in range(1, 80)] + [(5000, 5000), (1001, 1001), (6001, 6000), (6000, 6001)] + [(7000 + r.randint(0, 40), 7000 + r.randint(0, 40)) for _ in range(45)]
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    found = {x.node: x.root for x in connected(spark.createDataFrame(edges, "a long, b long"), lambda df: df.checkpoint()).collect()}
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert found == {n: find(n) for n in root}
+
+
+def test_neighbours_keep_rows_without_key(spark):
+    from quillspark.operators.relational import neighbours
+
+    out = neighbours(spark.createDataFrame([(1,), (5,), (None,), (12,)], "id long"), "id", 4)
+    assert {(r.id, r.previous_id, r.next_id) for r in out.collect()} == {(1, None, 5), (5, 1, 12), (12, 5, None), (None, None, None)}
+
+
+def test_searching_unfolded_texts(spark):
+    """What a pattern finds in a text is what its folded form holds."""
+    from quillspark.functions.text import unaccent
+    from quillspark.operators import search
+
+    texts = ["Élan POUR", "elan", "ÉLÀŃ", "straße STRASSE", "Łódź", "lodz", "KİTE", "\u212aelvin", "a.b axb", ""]
+    for token in ("elan", "pour", "lodz", "a.b", "kelvin", "kit", "stra"):
+        rows = spark.createDataFrame([(x,) for x in texts], "x string").select(F.col("x").rlike(search.folded_pattern(token)).alias("p"), F.contains(F.lower(unaccent(F.col("x"))), F.lit(token)).alias("f"))
+        assert all(r.p == r.f for r in rows.collect()), token
