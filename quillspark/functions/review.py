@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import year_of
-from .text import strip
+from .text import SPACE_CHARS, let, strip
 from .urls import host
 
 #: Platforms by domain, lines that end a post, counted words below a post, marks of a cut text, confidence levels.
@@ -141,3 +141,38 @@ def audio_price(seconds: Column, per_minute: float) -> Column:
 def is_compact(c: Column, chapters: Column) -> Column:
     """Whether a short text of several chapters is read as one."""
     return (chapters > 1) & (F.length(c) <= COMPACT_CHARS) & (F.regexp_count(c, F.lit(r"\S+")) <= COMPACT_WORDS)
+
+
+#: Beginnings of words that tell of a person's life, and whole words that do.
+LIFE_STEMS, LIFE_WORDS = ("by", "prac", "zacz", "zajm", "specjaliz", "dziennikar", "autor", "uko", "redakcj"), ("jest", "studiach")
+LATE, NEAR, COMPACT, WITHIN = 0.65, 80, 80, 5
+
+
+def author_biography(text: Column, author: Column) -> Column:
+    """(body, biography) of a text that ends with a block on its author: the last paragraph in the final 35 % that names the author of two names or more near its beginning.
+
+    A paragraph of over 80 characters that tells of a life is the biography by itself; else it is all from that paragraph, if it or one of
+    the next four does. Biography is null where there is none, and then the body is the text.
+    """
+    life = r"(?iU)\b(?:(?:" + "|".join(LIFE_STEMS) + r")\w*|" + "|".join(LIFE_WORDS) + r")\b"
+    name = strip(F.coalesce(author, F.lit("")))
+    blocks = F.filter(F.regexp_extract_all(text, F.lit(r"(?s).*?(?:\n\s*\n|\z)"), F.lit(0)), lambda b: b != "")
+
+    def of(bs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("all"))
+        lead = lambda b: F.length(b) - F.length(F.ltrim(b, F.lit(SPACE_CHARS)))
+        grow = lambda s, b: F.struct((s["at"] + F.length(b)).alias("at"), F.array_append(s["all"], F.struct((s["at"] + lead(b)).alias("start"), strip(b).alias("value"))).alias("all"))
+        return let(F.aggregate(bs, start, grow)["all"], chosen)
+
+    def chosen(ps: Column) -> Column:
+        told = F.transform(ps, lambda p, i: F.struct(p["start"].alias("start"), p["value"].alias("value"), F.array_join(F.transform(F.slice(ps, i + 1, F.lit(WITHIN)), lambda x: x["value"]), "\n\n").alias("next")))
+        own = lambda p: (F.length(p["value"]) > COMPACT) & p["value"].rlike(life)
+        by_author = lambda p: F.instr(F.lower(p["value"]), F.lower(name)).between(1, NEAR + 1)
+        fits = lambda p: (p["start"] >= F.floor(F.length(text) * LATE)) & by_author(p) & (own(p) | p["next"].rlike(life))
+        last = F.try_element_at(F.filter(told, fits), F.lit(-1))
+        body = lambda p: F.rtrim(F.left(text, p["start"]), F.lit(SPACE_CHARS))
+        split = lambda p: F.struct(body(p).alias("body"), F.when(own(p), p["value"]).otherwise(strip(F.substr(text, p["start"] + 1))).alias("biography"))
+        return F.when(last.isNotNull(), let(last, split))
+
+    none = F.struct(text.alias("body"), F.lit(None).cast("string").alias("biography"))
+    return F.when(F.size(F.filter(F.split(name, r"\s+"), lambda w: w != "")) >= 2, F.coalesce(let(blocks, of), none)).otherwise(none)

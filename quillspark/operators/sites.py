@@ -46,6 +46,11 @@ class SiteRules:
         return text
 
 
+def site_rules(told: dict[str, dict[str, list[str]]]) -> dict[str, SiteRules]:
+    """Rules of sites as a rules file has them: site, then kind of rule, then what goes. Kinds that aren't known are errors."""
+    return {site: SiteRules(**rules) for site, rules in told.items()}
+
+
 def clean_pages(pages: DataFrame, rules: dict[str, SiteRules], url: str = "url", text: str = "text") -> DataFrame:
     """Pages with the rules of each site whose key stands in their URL, then the `_global` ones, then at most one blank line in a row."""
     pages = pages.withColumn(text, F.replace(text, F.lit(" "), F.lit(" ")))

@@ -92,3 +92,24 @@ def reported_sources(docs: DataFrame, sources: dict[str, tuple[str, ...]] = SOUR
     met = rows.select("id", "position", "sentence", F.explode(F.filter(F.array(*told), lambda x: x["mention"].isNotNull())).alias("s"))
     first = F.min_by(F.struct("s.mention", "sentence"), "position").alias("f")
     return met.groupBy("id", F.col("s.source").alias("source")).agg(first).select("id", "source", "f.mention", strip(F.col("f.sentence")).alias("evidence"))
+
+
+def copied_groups(items: DataFrame, memberships: DataFrame, groups: DataFrame, current: DataFrame, source: str) -> DataFrame:
+    """(document_id, group_id, source): memberships that documents get from their feed items, which they don't have yet.
+
+    items: item_id, document_id. memberships: item_id, group_id. groups: group_id, kind (topic or priority), rank, archived. current: document_id,
+    group_id. All topics in use are copied; of priorities the one of the least rank, then id, and only where the document has none at all.
+    """
+    given = items.join(memberships, "item_id").select("document_id", "group_id").distinct().join(groups.where("NOT archived"), "group_id")
+    has = current.join(groups.where("kind = 'priority'").select("group_id"), "group_id").select("document_id").distinct()
+    best = given.where("kind = 'priority'").join(has, "document_id", "left_anti").groupBy("document_id").agg(F.min(F.struct("rank", "group_id")).alias("b")).select("document_id", "b.group_id")
+    wanted = given.where("kind = 'topic'").select("document_id", "group_id").unionByName(best)
+    return wanted.join(current.select("document_id", "group_id"), ["document_id", "group_id"], "left_anti").withColumn("source", F.lit(source))
+
+
+def linked_items(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Feed items (item_id, url, document_id, status) hung on the document (document_id, url) of the same address; those still open become imported. Others stay as they are."""
+    known = docs.groupBy("url").agg(F.min("document_id").alias("found"))
+    joined = items.join(known, "url", "left")
+    open_ = F.col("status").isin("new", "llm_analysis_requested", "saved_for_later", "error")
+    return joined.select("item_id", "url", F.coalesce("found", "document_id").alias("document_id"), F.when(F.col("found").isNotNull() & open_, "imported").otherwise(F.col("status")).alias("status"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.review import author_biography
 from ..operators import geometry, mail, paragraphs
+from ..operators import workflow as W
+from ..operators.filters import SearchFilters, apply_filters
 from ..sources import notes
 from ..streaming import steps
-from .registry import query
+from .registry import query, shaped, shaped_sql
 
 CHAIN = steps.Chain(("fetch", "clean", "transcribe", "embed"), attempts=2)
 
@@ -131,3 +134,92 @@ def lines_attached(t):
     cache = n.where("n_nationkey % 4 < 2").select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 4 == 0).alias("resolved"), F.col("n_regionkey").alias("line"))
     found, wanted = geometry.lines_by_name(e, geocodes, cache)
     return found.select(F.lit("found").alias("kind"), "doc", "name", "line").unionByName(wanted.select(F.lit("wanted").alias("kind"), F.lit(None).cast("long").alias("doc"), "name", F.lit(None).cast("int").alias("line")))
+
+
+@query("""
+WITH g AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'topic' ELSE 'priority' END AS kind, n_regionkey AS rank FROM nation WHERE n_nationkey % 5 > 0),
+given AS (SELECT DISTINCT o_custkey AS d, g.* FROM orders JOIN g ON g.id = (o_orderkey + o_custkey) % 25),
+cur AS (SELECT c_custkey AS d, c_nationkey AS id FROM customer WHERE c_custkey % 3 = 0),
+best AS (SELECT d, min({'rank': rank, 'id': id})['id'] AS id FROM given WHERE kind = 'priority' AND d NOT IN (SELECT d FROM cur WHERE id % 2 = 1) GROUP BY d)
+SELECT d AS document_id, id AS group_id, 'feed_import' AS source FROM (SELECT d, id FROM given WHERE kind = 'topic' UNION ALL SELECT d, id FROM best) WHERE (d, id) NOT IN (SELECT (d, id) FROM cur)
+""")
+def groups_copied(t):
+    """Orders as feed items of their customers' documents, nations as groups, one in five archived."""
+    n = F.col("n_nationkey")
+    groups = t("nation").select(n.alias("group_id"), F.when(n % 2 == 0, "topic").otherwise("priority").alias("kind"), F.col("n_regionkey").alias("rank"), (n % 5 == 0).alias("archived"))
+    o = t("orders")
+    items = o.select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("document_id"))
+    members = o.select(F.col("o_orderkey").alias("item_id"), ((F.col("o_orderkey") + F.col("o_custkey")) % 25).cast("int").alias("group_id"))
+    current = t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("group_id"))
+    return W.copied_groups(items, members, groups, current, "feed_import")
+
+
+@query("""
+SELECT page_id AS item_id, CASE WHEN d IS NOT NULL THEN d WHEN page_id % 4 = 0 THEN -1 END AS document_id, CASE WHEN d IS NOT NULL AND page_id % 3 < 2 THEN 'imported' ELSE (['new', 'error', 'ignored'])[page_id % 3 + 1] END AS status
+FROM pages LEFT JOIN (SELECT url AS u, min(page_id) AS d FROM pages WHERE page_id % 2 = 0 GROUP BY url) ON u = url
+""")
+def items_linked(t):
+    p, k = t("pages"), F.col("page_id")
+    status = F.element_at(F.array(*map(F.lit, ["new", "error", "ignored"])), (k % 3 + 1).cast("int"))
+    items = p.select(k.alias("item_id"), "url", F.when(k % 4 == 0, -1).cast("long").alias("document_id"), status.alias("status"))
+    return W.linked_items(items, p.where("page_id % 2 = 0").select(k.alias("document_id"), "url")).drop("url")
+
+
+_BODY = "Pierwszy akapit artykułu {} o niczym. " * 6
+_LIVES = [
+    (f"{_BODY.strip()}\n\nJan Kowalski jest dziennikarzem od wielu lat, a wcześniej zajmował się czymś zupełnie innym niż teraz.", "Jan Kowalski", _BODY.strip(), "Jan Kowalski jest dziennikarzem od wielu lat, a wcześniej zajmował się czymś zupełnie innym niż teraz."),
+    (f"{_BODY.strip()}\n\nJAN KOWALSKI, {{}}\n \nPracuje w redakcji.\n\nWięcej", "Jan Kowalski", _BODY.strip(), "JAN KOWALSKI, {}\n \nPracuje w redakcji.\n\nWięcej"),
+    (f"Jan Kowalski jest autorem.\n\n{_BODY.strip()}", "Jan Kowalski", None, None),
+    (f"{_BODY.strip()}\n\nJan Kowalski\n\nKoniec", "Jan Kowalski", None, None),
+    (f"{_BODY.strip()}\n\nKowalski jest autorem", "Kowalski", None, None),
+    (f"{_BODY.strip()}\n\nNikt nie jest autorem", "Jan Kowalski", None, None),
+    (f"{_BODY.strip()}\n\n{'Za daleko, więc na pewno nie jest to notka o autorze, choć na samym końcu wspomina go tutaj '}Jan Kowalski", "Jan Kowalski", None, None),
+    (f"{_BODY.strip()}\n\nAnna Żuk\n\n\nBiogram {{}}\n\n a\n\nb\n\nbyła tu", "anna żuk", _BODY.strip(), "Anna Żuk\n\n\nBiogram {}\n\n a\n\nb\n\nbyła tu"),
+    ("", "Jan Kowalski", None, None),
+    ("Tekst {}", None, None, None),
+]
+
+
+@query(shaped_sql([(r[2] or r[0], r[3]) for r in _LIVES], "body, biography"))
+def author_biographies(t):
+    return shaped(t, [r[:2] for r in _LIVES], "text string, author string").withColumn("b", author_biography(F.col("text"), F.col("author"))).select("doc_id", "b.*")
+
+
+def _library(t) -> tuple:
+    """Orders as documents with a publisher, a source and a collection; several nations have one name as publishers."""
+    o, n = F.col("o_orderkey"), F.col("n_nationkey")
+    docs = t("orders").select(o.alias("id"), (o % 25).cast("int").alias("publisher_id"), (o % 7).cast("int").alias("discovery_source_id"), (o % 5).cast("int").alias("collection_id"), F.col("o_orderpriority").alias("document_type"))
+    return docs, {
+        "publishers": t("nation").select(n.alias("id"), F.concat(F.lit("Wydawnictwo  ŁÓDŹ "), "n_regionkey").alias("name")),
+        "publisher_domains": t("nation").select(n.alias("publisher_id"), F.concat(F.lit("N"), n % 12, F.lit(".Example.com")).alias("domain")),
+        "discovery_sources": t("nation").where("n_nationkey < 7").select(n.alias("id"), F.concat(F.lit("Źródło "), n % 3).alias("name")),
+        "collections": t("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")),
+    }
+
+
+@query("SELECT o_orderkey AS id FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 WHERE n_regionkey = 2")
+def filter_publisher_name(t):
+    docs, lookups = _library(t)
+    return apply_filters(docs, SearchFilters(publisher_name=" wydawnictwo łódź  2"), **lookups).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 25 % 12 = 3 AND o_orderpriority IN ('1-URGENT', '5-LOW')")
+def filter_publisher_domain(t):
+    docs, lookups = _library(t)
+    return apply_filters(docs, SearchFilters(publisher_domain="https://www.n3.example.com:443/x?y", document_types=("1-URGENT", "5-LOW")), **lookups).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders JOIN region ON r_regionkey = o_orderkey % 5 WHERE o_orderkey % 7 % 3 = 1 AND r_name = 'ASIA'")
+def filter_source_and_collection(t):
+    docs, lookups = _library(t)
+    return apply_filters(docs, SearchFilters(discovery_source="ZRODLO 1", collection="ASIA"), **lookups).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 10 IN (4, 6) ELSE o_custkey % 10 = 5 END")
+def filter_author_alias(t):
+    """Authors by name or alias where documents have any, else by the byline; marks and case aside."""
+    o, p = t("orders"), F.col("o_custkey") % 10
+    docs = o.select(F.col("o_orderkey").alias("id"), F.when(p == 5, "tekst: ŻANETA Łuk, foto").otherwise("inni").alias("byline"))
+    authors = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("document_id"), p.alias("person_id"), F.when(p == 4, "Żaneta  Łuk").otherwise("Jan").alias("name"))
+    aliases = o.sparkSession.createDataFrame([(6, "zaneta luk"), (6, "ZŁ"), (7, "Żaneta")], "person_id long, alias string")
+    return apply_filters(docs, SearchFilters(author_name="Zaneta Łuk"), authors=authors, aliases=aliases).select("id")

@@ -237,3 +237,72 @@ def test_places_near_lines_without_cross_join(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert sorted((r.id, r.line, round(r.km)) for r in out.collect()) == [(1, 1, 56), (1, 3, 0), (3, 2, 56)]
+
+
+# files, filters
+
+
+def test_files_of_rules_and_usage(spark, tmp_path):
+    from quillspark.operators.sites import clean_pages, site_rules
+    from quillspark.sources import catalog
+
+    for name, text in (("a/x/1.txt", "12345"), ("a/2.txt", "67"), ("b/3.txt", "8"), ("4.txt", "0"), ("rules.json", '{"e.com": {"remove_before": ["BEGIN"], "remove_string": ["ad"]}, "_global": {"remove_after": ["END"]}}'), ("patterns.txt", "# no\na+b\r\n\n  #x\n c\n")):
+        path = tmp_path / "files" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    root = str(tmp_path / "files")
+    used = {r.folder: (r.files, r.bytes) for r in catalog.folder_usage(spark, root).collect()}
+    assert used["a"] == (2, 7) and used["b"] == (1, 1) and used[""][0] == 3
+    assert {r.folder for r in catalog.folder_usage(spark, root, 2).collect()} == {"a/x", "a", "b", ""}
+    assert catalog.pattern_lines(spark, f"{root}/patterns.txt") == ["a+b", " c"] and catalog.rules_file(spark, f"{root}/none.json") == {}
+    pages = spark.createDataFrame([("https://e.com/1", "x BEGIN ad text END y"), ("https://f.org", "BEGIN z END")], "url string, text string")
+    assert sorted(r.text.strip() for r in clean_pages(pages, site_rules(catalog.rules_file(spark, f"{root}/rules.json"))).collect()) == ["BEGIN z", "text"]
+    with pytest.raises(TypeError):
+        site_rules({"e.com": {"unknown": []}})
+
+
+FIELDS = {
+    "publisher_name": ("łódź PRESS", {1, 2}),
+    "publisher_domain": ("http://www.A.com/x", {1, 4}),
+    "discovery_source": ("Nobody", set()),
+    "collection": ("main", {2, 3}),
+    "author_name": ("ZOE", {1, 3}),
+    "published_from": (datetime.date(2024, 1, 2), {2, 3}),
+    "published_to": (datetime.date(2024, 1, 2), {1, 2}),
+    "ingested_from": (datetime.datetime(2024, 1, 2), {2}),
+    "ingested_to": (datetime.datetime(2024, 1, 1, 23), {1}),
+    "period_start": (1950, {1, 3}),
+    "period_end": (1900, {1, 2}),
+    "document_types": (("note",), {2}),
+    "languages": (("pl", "en"), {1, 2, 4}),
+    "without_embedding": (True, {2, 3, 4}),
+    "source_layer": ("managed", {1, 3, 4}),
+}
+
+
+@pytest.mark.parametrize("field", FIELDS)
+def test_each_filter(spark, field):
+    from dataclasses import fields
+
+    from quillspark.operators.filters import SearchFilters, apply_filters
+
+    assert {f.name for f in fields(SearchFilters)} == set(FIELDS)
+    day, at = datetime.date, datetime.datetime
+    docs = spark.createDataFrame(
+        [(1, 10, 1, 1, "x", "pl", day(2024, 1, 1), at(2024, 1, 1), "by nobody"), (2, 20, 1, 2, "note", "en", day(2024, 1, 2), at(2024, 1, 3), "zoe"), (3, 30, 2, 2, "x", "de", day(2024, 1, 3), None, "with Zoé and others"), (4, 10, None, None, "x", "pl", None, None, None)],
+        "id long, publisher_id long, discovery_source_id long, collection_id long, document_type string, language string, published_on date, ingested_at timestamp, byline string",
+    ).withColumn("publisher_id", F.when(F.col("id") == 4, 40).otherwise(F.col("publisher_id")))
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = apply_filters(
+        docs,
+        SearchFilters(**{field: FIELDS[field][0]}),
+        authors=table([(1, 7, "Zoë"), (2, 8, "Eva")], "document_id long, person_id long, name string"),
+        aliases=table([(8, "Evita")], "person_id long, alias string"),
+        periods=table([(1, None, None), (2, 1800, 1900), (3, 1940, None)], "document_id long, start_year int, end_year int"),
+        embeddings=table([(1,)], "document_id long"),
+        publishers=table([(10, "Lodz Press"), (20, "ŁÓDŹ  press"), (30, "Other")], "id long, name string"),
+        publisher_domains=table([(10, "A.com"), (40, "a.com"), (30, "b.com")], "publisher_id long, domain string"),
+        discovery_sources=table([(1, "Feed")], "id long, name string"),
+        collections=table([(1, "Main"), (2, "main")], "id long, name string"),
+    )
+    assert {r.id for r in out.collect()} == FIELDS[field][1]
