@@ -21,8 +21,8 @@ def text_quality(text: Column, size: Column) -> Column:
 
 
 def key_range(key: Column, bins: int) -> Column:
-    """The number of a positive key's range, of `bins` a doubling."""
-    return F.floor(F.log2(key) * bins)
+    """The number of a positive key's range, of `bins` a doubling. It is told never to be null, so that no join filters rows by it, which would compute keys twice."""
+    return F.coalesce(F.floor(F.log2(key) * bins), F.lit(0).cast("long"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
