@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keeps_names, with_columns
 
-#: Whole texts of common licenses and notices, their permission or list of conditions alone, and short lines.
+#: Short licenses whole (MIT, BSD, ISC), their permission or list of conditions alone, the notices by which files name the long ones
+#: (Apache-2.0, GPL-3.0-notice), and short lines. The whole texts of long licenses come from files, by read_templates.
 TEMPLATES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -140,11 +142,20 @@ def find_licenses(words: list[str], templates: dict[str, list[str]], least: floa
     return [(name, a, b, k / len(templates[name])) for name, a, b, k in apart(found)]
 
 
+def read_templates(spark: SparkSession, path: str, most: int = 200, most_chars: int = 400_000) -> dict[str, str]:
+    """Templates from a folder of license texts, a file each, named as the files are without `.txt`. At most `most` files of at most most_chars characters each come to the driver: more are an error."""
+    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value")
+    found = texts.where(F.length("value") <= most_chars).limit(most + 1).collect()
+    if len(found) > most or len(found) < texts.count():
+        raise ValueError(f"more than {most} license texts, or one of over {most_chars} characters, below {path}")
+    return {unquote(r.name): r.value for r in sorted(found, key=lambda r: r.name)}
+
+
 @keeps_names
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, text_col: str = "text") -> DataFrame:
     """Finds copies of license texts in whole documents, one pass over the rows.
 
-    Adds licenses (license, first_word, last_word, coverage, in order of place) over an input column of that name. Words are runs of
+    templates: text by name, by default TEMPLATES; read_templates reads whole texts from files. Adds licenses (license, first_word, last_word, coverage, in order of place) over an input column of that name. Words are runs of
     a-z and 0-9 after lower-casing; coverage is the share of the template's words that patience alignment pairs with
     the text, and spans need at least `least`, so a whole license that lacks its disclaimer is told as its permission or conditions only. All rows stay. Null and empty texts have none. Repeated rows and ties
     are scanned one by one; an empty table gives an empty table.
