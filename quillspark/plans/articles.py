@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import articles as A
 from ..functions import transcripts as R
-from .registry import query
+from .registry import query, shaped, shaped_sql
 
 
 def _page():
@@ -36,23 +36,64 @@ def model_answers(t):
     return t("events").select("event_id", F.explode(F.from_json(A.complete_objects(answer), "array<struct<k:bigint>>")).alias("o")).select("event_id", "o.k")
 
 
-@query("SELECT user_id, 0 AS start, 90 AS \"end\", 'intro' AS title FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT user_id, 90, 3600 + user_id % 60, 'body' FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT user_id, 3600 + user_id % 60, 5999940, 'end' FROM (SELECT DISTINCT user_id FROM events)")
+_TIMED = [
+    ("0:00 - intro\n\nbody {} 1:30\n1:00:05 end", [(0, 90, "intro"), (90, 3605, "body {}"), (3605, R.OPEN_END, "end")]),
+    ("no times\nat all", []),
+    ("{} 0:10", [(10, R.OPEN_END, "{}")]),
+    ("1:00 A\n1:00 B", [(60, 60, "A"), (60, R.OPEN_END, "B")]),
+    ("02:05 | {}", [(125, R.OPEN_END, "{}")]),
+    (None, []),
+    ("9:99 odd", [(639, R.OPEN_END, "odd")]),
+    ("12:00:00 – late {}\nx", [(43200, R.OPEN_END, "late {}")]),
+    ("  x 1:02:03  ", [(3723, R.OPEN_END, "x")]),
+    ("123:00 no", []),
+    ("", []),
+]
+
+
+@query(shaped_sql([(k, *c) for k, (_, found) in enumerate(_TIMED) for c in found], 'start, "end", title', len(_TIMED)))
 def transcript_chapters(t):
-    last = F.lpad((F.col("user_id") % 60).cast("string"), 2, "0")
-    lines = F.concat(F.lit("0:00 - intro\n\nbody 1:30\n1:00:"), last, F.lit(" end\n"))
-    rows = t("events").select("user_id").distinct()
-    return rows.select("user_id", F.explode(R.chapter_list(lines)).alias("c")).select("user_id", "c.start", "c.end", "c.title")
+    rows = shaped(t, [r[:1] for r in _TIMED], "lines string")
+    return rows.select("doc_id", F.explode(R.chapter_list(F.col("lines"))).alias("c")).select("doc_id", "c.start", "c.end", "c.title")
+
 
+_HEARD = [
+    ('[{"text":"before","start":1.0},{"text":" one {} ","start":61.0},{"text":"two","start":130.5},{"text":"late","start":70}]', "before\n## A\none {}\n## B\ntwo\nlate"),
+    ('[{"text":"{}","start":200}]', "## B\n{}"),
+    ("[]", ""),
+    ('[{"text":" a {} ","start":59.9},{"text":"b","start":60}]', "a {}\n## A\nb"),
+    ('[{"text":"x","start":500},{"text":"y","start":60},{"text":"{}","start":130}]', "## B\nx\ny\n{}"),
+    ("no json", None),
+    ('[{"text":"t","start":120}]', "## B\nt"),
+    ('[{"text":"t {}","start":119.5},{"text":"u","start":120.5}]', "## A\nt {}\n## B\nu"),
+    ('[{"text":"","start":0}]', ""),
+    ('[{"text":"\\u0142 {}","start":0}]', "ł {}"),
+]
 
-@query("SELECT user_id, 'before' || chr(10) || '## A' || chr(10) || 'one ' || user_id || chr(10) || '## B' || chr(10) || 'two' || chr(10) || 'late' AS text, 'A|B' AS within FROM (SELECT DISTINCT user_id FROM events)")
+
+@query("SELECT *, CASE WHEN doc_id % 200 < 60 THEN '' WHEN doc_id % 200 < 120 THEN 'A' ELSE 'B' END || CASE WHEN doc_id % 200 < 60 AND doc_id % 200 + 55 > 60 THEN 'A' WHEN doc_id % 200 >= 60 AND doc_id % 200 < 120 AND doc_id % 200 + 55 > 120 THEN '|B' ELSE '' END AS within FROM (" + shaped_sql([r[1:] for r in _HEARD], "text") + ")")
 def transcript_text(t):
-    raw = F.concat(F.lit('[{"text":"before","start":1.0},{"text":" one '), F.col("user_id"), F.lit('","start":61.0},{"text":"two","start":130.5},{"text":"late","start":70}]'))
+    """Ten shapes of transcripts over two chapters, and the chapters of a chunk of 55 seconds from any second."""
+    rows = shaped(t, [r[:1] for r in _HEARD], "raw string")
     chapters = R.chapter_list(F.lit("1:00 A\n2:00 B"))
-    rows = t("events").select("user_id").distinct()
-    return rows.select("user_id", R.with_chapters(raw, chapters).alias("text"), F.array_join(R.chapters_within(F.lit(70), F.lit(125), chapters), "|").alias("within"))
+    begin = F.col("doc_id") % 200
+    return rows.select("doc_id", R.with_chapters(F.col("raw"), chapters).alias("text"), F.array_join(R.chapters_within(begin, begin + 55, chapters), "|").alias("within"))
+
+
+_LABELLED = [
+    ("TYPE: temat\nTOPIC: {}\nTEXT:\nabc\n", "TEMAT", "{}", "abc"),
+    ("TOPIC: a {}\nTYPE: x\nTEXT: y\nz", "X", "a {}", "y\nz"),
+    ("TEXT: only {}", "", "", "only {}"),
+    ("nothing {}", "", "", ""),
+    ("TYPE: A\nTYPE: B\nTOPIC:\nTEXT:\n\n  multi\n\n lines {}  ", "A", "", "multi\n\n lines {}"),
+    ("", "", "", ""),
+    (None, None, None, None),
+    ("x TYPE: no\nTEXT: {}", "", "", "{}"),
+    ("TYPE: reklama", "REKLAMA", "", ""),
+    ("TEXT: a\nTOPIC: late {}", "", "late {}", "a"),
+]
 
 
-@query("SELECT p_partkey, 'TEMAT' AS type, p_name AS topic, p_brand AS text FROM part")
+@query(shaped_sql([r[1:] for r in _LABELLED], "type, topic, text"))
 def labelled_output(t):
-    raw = F.concat(F.lit("TYPE: temat\nTOPIC: "), F.col("p_name"), F.lit("\nTEXT:\n"), F.col("p_brand"), F.lit("\n"))
-    return t("part").select("p_partkey", R.topics(raw).alias("t")).select("p_partkey", "t.*")
+    return shaped(t, [r[:1] for r in _LABELLED], "raw string").select("doc_id", R.topics(F.col("raw")).alias("t")).select("doc_id", "t.*")

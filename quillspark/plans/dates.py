@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
-from .registry import query
+from .registry import query, shaped, shaped_sql
 
 PHRASES = [
     ("12 maja 1998 r.", "day", 1998, "1998-05-12", "1998-05-12"),
@@ -30,16 +30,14 @@ PHRASES = [
     ("966", "year", 966, "0966-01-01", "0966-12-31"),
     ("1939-1918", None, None, None, None),
     ("31 lutego 2001", None, None, None, None),
-    ("kiedyś", None, None, None, None),
+    ("kiedyś {}", None, None, None, None),
 ]
-_told = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
-PHRASES_SQL = ", ".join(f"({', '.join(map(_told, row))})" for row in PHRASES)
 
 
-@query(f"SELECT n_nationkey, v.* FROM nation, (VALUES {PHRASES_SQL}) v(phrase, date_precision, sort_year, event_date, event_date_end)")
+@query(shaped_sql(PHRASES, "phrase, date_precision, sort_year, event_date, event_date_end"))
 def date_phrases(t):
-    phrases = F.explode(F.array(*[F.lit(p[0]) for p in PHRASES])).alias("phrase")
-    return t("nation").select("n_nationkey", phrases).withColumn("d", D.date_phrase(F.col("phrase"), F.lit("2026-04-09").cast("date"))).select("n_nationkey", "phrase", "d.date_precision", "d.sort_year", F.col("d.event_date").cast("string").alias("event_date"), F.col("d.event_date_end").cast("string").alias("event_date_end"))
+    rows = shaped(t, [p[:1] for p in PHRASES], "phrase string").withColumn("d", D.date_phrase(F.col("phrase"), F.lit("2026-04-09").cast("date")))
+    return rows.select("doc_id", "phrase", "d.date_precision", "d.sort_year", F.col("d.event_date").cast("string").alias("event_date"), F.col("d.event_date_end").cast("string").alias("event_date_end"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN year(o_orderdate) END::BIGINT AS year FROM orders")
@@ -58,10 +56,12 @@ def relation_bounds(t):
     return t("orders").select("o_orderkey", D.relation_bounds(F.get(kinds, (F.col("o_orderkey") % 5).cast("int")), y, y - 2).alias("b")).select("o_orderkey", "b.start", "b.end")
 
 
-@query("SELECT r_regionkey, v.* FROM region, (VALUES ('Rozpad  ZSRR', 1991), ('Wejście Polski do NATO', 1999), ('Upadek muru berlińskiego', 1989), ('nieznane', NULL)) v(anchor, year)")
+_ANCHORS = [("Rozpad  ZSRR", 1991), ("Wejście Polski do NATO", 1999), ("Upadek muru berlińskiego", 1989), ("nieznane {}", None), ("początek II wojny światowej", 1939), ("KONIEC I WOJNY ŚWIATOWEJ", 1918), ("upadek muru {}", None), ("", None), (None, None), ("zamachy z 11 września", 2001), ("początek  zimnej  wojny", 1947)]
+
+
+@query(shaped_sql(_ANCHORS, "anchor, year"))
 def anchors(t):
-    names = F.explode(F.array(*[F.lit(x) for x in ("Rozpad  ZSRR", "Wejście Polski do NATO", "Upadek muru berlińskiego", "nieznane")])).alias("anchor")
-    return t("region").select("r_regionkey", names).withColumn("year", D.anchor_year(F.col("anchor")))
+    return shaped(t, [r[:1] for r in _ANCHORS], "anchor string").withColumn("year", D.anchor_year(F.col("anchor"))).drop("shape")
 
 
 @query("""

@@ -10,19 +10,45 @@ from ..operators.sites import SiteRules, clean_pages, facilities
 from .registry import query, shaped, shaped_sql
 
 
-@query("""
-SELECT p_partkey, '12' AS marker, 'www.example.com/' || p_partkey AS text, 'https://www.example.com/' || p_partkey AS url, length('Body 1\n')::BIGINT AS char_offset FROM part
-UNION ALL SELECT p_partkey, '3', 'Kowalski, ' || p_name || ', 1999', NULL, length('Body 1\n12 www.example.com/' || p_partkey || '\n5 of them stay\n') FROM part
-""".replace("\\n", "' || chr(10) || '"))
+_NOTED = [
+    ("Body 1\n³ Kowalski, 1999\n5 of them stay\n12 www.example.com/{}", [("3", "Kowalski, 1999", None, 7), ("12", "www.example.com/{}", "https://www.example.com/{}", 39)]),
+    ("1 Short note {}.", [("1", "Short note {}.", None, 0)]),
+    ("1 lower note {}.", []),
+    ("123 Not a note {}.", []),
+    ("¹² anything {}", [("12", "anything {}", None, 0)]),
+    ("7 Ibidem, s. {}", [("7", "Ibidem, s. {}", None, 0)]),
+    ("2 (https://e.com/{}), seen", []),
+    ("", []),
+    ("x\n4 Text from 2024 {} without end", [("4", "Text from 2024 {} without end", None, 2)]),
+    (None, []),
+    ("9 https://e.com/{}. and more", [("9", "https://e.com/{}. and more", "https://e.com/{}", 0)]),
+]
+
+
+@query(shaped_sql([(k, *n) for k, (_, found) in enumerate(_NOTED) for n in found], "marker, note, url, char_offset", len(_NOTED)))
 def footnotes(t):
-    text = F.concat(F.lit("Body 1\n12 www.example.com/"), F.col("p_partkey"), F.lit("\n5 of them stay\n³ Kowalski, "), F.col("p_name"), F.lit(", 1999\nend"))
-    return t("part").select("p_partkey", F.explode(M.footnotes(text)).alias("f")).select("p_partkey", "f.marker", "f.text", "f.url", F.col("f.char_offset").cast("long").alias("char_offset"))
+    rows = shaped(t, [r[:1] for r in _NOTED], "page string")
+    return rows.select("doc_id", F.explode(M.footnotes(F.col("page"))).alias("f")).select("doc_id", "f.marker", F.col("f.text").alias("note"), "f.url", "f.char_offset")
+
+
+_LISTED = [
+    ("- not yet\n**Źródła:**\n\n* {} — x\n2. PAP\nplain line\n- over", [("{}", "{} — x"), ("PAP", "PAP")]),
+    ("no list\n* {}", []),
+    ("## Bibliografia\n1) A {}\n• B", [("A {}", "A {}"), ("B", "B")]),
+    ("Literatura\nprose {}\n- late", []),
+    ("", []),
+    (None, []),
+    ("*references:*\n- {}", [("{}", "{}")]),
+    ("Źródła {}\n- x", []),
+    ("ZRODLA\n\n\n- a — {} — c", [("a", "a — {} — c")]),
+    ("Źródła:\n123. too long a number", []),
+]
 
 
-@query("SELECT p_partkey, p_brand AS source_name, p_brand || ' — ' || p_name AS raw_entry FROM part UNION ALL SELECT p_partkey, 'PAP', 'PAP' FROM part")
+@query(shaped_sql([(k, *e) for k, (_, found) in enumerate(_LISTED) for e in found], "source_name, raw_entry", len(_LISTED)))
 def press_bibliography(t):
-    text = F.concat(F.lit("- not yet\n**Źródła:**\n\n* "), F.col("p_brand"), F.lit(" — "), F.col("p_name"), F.lit("\n2. PAP\nplain line\n- over"))
-    return t("part").select("p_partkey", F.explode(M.bibliography(text)).alias("b")).select("p_partkey", "b.source_name", "b.raw_entry")
+    rows = shaped(t, [r[:1] for r in _LISTED], "page string")
+    return rows.select("doc_id", F.explode(M.bibliography(F.col("page"))).alias("b")).select("doc_id", "b.source_name", "b.raw_entry")
 
 
 @query("SELECT p_partkey, lower(p_brand) || '|news' AS tags, p_name AS body FROM part")

@@ -1,20 +1,48 @@
-"""Portal articles and photo credits, over texts built from the tables."""
+"""Portal articles and photo credits, over documents of several shapes."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import portal as P
-from .registry import query
+from .registry import query, shaped, shaped_sql
 
+_ARTICLES = [
+    ("Title {}\nREKLAMA\n12\n---\n## Top 5 treści Premium [link3]\n**1** teaser\nshort\n**Pytanie?**\n## Zobacz [link4]\n## Wideo\n\n![x](y)\nshort again\nWięcej w Strefie Premium\nBody", "Title {}\n**Pytanie?**\nBody"),
+    ("{}\nREKLAMA\n---\n12\nEnd", "{}\nEnd"),
+    ("### Więcej pogłębionych treści\nskip\nWięcej w Strefie Premium\nafter {}", "after {}"),
+    ("## Top 5 treści Premium [link3]\nskip\n" + "p" * 81 + "\nend {}", "p" * 81 + "\nend {}"),
+    ("## Video\n![x](y)\nskip {}", ""),
+    ("## Heading {}\nprose\n![x](y)", "## Heading {}\nprose\n![x](y)"),
+    ("a\n\n\n\nb {}", "a\n\nb {}"),
+    ("link[1]: http\npicture[2]: x\ntext {}", "text {}"),
+    ("", ""),
+    ("Audio generowane przez AI (x)\n## Zobacz [link4]\n**1** {}\n**Pytanie?**", "**1** {}\n**Pytanie?**"),
+    ("  spaces {}  \nLubię to\n[ ]\nZwiń", "spaces {}"),
+]
 
-@query("SELECT p_partkey, 'Title ' || p_name || chr(10) || '**Pytanie?**' || chr(10) || 'Body ' || p_brand AS text FROM part")
+
+@query(shaped_sql([r[1:] for r in _ARTICLES], "body"))
 def article_cleaning(t):
-    text = F.concat(F.lit("Title "), F.col("p_name"), F.lit("\nREKLAMA\n12\n---\n## Top 5 treści Premium [link3]\n**1** teaser\nshort\n**Pytanie?**\n## Zobacz [link4]\n## Wideo\n\n![x](y)\nshort again\nWięcej w Strefie Premium\nBody "), F.col("p_brand"))
-    return t("part").select("p_partkey", P.article_lines(text).alias("text"))
+    return shaped(t, [r[:1] for r in _ARTICLES], "page string").select("doc_id", P.article_lines(F.col("page")).alias("body"))
+
+
+_CREDITED = [
+    ("Prose {}\nfot. Shutterstock\nA. Nowak / PAP\nplain\nFot. Jan\nMiasto (zdjęcie ilustracyjne)", [(1, "stock"), (2, "agency"), (4, "other"), (5, "illustrative")]),
+    ("zdj. ilustracyjne Getty Images {}", [(0, "illustrative")]),
+    ("EPA/{}", [(0, "agency")]),
+    ("Forum {}", []),
+    ("Źródło zdjęcia: {}", [(0, "other")]),
+    ("fot. " + "x" * 130, []),
+    ("**Fot.** Reuters", [(0, "agency")]),
+    ("zdjęcie: {}\n\nautor zdjęcia Jan", [(0, "other"), (2, "other")]),
+    ("", []),
+    ("fotografia {}", []),
+    ("Jan/Forum\nAdobe Stock", [(0, "agency"), (1, "stock")]),
+]
 
 
-@query("SELECT p_partkey, 1 AS line_index, 'stock' AS category FROM part UNION ALL SELECT p_partkey, 2, 'agency' FROM part UNION ALL SELECT p_partkey, 4, 'other' FROM part UNION ALL SELECT p_partkey, 5, 'illustrative' FROM part")
+@query(shaped_sql([(k, *c) for k, (_, found) in enumerate(_CREDITED) for c in found], "line_index, category", len(_CREDITED)))
 def photo_credits(t):
-    text = F.concat(F.lit("Prose about "), F.col("p_name"), F.lit("\nfot. Shutterstock\nA. Nowak / PAP\nplain\nFot. Jan\nMiasto (zdjęcie ilustracyjne)"))
-    return t("part").select("p_partkey", F.explode(P.credits(text)).alias("c")).select("p_partkey", "c.line_index", "c.category")
+    rows = shaped(t, [r[:1] for r in _CREDITED], "page string")
+    return rows.select("doc_id", F.explode(P.credits(F.col("page"))).alias("c")).select("doc_id", "c.line_index", "c.category")
