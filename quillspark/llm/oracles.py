@@ -28,8 +28,10 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws, string_spli
 grams AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(l, '{_LOUD}')) AS loud, len(regexp_extract_all(l, '[|»›•]')) AS sep FROM (SELECT doc_id, unnest(ls) AS l FROM w)),
-lost AS (SELECT doc_id, sum(CASE WHEN (loud >= 4 AND loud * 10 > n * 3) OR (sep >= 3 AND sep * 5 > n) OR (n <= 25 AND regexp_matches(l, '{_STOCK}')) THEN length(regexp_replace(l, '{SPACE}', '', 'g')) ELSE 0 END) AS chars FROM lines GROUP BY doc_id),
+lines AS (SELECT doc_id, l, i, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(l, '{_LOUD}')) AS loud, len(regexp_extract_all(l, '[|»›•]')) AS sep, len(regexp_extract_all(l, '{_STOCK}')) AS stock FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM w)),
+near AS (SELECT *, coalesce(lag(n) OVER o BETWEEN 1 AND 4, false) OR coalesce(lead(n) OVER o BETWEEN 1 AND 4, false) AS menu, i <= 2 OR i > count(*) OVER (PARTITION BY doc_id) - 2 AS edge FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+told AS (SELECT *, n <= 25 AND stock > 0 AND (CASE WHEN n <= 6 THEN 2 ELSE 0 END) + edge::INT + menu::INT + (NOT regexp_matches(l, '[.!?…:;)"»”]\s*$'))::INT + (stock >= 2)::INT >= 2 AS boiler FROM near),
+lost AS (SELECT doc_id, sum(CASE WHEN (loud >= 4 AND loud * 10 > n * 3) OR (sep >= 3 AND sep * 5 > n) OR boiler THEN length(regexp_replace(l, '{SPACE}', '', 'g')) ELSE 0 END) AS chars FROM told GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
     len(list_filter(ls, lambda x: trim(x, {CHARS}) <> '')) - len(list_distinct(list_filter(ls, lambda x: trim(x, {CHARS}) <> ''))) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, lost.chars

@@ -20,12 +20,41 @@ STOCK_PHRASES = (
 )
 BOILERPLATE = rf"(?i)\b(({'|'.join(STOCK_PHRASES)})\b|politique de confidentialit)"
 
-def line_fails(line: Column) -> Column:
-    """Punctuation: 4 or more loud characters and over 0.3 a word. Navigation: 3 or more separators and over 0.2 a word. Boilerplate: a stock phrase of one of four languages in a line of at most 25 words."""
+#: A stock phrase in a line of up to STOCK_WORDS words counts against it; a line of up to BUTTON_WORDS is little else; a neighbour of up to MENU_WORDS is part of a menu.
+STOCK_WORDS, BUTTON_WORDS, MENU_WORDS = 25, 6, 4
+#: How many lines at either end of a text are its header and footer.
+EDGE_LINES = 2
+SENTENCE_END = r"[.!?…:;)\"»”]\s*$"
+
+
+def line_facts(line: Column) -> Column:
+    """A line with its number of words, and whether the rules on its own characters fail it.
+
+    Punctuation: 4 or more loud characters and over 0.3 a word. Navigation: 3 or more separators and over 0.2 a word.
+    """
     n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     loud = F.regexp_count(line, F.lit(LOUD))
     separators = F.regexp_count(line, F.lit(SEPARATORS))
-    return ((loud >= 4) & (loud * 10 > n * 3)) | ((separators >= 3) & (separators * 5 > n)) | (line.rlike(BOILERPLATE) & (n <= 25))
+    return F.struct(line.alias("line"), n.alias("n"), (((loud >= 4) & (loud * 10 > n * 3)) | ((separators >= 3) & (separators * 5 > n))).alias("bad"))
+
+
+def is_boilerplate(lines: Column, i: Column) -> Column:
+    """Whether line i of the facts of a text is boilerplate: a stock phrase of one of four languages, and two points.
+
+    A line of few words has two by itself. One point each: it stands at either end of the text; the line before or after it is one of a
+    menu; it doesn't end like a sentence; it holds two stock phrases or more. So prose that mentions a phrase stays.
+    """
+    here = F.get(lines, i)
+    menu = lambda k: F.coalesce(F.get(lines, k)["n"].between(1, MENU_WORDS), F.lit(False)).cast("int")
+    edge = ((i < EDGE_LINES) | (i >= F.size(lines) - EDGE_LINES)).cast("int")
+    points = (here["n"] <= BUTTON_WORDS).cast("int") * 2 + edge + F.greatest(menu(i - 1), menu(i + 1)) + (~here["line"].rlike(SENTENCE_END)).cast("int") + (F.regexp_count(here["line"], F.lit(BOILERPLATE)) >= 2).cast("int")
+    return F.when((here["n"] <= STOCK_WORDS) & here["line"].rlike(BOILERPLATE), points >= 2).otherwise(False)
+
+
+def clean_lines(lines: Column) -> Column:
+    """The lines that fail no rule."""
+    kept = lambda facts: F.filter(facts, lambda x, i: ~(x["bad"] | is_boilerplate(facts, i)))
+    return F.transform(let(F.transform(lines, line_facts), kept), lambda x: x["line"])
 
 
 def repeat_words(words: Column) -> Column:
@@ -66,7 +95,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(F.filter(lines, has_word), lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         repeat_words(words).cast("long").alias("n_repeat_words"),
-        F.array_join(F.filter(lines, lambda line: ~line_fails(line)), "\n").alias("clean_text"),
+        F.array_join(clean_lines(lines), "\n").alias("clean_text"),
     )
     measured = once(parts, "__m", figures)
     m = F.col("__m")

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import licenses, mixing, near_copies, resampling, secrets, substring_dedup, token_files, vector_codes, word_hashes
+from quillspark.llm import licenses, mixing, near_copies, quality_rules, resampling, secrets, substring_dedup, token_files, vector_codes, word_hashes
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -320,3 +320,19 @@ def test_planted_secrets_of_all_formats(spark):
     print(recall, sum(len(told[i] - {planted[i][1]}) for i in planted))
     assert recall["access"] == recall["hex"] == 1 and recall["base62"] >= 0.9
     assert sum(len(told[i] - {planted[i][1]}) for i in planted) <= 0.1 * len(planted)
+
+
+# quality rules
+
+
+def test_prose_that_mentions_stock_phrases(spark):
+    """Prose on sites and accounts stays, whatever it mentions; menus, banners and footers go."""
+    r = random.Random(9)
+    words = [f"word{i}" for i in range(60)]
+    prose = lambda end: " ".join([*r.choices(words, k=6), "people log in and write to each other", *r.choices(words, k=5)]) + end
+    docs = {k: "\n".join(prose(r.choice([".", "?", ""]) if k % 2 else ".") for _ in range(12)) for k in range(40)}
+    docs[100] = "\n".join(["Home", "Sign up", "Log in", " ".join(words), "About", "We use cookies, see our cookie policy and privacy policy to learn how", "Terms of use", "All rights reserved"])
+    out = {x.doc_id: x for x in quality_rules.quality_rules(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert all(out[k].kept for k in range(40))
+    assert sum(len(out[k].clean_text.split()) for k in range(0, 40, 2)) == sum(len(docs[k].split()) for k in range(0, 40, 2))
+    assert out[100].clean_text == "\n".join(["Home", " ".join(words), "About"])
