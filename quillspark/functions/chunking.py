@@ -81,6 +81,20 @@ def chapters(c: Column) -> Column:
     return F.when(ones + twos == 0, F.filter(F.transform(kept, of), lambda x: F.lit(False))).otherwise(F.transform(kept, of))
 
 
+def chapter_text(c: Column, position: Column) -> Column:
+    """(title, text) of one chapter by its position from 1, trimmed; null where a text has no chapters or none of that number."""
+    body = F.rtrim(c, F.lit(SPACE_CHARS))
+
+    def of(found: Column) -> Column:
+        before = F.aggregate(F.slice(found, F.lit(1), position.cast("int") - 1), F.lit(0), lambda a, x: a + x["length"])
+        here = F.get(found, position.cast("int") - 1)
+        # blank parts before the first chapter have no number, but have their length
+        skipped = F.length(body) - F.aggregate(found, F.lit(0), lambda a, x: a + x["length"])
+        return F.when(here.isNotNull(), F.struct(here["title"].alias("title"), strip(F.substr(body, skipped + before + 1, here["length"])).alias("text")))
+
+    return F.when(position >= 1, let(chapters(c), of))
+
+
 def windows(c: Column, size: int) -> Column:
     """Consecutive windows of at most `size` characters that end at white space."""
     return F.regexp_extract_all(c, F.lit(r"(?s)\S.{0,%d}(?=\s|$)|\S{1,%d}" % (size - 1, size)), F.lit(0))

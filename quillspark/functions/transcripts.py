@@ -45,3 +45,29 @@ def topics(text: Column) -> Column:
     """Labelled model output (`TYPE: ... TOPIC: ... TEXT: ...`) as (type, topic, text)."""
     part = lambda name: strip(F.regexp_extract(text, rf"(?s)(?:^|\n){name}:[ ]*(.*?)(?=\n(?:TYPE|TOPIC|TEXT):|\z)", 1))
     return F.struct(F.upper(part("TYPE")).alias("type"), part("TOPIC").alias("topic"), part("TEXT").alias("text"))
+
+
+#: Fixed value: a chunk whose rewrite is shorter than this percentage of it counts as shortened.
+SHORTENED = 80
+
+
+def run_json(doc_id: Column, title: Column, chunks: Column) -> Column:
+    """An analysis run as one JSON document. chunks: array of (index, type, topic, original, corrected, summary), in order."""
+    ratio = lambda x: F.when(F.length(x["original"]) > 0, F.round(100 * F.length(x["corrected"]) / F.length(x["original"]), 1)).otherwise(0.0)
+    of_kind = lambda kind: F.size(F.filter(chunks, lambda x: x["type"] == kind))
+    meta = F.struct(doc_id.alias("doc_id"), title.alias("title"), F.size(chunks).alias("chunk_count"), of_kind("TEMAT").alias("content_chunks"), of_kind("REKLAMA").alias("ad_chunks"), F.size(F.filter(chunks, lambda x: ratio(x) < SHORTENED)).alias("short_chunks"))
+    told = F.transform(chunks, lambda x: F.struct(x["index"].alias("index"), x["type"].alias("type"), x["topic"].alias("topic"), ratio(x).alias("ratio"), x["original"].alias("original"), x["corrected"].alias("corrected"), x["summary"].alias("summary")))
+    return F.to_json(F.struct(meta.alias("meta"), told.alias("chunks")))
+
+
+def run_markdown(title: Column, chunks: Column) -> Column:
+    """An analysis run as a note: its title, then each chunk with its number, topic, summary of content, and text."""
+    block = lambda x: F.concat(F.lit("### "), x["index"], F.lit(". "), x["topic"], F.lit("\n\n"), F.when((x["type"] == "TEMAT") & (F.coalesce(x["summary"], F.lit("")) != ""), F.concat(F.lit("**"), x["summary"], F.lit("**\n\n"))).otherwise(F.lit("")), x["corrected"])
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), F.array_join(F.transform(chunks, block), "\n\n"))
+
+
+def run_html(title: Column, chunks: Column) -> Column:
+    """An analysis run as a page; what a text holds of markup is shown, not obeyed."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    block = lambda x: F.concat(F.lit("<h3>"), x["index"], F.lit(". "), safe(x["topic"]), F.lit("</h3><p>"), safe(x["corrected"]), F.lit("</p>"))
+    return F.concat(F.lit("<html><body><h1>"), safe(title), F.lit("</h1>"), F.array_join(F.transform(chunks, block), ""), F.lit("</body></html>"))

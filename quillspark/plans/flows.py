@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chunking, markup, transcripts
 from ..functions.review import author_biography
 from ..operators import geometry, mail, paragraphs
 from ..operators import workflow as W
@@ -223,3 +224,65 @@ def filter_author_alias(t):
     authors = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("document_id"), p.alias("person_id"), F.when(p == 4, "Żaneta  Łuk").otherwise("Jan").alias("name"))
     aliases = o.sparkSession.createDataFrame([(6, "zaneta luk"), (6, "ZŁ"), (7, "Żaneta")], "person_id long, alias string")
     return apply_filters(docs, SearchFilters(author_name="Zaneta Łuk"), authors=authors, aliases=aliases).select("id")
+
+
+_SECTIONS = [
+    ("intro\n## A {}\none\n\ntwo\n## B\n", [("A {}", "one\n\ntwo"), ("B", "")]),
+    ("# Title\n### Sub\nno {}", []),
+    ("## Only {}", [("Only {}", "")]),
+    ("##No space\n## Yes\n  {}  ", [("Yes", "{}")]),
+    ("", []),
+    (None, []),
+    ("## {} \n### Inner\nstays\n## {}\nx", [("{}", "### Inner\nstays"), ("{}", "x")]),
+    (" ## indented\ntext", []),
+    ("## Q1?\n- a\n- b {}", [("Q1?", "- a\n- b {}")]),
+    ("text ## inside\n## Last {}\nend", [("Last {}", "end")]),
+]
+
+
+@query(shaped_sql([(k, n, *f) for k, (_, found) in enumerate(_SECTIONS) for n, f in enumerate(found)], "position, title, body", len(_SECTIONS)))
+def note_sections(t):
+    rows = shaped(t, [r[:1] for r in _SECTIONS], "note string")
+    return rows.select("doc_id", F.posexplode(markup.sections(F.col("note"))).alias("position", "s")).select("doc_id", "position", "s.title", F.col("s.text").alias("body"))
+
+
+_CHAPTERS = [
+    ("intro {}\n# A\nbody {}\n# B\nend", 2, "A", "# A\nbody {}"),
+    ("intro {}\n# A\nbody\n# B\nend", 1, "(wstęp)", "intro {}"),
+    ("intro\n# A\nbody\n# B {}\nend\n\n", 3, "B {}", "# B {}\nend"),
+    ("intro\n# A\nbody\n# B\nend {}", 4, None, None),
+    ("# A\n## C {}\nx\n## D\ny", 2, "C {}", "## C {}\nx"),
+    ("\n\n## C {}\nx\n## D\ny", 1, "C {}", "## C {}\nx"),
+    ("no chapters {}", 1, None, None),
+    ("# A {}", 0, None, None),
+    (None, 1, None, None),
+    ("# A {} #\nx", 1, "A {}", "# A {} #\nx"),
+]
+
+
+@query(shaped_sql([r[2:] for r in _CHAPTERS], "title, body"))
+def chapter_slices(t):
+    rows = shaped(t, [r[:2] for r in _CHAPTERS], "note string, position int")
+    return rows.select("doc_id", chunking.chapter_text(F.col("note"), F.col("position")).alias("c")).select("doc_id", "c.title", F.col("c.text").alias("body"))
+
+
+def _runs(t):
+    """Conversations as runs: user turns as content, the others as ads, cut in half by a rewrite."""
+    text = F.coalesce("text", F.lit(""))
+    kind = F.when(F.col("role") == "user", "TEMAT").otherwise("REKLAMA")
+    row = F.struct(F.col("turn").alias("index"), kind.alias("type"), F.concat(F.lit("t<"), "turn", F.lit(">")).alias("topic"), text.alias("original"), F.left(text, F.ceil(F.length(text) / 2).cast("int")).alias("corrected"), F.when(F.col("turn") % 3 > 0, F.concat(F.lit("s"), "turn")).alias("summary"))
+    return t("conversations").where("role IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("chunks"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, left(coalesce(text, ''), ceil(length(coalesce(text, '')) / 2.0)::INT) AS half FROM conversations WHERE role IS NOT NULL)
+SELECT conv_id, count(*) AS chunks, count(*) FILTER (role = 'user') AS content, count(*) FILTER (CASE WHEN length(text) > 0 THEN round(100 * length(half) / length(text)::DOUBLE, 1) ELSE 0 END < 80) AS short,
+  sha256('# run ' || conv_id || chr(10) || chr(10) || string_agg('### ' || turn || '. t<' || turn || '>' || chr(10) || chr(10) || CASE WHEN role = 'user' AND turn % 3 > 0 THEN '**s' || turn || '**' || chr(10) || chr(10) ELSE '' END || half, chr(10) || chr(10) ORDER BY turn)) AS markdown,
+  sha256('<html><body><h1>run ' || conv_id || '</h1>' || string_agg('<h3>' || turn || '. t&lt;' || turn || '&gt;</h3><p>' || replace(replace(replace(half, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>', '' ORDER BY turn) || '</body></html>') AS html
+FROM c GROUP BY conv_id
+""")
+def run_exports(t):
+    title = F.concat(F.lit("run "), "conv_id")
+    told = F.from_json(transcripts.run_json(F.col("conv_id"), title, F.col("chunks")), "meta struct<doc_id:long,title:string,chunk_count:long,content_chunks:long,short_chunks:long>")["meta"]
+    runs = _runs(t).withColumn("m", told)
+    return runs.select("conv_id", F.col("m.chunk_count").alias("chunks"), F.col("m.content_chunks").alias("content"), F.col("m.short_chunks").alias("short"), F.sha2(transcripts.run_markdown(title, F.col("chunks")), 256).alias("markdown"), F.sha2(transcripts.run_html(title, F.col("chunks")), 256).alias("html"))
