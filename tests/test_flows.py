@@ -221,7 +221,7 @@ def test_paragraphs_for_any_window(spark):
     def propose(windows):
         """A sentence of an even length ends a paragraph, and what a window can't know is noise."""
         even = windows.select("key", "window", F.explode(F.filter("sentences", lambda s: F.length(s["sentence"]) % 2 == 0)).alias("s")).select("key", "window", F.col("s.at").alias("after"))
-        noise = windows.select("key", "window", (F.element_at("sentences", -1)["at"] + F.explode(F.array(F.lit(0), F.lit(5)))).alias("after"))
+        noise = windows.select("key", "window", F.explode(F.array(F.element_at("sentences", -1)["at"], F.element_at("sentences", -1)["at"] + 5)).alias("after"))
         return even.unionByName(noise)
 
     results = [{r.doc_id: (r.text, r.n_paragraphs) for r in paragraphs.paragraphs(docs, propose, size, step).collect()} for size, step in ((12, 6), (5, 2), (40, 3))]
