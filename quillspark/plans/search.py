@@ -46,12 +46,17 @@ def vector_topk_filtered(t):
     return hits.orderBy(F.desc("similarity"), F.asc("document_id")).limit(10)
 
 
-#: Frequent words, a phrase of titles, marks and cases in queries and texts, words that no text has.
-LEXICAL = {"and was THE": "and was the", "Über SRC1": "uber src1", "élan pour": "elan pour", "más ein": "mas ein", "nowhere-to-be-found": "nowhere to be found"}
+@query(f"SELECT document_id, round(text_score, 6) AS text_score FROM ({_lex(QUERY)})")
+def lexical_search(t):
+    return lexical_hits(documents(t), QUERY).withColumn("text_score", F.round("text_score", 6))
 
 
-@query(" UNION ALL ".join(f"SELECT '{asked}' AS query, document_id, round(text_score, 6) AS text_score FROM ({_lex(folded)})" for asked, folded in list(LEXICAL.items())[:4]))
-def lexical_search(t):
+#: A phrase of titles, marks and cases in queries and texts, words that no text has.
+LEXICAL = {"Über SRC1": "uber src1", "élan pour": "elan pour", "más ein": "mas ein", "nowhere-to-be-found": "nowhere to be found"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{asked}' AS query, document_id, round(text_score, 6) AS text_score FROM ({_lex(folded)})" for asked, folded in list(LEXICAL.items())[:3]))
+def lexical_phrases(t):
     found = [lexical_hits(documents(t), q).select(F.lit(q).alias("query"), "document_id", F.round("text_score", 6).alias("text_score")) for q in LEXICAL]
     out = found[0]
     for more in found[1:]:
