@@ -40,6 +40,7 @@ def captions(c: Column, url: Column | None = None) -> Column:
         return F.struct(
             i.alias("i"),
             t.alias("t"),
+            F.when(F.length(t) <= DESCRIPTION, fold(t)).alias("folded"),
             F.startswith(t, F.lit("[img")).alias("marker"),
             t.rlike(whole).alias("whole"),
             F.when(t.rlike(whole), fold(F.regexp_extract(t, r"^\[img\d+:?([^\]]*)\]$", 1))).alias("alt"),
@@ -49,7 +50,7 @@ def captions(c: Column, url: Column | None = None) -> Column:
 
     def told(rows: Column) -> Column:
         def of(r: Column, k: Column) -> Column:
-            repeats = lambda x, m: (m["alt"] != "") & (fold(x["t"]) == m["alt"])
+            repeats = lambda x, m: (m["alt"] != "") & F.coalesce(x["folded"] == m["alt"], F.lit(False))
             goes_on = lambda x, m: ~x["marker"] & ~repeats(x, m) & (x["credit"].isNotNull() | x["short"])
 
             def below(d: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE_CHARS, strip, unaccent
+from .text import SPACE_CHARS, let, strip, unaccent
 
 #: Headings that open sections to skip, the line that closes them, phrases that stand alone.
 SKIP_HEADINGS = ("### Więcej pogłębionych treści", "### Więcej treści premium dla Ciebie", "## Top 5 treści Premium", "## Najlepsze w premium", "## Czytaj także w BUSINESS INSIDER")
@@ -38,30 +38,33 @@ def _ad_heading(lines: Column, i: Column) -> Column:
     return F.startswith(F.get(lines, i), F.lit("## ")) & F.coalesce(F.get(ahead, F.lit(0)).rlike(r"^!\[|^\[img\d+\]|(?i)^odtwarzacz|^player"), F.lit(False))
 
 
+def section_marks(kinds: Column) -> Column:
+    """For lines by their letters, a "-" for each in a section: from o (opens) on through i (inside) to an e (last); another letter ends it.
+
+    One pass: runs of letters tell the sections. A line goes on right behind one that went (\\G), unless that was the last.
+    """
+    return F.split(F.regexp_replace(F.array_join(kinds, ""), r"o|\G(?!^)(?<!e)[ie]", "-"), "")
+
+
 def article_lines(c: Column) -> Column:
     """An article without portal noise and skipped sections.
 
-    Sections are intervals of line numbers: from an opening heading to the next line that closes one. A closing line goes with
-    its section; a bold question or a long paragraph closes it too, and stays.
+    Sections run from an opening heading to the next line that closes one. A closing line goes with its section; a bold question
+    or a long paragraph closes it too, and stays.
     """
-    lines = F.transform(F.split(c, "\n"), strip)
 
-    def kinds(t: Column, i: Column) -> Column:
+    def kind(lines: Column, t: Column, i: Column) -> Column:
         heading = F.rtrim(F.regexp_replace(t, r"\s*\[link\d+\]", ""))
         question = F.startswith(t, F.lit("**")) & F.substring_index(F.substr(t, F.lit(3)), "**", 1).try_cast("int").isNull()
         prose = (F.length(t) > LONG) & ~F.left(t, F.lit(1)).isin("[", "!")
-        return F.struct(i.alias("i"), t.alias("t"), (heading.isin(*SKIP_HEADINGS) | _ad_heading(lines, i)).alias("opens"), F.contains(t, F.lit(SKIP_END)).alias("ends"), (question | prose).alias("resumes"))
-
-    def kept(rows: Column) -> Column:
-        at = lambda which: F.transform(F.filter(rows, which), lambda r: r["i"])
-        opened, closed = at(lambda r: r["opens"]), at(lambda r: ~r["opens"] & (r["ends"] | r["resumes"]))
-        last = lambda places, i: F.coalesce(F.array_max(F.filter(places, lambda p: p <= i)), F.lit(-1))
-        inside = lambda i: last(opened, i) > last(closed, i)
-        stays = F.filter(rows, lambda r: ~(inside(r["i"]) | (r["ends"] & inside(r["i"] - 1)) | _noise(r["t"])))
-        return F.array_join(F.transform(stays, lambda r: r["t"]), "\n")
-
-    rows = F.transform(lines, kinds)
-    return F.regexp_replace(F.get(F.transform(F.array(rows), kept), F.lit(0)), r"\n{3,}", "\n\n")
+        return F.when(heading.isin(*SKIP_HEADINGS) | _ad_heading(lines, i), "o").when(F.contains(t, F.lit(SKIP_END)), "e").when(question | prose, "x").otherwise("i")
+
+    def kept(lines: Column) -> Column:
+        marks = section_marks(F.transform(lines, lambda t, i: kind(lines, t, i)))
+        stays = lambda ms: F.transform(lines, lambda t, i: F.when((F.get(ms, i) != "-") & ~_noise(t), t))
+        return F.array_join(F.filter(let(marks, stays), lambda t: t.isNotNull()), "\n")
+
+    return F.regexp_replace(let(F.transform(F.split(c, "\n"), strip), kept), r"\n{3,}", "\n\n")
 
 
 def spoken(line: Column) -> Column:

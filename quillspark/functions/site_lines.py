@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import extraction
+from .portal import section_marks
 from .text import let, strip
 from .urls import host
 
@@ -160,12 +161,8 @@ SITES = {
 
 
 def _without_section(lines: Column, s: Section) -> Column:
-    """A letter tells the kind of each line; runs of letters tell the sections, in one pass."""
-
     def kept(rows: Column) -> Column:
-        kinds = F.array_join(F.transform(rows, lambda x: F.when(s.opens(x), "o").when(s.last(x), "e").when(s.inside(x), "i").otherwise("x")), "")
-        # a line goes on right behind one that went (\G), unless that was the last
-        marks = F.split(F.regexp_replace(kinds, r"o|\G(?!^)(?<!e)[ie]", "-"), "")
+        marks = section_marks(F.transform(rows, lambda x: F.when(s.opens(x), "o").when(s.last(x), "e").when(s.inside(x), "i").otherwise("x")))
         gone = lambda x, m: (m == "-") & (F.lit(not s.backward) | (x != ""))
         return let(marks, lambda ms: F.filter(F.transform(rows, lambda x, i: F.when(~gone(x, F.get(ms, i)), x)), lambda x: x.isNotNull()))
 
