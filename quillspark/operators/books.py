@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip
+from ..functions.chunking import chapters
+from ..functions.text import SPACE_CHARS, let, strip
 
 #: Typographic marks and their plain forms, in order.
 DASHES, QUOTES = "–—", "„”“"
@@ -138,3 +139,64 @@ def link_contents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     said = full.select("k", "at", F.when(F.col("entry").isNotNull(), item).when(F.col("title") != "", head).otherwise(F.col("line")).alias("line"))
     whole = said.groupBy("k").agg(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n"), r"\n{3,}", "\n\n").alias("linked"))
     return docs.join(whole, docs[key] == whole["k"], "left").drop("k").withColumn(text, F.col("linked")).drop("linked")
+
+
+#: Where a footnote's number is glued to the word before it: up to three digits between a letter and no letter or digit.
+GLUED = r"(?U)(?<=[\p{L}_])(?=\d{1,3}(?![\p{L}\p{N}_]))"
+
+
+def without_markers(c: Column, n: Column) -> Column:
+    """(text, stripped): a chapter without the numbers 1 to n of its footnotes, glued to words, and how many were found.
+
+    Numbers are taken in order only: the next after the one before that is the number expected, whole. SHA256 or x86 stay, as
+    they aren't expected where they stand. Null text gives null.
+    """
+    pieces = F.transform(F.split(c, GLUED), lambda p, i: F.struct(p.alias("p"), F.when(i > 0, F.regexp_extract(p, r"^\d{1,3}", 0)).alias("digits")))
+    start = F.struct(F.lit(0).alias("found"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        hit = F.coalesce(x["digits"].try_cast("int") == s["found"] + 1, F.lit(False)) & (s["found"] < n)
+        kept = F.when(hit, F.substr(x["p"], F.length(x["digits"]) + 1)).otherwise(x["p"])
+        return F.struct((s["found"] + hit.cast("int")).alias("found"), F.array_append(s["out"], kept).alias("out"))
+
+    return let(F.aggregate(pieces, start, step), lambda s: F.struct(F.array_join(s["out"], "").alias("text"), s["found"].alias("stripped")))
+
+
+def strip_footnote_markers(books: DataFrame, notes: DataFrame) -> DataFrame:
+    """books (book, text) as (book, text, report) without the glued numbers of the footnotes in notes (book, position, n).
+
+    position is a chapter's number from 1, n how many footnotes it has. A chapter in which not all n are found stays as it is.
+    The report has (position, expected, stripped, ok) of each chapter of notes that the book has, in order. Books without notes
+    stay, with an empty report. Texts are joined with a map a book once, and are not taken apart over rows.
+    """
+    wanted = notes.where("n > 0").groupBy("book", "position").agg(F.max("n").alias("n")).groupBy("book").agg(F.map_from_entries(F.collect_list(F.struct(F.col("position").cast("int"), F.col("n").cast("int")))).alias("wanted"))
+
+    def cut(found: Column) -> Column:
+        skipped = F.length(F.rtrim("text", F.lit(SPACE_CHARS))) - F.aggregate(found, F.lit(0), lambda a, x: a + x["length"])
+        start = F.struct(skipped.alias("at"), F.array().cast("array<struct<position:int,text:string>>").alias("parts"))
+        add = lambda s, x: F.struct((s["at"] + x["length"]).alias("at"), F.array_append(s["parts"], F.struct(x["position"].cast("int").alias("position"), F.substr("text", s["at"] + 1, x["length"]).alias("text"))).alias("parts"))
+        # what stands before and after the chapters is white space, and stays
+        return let(F.aggregate(found, start, add), lambda s: F.struct(F.substr("text", F.lit(1), skipped).alias("head"), s["parts"].alias("parts"), F.substr("text", s["at"] + 1).alias("tail")))
+
+    def cleaned(x: Column) -> Column:
+        n = F.col("wanted")[x["position"]]
+        return F.when(n.isNull(), F.struct(x["text"].alias("text"), F.lit(None).cast("struct<position:int,expected:int,stripped:int,ok:boolean>").alias("told"))).otherwise(
+            let(without_markers(x["text"], n), lambda w: F.struct(F.when(w["stripped"] == n, w["text"]).otherwise(x["text"]).alias("text"), F.struct(x["position"].alias("position"), n.alias("expected"), w["stripped"].alias("stripped"), (w["stripped"] == n).alias("ok")).alias("told")))
+        )
+
+    rows = books.select("book", "text").join(wanted, "book", "left").withColumn("cut", let(chapters(F.col("text")), cut)).withColumn("new", F.transform("cut.parts", cleaned))
+    text = F.concat(F.col("cut.head"), F.array_join(F.transform("new", lambda x: x["text"]), ""), F.col("cut.tail"))
+    told = F.filter(F.transform("new", lambda x: x["told"]), lambda r: r.isNotNull())
+    return rows.select("book", F.when(F.size("new") > 0, text).otherwise(F.col("text")).alias("text"), F.coalesce(told, F.array().cast("array<struct<position:int,expected:int,stripped:int,ok:boolean>>")).alias("report"))
+
+
+def chapter_sources(c: Column, base: str, intro: str, unnumbered: tuple[str, ...]) -> Column:
+    """(position, title, url) of the chapters that have a page of their own: base/r0/ for the one titled intro, base/r1/ and on for all others in order, but for those of unnumbered titles."""
+
+    def of(found: Column) -> Column:
+        own = F.filter(F.transform(found, lambda x: F.when(~x["title"].isin(intro, *unnumbered), x["position"])), lambda p: p.isNotNull())
+        number = lambda x, ps: F.when(x["title"] == intro, 0).otherwise(F.nullif(F.array_position(ps, x["position"]), F.lit(0)))
+        rows = lambda ps: F.transform(found, lambda x: F.struct(x["position"].alias("position"), x["title"].alias("title"), F.concat(F.lit(f"{base}/r"), number(x, ps), F.lit("/")).alias("url")))
+        return F.filter(let(own, rows), lambda r: r["url"].isNotNull())
+
+    return let(chapters(c), of)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "articles", "portal", "search", "entities", "incremental", "feeds", "review", "mutations", "places", "answers", "workflow", "repairs", "flows")
+MODULES = ("listing", "joins", "reports", "ranking", "text", "web", "chunks", "dates", "markup", "articles", "portal", "search", "entities", "incremental", "feeds", "review", "mutations", "places", "answers", "workflow", "repairs", "flows", "references")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
