@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.captions import captions
 from ..functions.review import told_date
+from ..functions.text import let
 
 
 def best_fragment(hits: DataFrame) -> DataFrame:
@@ -58,3 +60,28 @@ def mentions_by_chapter(chapters: DataFrame, names: DataFrame) -> DataFrame:
     quoted = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.replace(F.col("name"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
     held = chapters.join(names.where("name <> ''").select("document_id", "name").distinct(), "document_id")
     return held.select("document_id", "position", "name", F.regexp_count("text", quoted).cast("long").alias("mentions")).where("mentions > 0")
+
+
+#: What each origin of a picture costs a document, and the most that all together do.
+ORIGIN_PENALTIES = {"own_or_private_archive": 0, "agency": 1, "creative_commons": 2, "public_domain": 2, "stock": 3, "illustrative": 3, "image_credit": 2, "other": 2}
+MOST_PENALTY = 15
+
+
+def photo_sources(documents: DataFrame, images: DataFrame) -> DataFrame:
+    """(document_id, stored, captions, penalty, by_category) of documents (document_id, text, url) from images (document_id, category).
+
+    Stored pictures tell the origin where a document has any, also if none of them has a category; the text's captions are read
+    only for documents without. by_category maps each category with a penalty to the sum of it; penalty is their sum, at most
+    MOST_PENALTY. Pictures are counted by document and category before they meet the documents, and texts never shuffle with them
+    but for that one join.
+    """
+    cost = F.create_map(*[F.lit(x) for pair in ORIGIN_PENALTIES.items() for x in pair])
+    counted = images.groupBy("document_id", "category").agg(F.count("*").alias("n"))
+    told = counted.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("category").isin(*ORIGIN_PENALTIES), F.struct("category", "n"))))).alias("of_images"))
+    kinds = F.array(*map(F.lit, sorted(ORIGIN_PENALTIES)))
+    here = F.transform(captions(F.coalesce("text", F.lit("")), F.coalesce("url", F.lit(""))), lambda r: r["category"])
+    of_text = let(here, lambda cs: F.map_from_entries(F.filter(F.transform(kinds, lambda k: F.struct(k.alias("category"), F.size(F.filter(cs, lambda c: c == k)).cast("long").alias("n"))), lambda e: e["n"] > 0)))
+    rows = documents.join(told, "document_id", "left").withColumn("found", F.when(F.col("of_images").isNotNull(), F.col("of_images")).otherwise(of_text))
+    costs = F.map_filter(F.transform_values("found", lambda k, n: n * cost[k]), lambda k, n: n > 0)
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("document_id", F.col("of_images").isNotNull().alias("stored"), total(F.col("found")).alias("captions"), F.least(F.lit(MOST_PENALTY), total(costs)).alias("penalty"), costs.alias("by_category"))

@@ -63,3 +63,33 @@ def first_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
 def prioritised(documents: DataFrame, order: list[Column], counts: DataFrame, key: str, n: int) -> DataFrame:
     """The next n documents: those of the sources with most documents first, then in the given order."""
     return documents.join(counts, key, "left").orderBy(F.desc(F.coalesce("trust", F.lit(0))), *order).limit(n)
+
+
+def replaced_vectors(vectors: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
+    """vectors (document_id, model, part, vector) without those of the pairs (document_id, model) of gone or fresh, and with fresh. A null model in gone drops a document's vectors of every model."""
+    every = gone.where("model IS NULL").select("document_id").distinct()
+    pairs = gone.select("document_id", "model").unionByName(fresh.select("document_id", "model")).distinct()
+    return vectors.join(every, "document_id", "left_anti").join(pairs, ["document_id", "model"], "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def without_stage(jobs: DataFrame, errors: list[str], waiting: str, next_state: str, review: str) -> DataFrame:
+    """jobs (state, error, ...) as they are once a stage is no more: failed ones with its errors go to review, its errors are NONE everywhere, and what waited for it goes on."""
+    hers = F.col("error").isin(*errors)
+    state = F.when((F.col("state") == "ERROR") & hers, review).when(F.col("state") == waiting, next_state).otherwise(F.col("state"))
+    return jobs.select(*[state.alias(c) if c == "state" else F.when(hers, "NONE").otherwise(F.col("error")).alias(c) if c == "error" else F.col(f"`{c}`") for c in jobs.columns])
+
+
+def marked_reviewed(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """lines (id, status, note, reference) after marks (id, status, note, reference): pending ones take a mark's values, others and those without a mark stay. A mark counts once; of several the least does.
+
+    Rejected marks, of lines that are missing or not pending, are rejected_marks().
+    """
+    one = marks.groupBy("id").agg(F.min(F.struct("status", "note", "reference")).alias("m"))
+    taken = F.col("m").isNotNull() & (F.col("status") == "pending")
+    return lines.join(one, "id", "left").select(*[F.when(taken, F.col(f"m.{c}")).otherwise(F.col(c)).alias(c) if c in ("status", "note", "reference") else F.col(f"`{c}`") for c in lines.columns])
+
+
+def rejected_marks(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """(id, reason) of marks that name no line (missing) or one that was decided before (its status)."""
+    told = marks.select("id").distinct().join(lines.select("id", F.col("status").alias("was")), "id", "left")
+    return told.where("was IS NULL OR was <> 'pending'").select("id", F.coalesce("was", F.lit("missing")).alias("reason"))

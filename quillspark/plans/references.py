@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import books, publications
+from ..functions import usage as U
+from ..operators import books, evidence, mutations, publications
 from .registry import query
 
 _CHUNKS = "SELECT page_id % 50 AS document_id, page_id AS chunk_id, page_id % 7 AS k, page_id % 20 AS d FROM pages"
@@ -129,3 +130,72 @@ def chapter_sources(t):
     text = F.concat(F.lit("start\n# Wstęp\n# A "), "doc_id", F.lit("\n# Bibliografia\n# B\n"))
     rows = t("documents").select("doc_id", F.explode(books.chapter_sources(text, "https://e.com", "Wstęp", ("(wstęp)", "Bibliografia"))).alias("c"))
     return rows.select("doc_id", "c.*")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_linenumber % 5 AS k, l_partkey AS p, l_suppkey AS s, CASE WHEN l_linenumber % 5 = 0 THEN l_tax::DECIMAL(12,4) END AS reported FROM lineitem),
+e AS (SELECT *, round(p::DECIMAL(12,0) * 2.5::DECIMAL(12,6) * 0.000001::DECIMAL(7,6), 10) + round(s::DECIMAL(12,0) * 0.333333::DECIMAL(12,6) * 0.000001::DECIMAL(7,6), 10) AS estimate FROM c)
+SELECT l_orderkey, l_linenumber, CASE WHEN reported IS NOT NULL THEN reported::DOUBLE WHEN k = 1 THEN estimate::DOUBLE END AS amount, CASE WHEN reported IS NOT NULL THEN 'EUR' WHEN k = 1 THEN 'USD' END AS currency, CASE WHEN reported IS NOT NULL THEN 'reported' WHEN k = 1 THEN 'estimated' ELSE 'unknown' END AS status, CASE WHEN k = 4 THEN 0 ELSE 1 END AS n_ids FROM e
+""")
+def usage_reported(t):
+    """Calls with a reported cost, an estimate, a mode without one, no currency, a negative count."""
+    k = F.col("l_linenumber") % 5
+    cost = U.call_cost(F.when(k == 0, F.col("l_tax").cast("decimal(12,4)")), F.lit("EUR"), F.when(k == 2, "subscription").otherwise("per_token"), F.lit("2.5").cast("decimal(12,6)"), F.lit("0.333333").cast("decimal(12,6)"), F.when(k == 3, "").otherwise("USD"), F.when(k == 4, -1).otherwise(F.col("l_partkey")), F.col("l_suppkey"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", U.usage_report(F.when(k != 4, F.col("l_orderkey")), F.col("l_partkey"), cost).alias("u"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("u.llm_cost_amount").cast("double").alias("amount"), F.col("u.llm_cost_currency").alias("currency"), F.col("u.llm_cost_status").alias("status"), F.size("u.usage_log_ids").alias("n_ids"))
+
+
+@query("""
+WITH i AS (SELECT l_orderkey % 97 AS document_id, CASE l_linenumber WHEN 1 THEN 'stock' WHEN 2 THEN 'agency' WHEN 3 THEN 'own_or_private_archive' WHEN 4 THEN NULL ELSE 'unheard' END AS category FROM lineitem WHERE l_orderkey % 97 < 60 AND (l_orderkey % 97 <> 7 OR l_linenumber > 3)),
+s AS (SELECT document_id, count(*) FILTER (category IN ('stock', 'agency', 'own_or_private_archive')) AS captions, 3 * count(*) FILTER (category = 'stock') AS stock, count(*) FILTER (category = 'agency') AS agency FROM i GROUP BY document_id)
+SELECT doc_id AS document_id, s.document_id IS NOT NULL AS stored, CASE WHEN s.document_id IS NOT NULL THEN captions WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS captions, least(15, CASE WHEN s.document_id IS NOT NULL THEN stock + agency WHEN doc_id % 2 = 0 THEN 4 ELSE 0 END) AS penalty,
+  CASE WHEN s.document_id IS NOT NULL THEN concat_ws(',', CASE WHEN agency > 0 THEN 'agency=' || agency END, CASE WHEN stock > 0 THEN 'stock=' || stock END) WHEN doc_id % 2 = 0 THEN 'agency=1,stock=3' ELSE '' END AS by_category
+FROM documents LEFT JOIN s ON s.document_id = doc_id
+""")
+def photo_sources(t):
+    """Lines of orders as pictures of the first documents; texts of the others end in captions, every second one."""
+    said = F.when(F.col("doc_id") % 2 == 0, "prose\nfot. Shutterstock\nA. Nowak / PAP").otherwise("prose")
+    images = t("lineitem").select((F.col("l_orderkey") % 97).alias("document_id"), F.element_at(F.array(F.lit("stock"), F.lit("agency"), F.lit("own_or_private_archive"), F.lit(None).cast("string"), F.lit("unheard")), F.least(F.col("l_linenumber").cast("int"), F.lit(5))).alias("category"), "l_linenumber")
+    images = images.where((F.col("document_id") < 60) & ((F.col("document_id") != 7) | (F.col("l_linenumber") > 3)))
+    out = evidence.photo_sources(t("documents").select(F.col("doc_id").alias("document_id"), said.alias("text"), F.lit("https://x.pl").alias("url")), images)
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("by_category")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.withColumn("by_category", told)
+
+
+@query("SELECT vec_id AS document_id, m AS model, CASE WHEN vec_id % 7 = 0 AND m = 'b' THEN 2 ELSE 1 END AS part FROM embeddings, (VALUES ('a'), ('b')) v(m) WHERE NOT (vec_id % 5 = 0) AND NOT (vec_id % 3 = 0 AND m = 'a') UNION ALL SELECT vec_id, 'b', 2 FROM embeddings WHERE vec_id % 35 = 0")
+def vectors_replaced(t):
+    """Vectors of two models: those of one model, or of all, go; others come anew."""
+    e = t("embeddings").select(F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"))
+    stored = e.withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    gone = e.where("document_id % 3 = 0").select("document_id", F.lit("a").alias("model")).unionByName(e.where("document_id % 5 = 0").select("document_id", F.lit(None).cast("string").alias("model")))
+    fresh = e.where("document_id % 7 = 0").select("document_id", F.lit("b").alias("model"), F.lit(2).alias("part"), "vector")
+    return mutations.replaced_vectors(stored.withColumn("part", F.lit(1)), gone, fresh).select("document_id", "model", "part")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 < 2 THEN 'REVIEW' WHEN o_orderstatus = 'P' THEN 'NEXT' WHEN o_orderstatus = 'F' THEN 'ERROR' ELSE 'DONE' END AS state, CASE o_orderkey % 3 WHEN 2 THEN 'OTHER' ELSE 'NONE' END AS error FROM orders
+""")
+def stage_removed(t):
+    """Orders as jobs, with two errors of a stage that is no more and one of another."""
+    state = F.when(F.col("o_orderstatus") == "F", "ERROR").when(F.col("o_orderstatus") == "P", "WAITING").otherwise("DONE")
+    error = F.element_at(F.array(F.lit("E0"), F.lit("E1"), F.lit("OTHER")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return mutations.without_stage(t("orders").select("o_orderkey", state.alias("state"), error.alias("error")), ["E0", "E1"], "WAITING", "NEXT", "REVIEW")
+
+
+_LINES = "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'ignored' ELSE 'rule_added' END AS status FROM orders"
+
+
+def _removed_lines(t):
+    lines = t("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "ignored").otherwise("rule_added").alias("status"), F.lit(None).cast("string").alias("note"), F.lit(None).cast("string").alias("reference"))
+    marks = t("orders").select(F.col("o_orderkey").alias("id"), F.lit("rule_added").alias("status"), F.lit("n").alias("note"), F.lit("rules:1").alias("reference")).where("id % 4 = 1")
+    return lines, marks.unionByName(marks).unionByName(marks.withColumn("id", -F.col("id")))
+
+
+@query(f"SELECT id, CASE WHEN status = 'pending' AND id % 4 = 1 THEN 'rule_added' ELSE status END AS status, CASE WHEN status = 'pending' AND id % 4 = 1 THEN 'rules:1' END AS reference FROM ({_LINES})")
+def lines_reviewed(t):
+    return mutations.marked_reviewed(*_removed_lines(t)).select("id", "status", "reference")
+
+
+@query(f"SELECT id, status AS reason FROM ({_LINES}) WHERE status <> 'pending' AND id % 4 = 1 UNION ALL SELECT -id, 'missing' FROM ({_LINES}) WHERE id % 4 = 1")
+def marks_rejected(t):
+    return mutations.rejected_marks(*_removed_lines(t))
