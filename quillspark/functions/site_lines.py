@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import extraction
 from .portal import section_marks
-from .text import let, strip
+from .text import SPACE_CHARS, let, strip
 from .urls import host
 
 Test = Callable[[Column], Column]
@@ -303,3 +303,31 @@ def known_markers(c: Column, n: Column) -> Column:
     orphan = r"\[img\d+(?::[^\]]*)?\]"
     stay = F.transform(F.regexp_extract_all(c, F.lit(orphan), F.lit(0)), lambda m: F.when(F.regexp_extract(m, r"(\d+)", 1).try_cast("int") < n, m).otherwise(""))
     return let(stay, lambda ms: F.array_join(F.flatten(F.transform(F.split(c, orphan), lambda b, i: F.array(b, F.coalesce(F.get(ms, i), F.lit(""))))), ""))
+
+
+#: Lines of one portal in markdown whose links were taken out before: whole, by their beginning, and, indented, by what follows the indent.
+NOISE_WHOLE = ("Kontynuuj czytanie od miejsca, w którym skończyłeś.", "## Zobacz również", " * Dużo czytania, a mało czasu? Sprawdź skrót artykułu")
+NOISE_BEGINS = ("**CZYTAJ WIĘCEJ:", "**Zobacz także:**", " * **Przeczytaj:**", " * **Przeczytaj także:**", " * **Czytaj więcej:**", " * **Zobacz:**", " * **Zobacz także:**", " * **Zobacz również:**")
+NOISE_INDENTED = ("* **Tekst publikujemy dzięki uprzejmości serwisu", "* link[0]:")
+VIDEO, ADVERT = "Dalszy ciąg materiału pod wideo", "reklama"
+
+
+def without_markdown_noise(c: Column) -> Column:
+    """Markdown without a portal's pointers to other articles, which leave empty lines, and without advertisement lines and the empty lines around them.
+
+    Bold lines and second-level headings get an empty line before them, but for the first line. A bold beginning of a list item goes,
+    the rest of the item stays. A last line end goes; null stays null.
+    """
+    any_of = lambda values, test: F.exists(F.array(*map(F.lit, values)), test)
+
+    def gone(x: Column) -> Column:
+        indented = x.rlike(r"^\s") & any_of(NOISE_INDENTED, lambda v: F.startswith(figures(F.ltrim(x, F.lit(SPACE_CHARS))), v))
+        return F.rtrim(x, F.lit(SPACE_CHARS)).isin(*NOISE_WHOLE) | any_of(NOISE_BEGINS, lambda v: F.startswith(x, v)) | indented | (strip(x) == VIDEO)
+
+    def line(x: Column, i: Column) -> Column:
+        apart = (i > 0) & ((F.startswith(x, F.lit("**")) & F.endswith(x, F.lit("**"))) | F.startswith(x, F.lit("## ")))
+        kept = F.when(gone(x), "").otherwise(F.regexp_replace(x, r"^\* \*\*.*?\*\*", ""))
+        return F.when(apart, F.array(F.lit(""), kept)).otherwise(F.array(kept))
+
+    text = F.array_join(F.flatten(F.transform(F.split(F.regexp_replace(c, r"\r?\n\z", ""), r"\r?\n"), line)), "\n")
+    return F.regexp_replace(F.regexp_replace(text, rf"(?m)^\s*{ADVERT}\s*\n", ""), rf"\s*{ADVERT}\s*\z", "")

@@ -97,3 +97,23 @@ def articles_cleaned(t):
     a = F.col("article")
     told = lambda c, *names: F.nullif(F.array_join(F.transform(c, lambda r: F.concat_ws("|", *[F.coalesce(r[n], F.lit("")) for n in names])), ";"), F.lit(""))
     return clean_articles(shaped(t, [r[:2] for r in _RAW], "url string, page string"), "page", "url").select("doc_id", a["text"].alias("body"), told(a["links"], "text", "url").alias("links"), told(a["images"], "alt", "url", "caption", "category").alias("images"), a["source"].alias("origin"))
+
+
+_MARKDOWN = [
+    ("Lead {}\n**Pogrubiona**\n## Tytuł\ntekst", "Lead {}\n\n**Pogrubiona**\n\n## Tytuł\ntekst"),
+    ("**Pierwsza {}**\ntekst", "**Pierwsza {}**\ntekst"),
+    ("a {}\n**CZYTAJ WIĘCEJ: x\n * **Zobacz również:** y\n * **Zobacz inne:** y\nb", "a {}\n\n\n * **Zobacz inne:** y\nb"),
+    ("a\n\n reklama \n\nb {}\nreklama sama\nc\nreklama\n", "a\nb {}\nreklama sama\nc"),
+    ("a\n* **Punkt {}** reszta\n  * link[12]: x\n* link[1]: x", "a\n reszta\n\n* link[1]: x"),
+    ("  Dalszy ciąg materiału pod wideo  \nb {}", "\nb {}"),
+    ("Kontynuuj czytanie od miejsca, w którym skończyłeś.\nx {}\n * Dużo czytania, a mało czasu? Sprawdź skrót artykułu  ", "\nx {}\n"),
+    ("   * **Tekst publikujemy dzięki uprzejmości serwisu {}\n* **Tekst publikujemy dzięki uprzejmości serwisu {}", "\n* **Tekst publikujemy dzięki uprzejmości serwisu {}"),
+    ("", ""),
+    (None, None),
+    ("x {}\n## Zobacz również\n**Zobacz także:** z", "x {}\n\n\n"),
+]
+
+
+@query(shaped_sql([r[1:] for r in _MARKDOWN], "body"))
+def markdown_noise(t):
+    return shaped(t, [r[:1] for r in _MARKDOWN], "page string").select("doc_id", S.without_markdown_noise(F.col("page")).alias("body"))
