@@ -20,9 +20,16 @@ def title_key(line: Column) -> Column:
     return F.lower(F.regexp_replace(plain, r"[\s-]+", " "))
 
 
+def is_number(line: Column) -> Column:
+    """A page number alone."""
+    return F.btrim(line).rlike(r"^\d{1,4}$")
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(book, page, line, text) of pages (book, page, text)."""
-    return pages.select("book", "page", F.posexplode(F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")).alias("line", "text"))
+    """(book, page, line, text, top) of pages (book, page, text); top: whether it is the page's first line but for blank ones and page numbers."""
+    split = pages.select("book", "page", F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n").alias("lines"))
+    first = F.array_position(F.transform("lines", lambda x: x.rlike(r"\S") & ~is_number(x)), F.lit(True)) - 1
+    return split.select("book", "page", first.alias("first"), F.posexplode("lines").alias("line", "text")).select("book", "page", "line", "text", (F.col("line") == F.col("first")).alias("top"))
 
 
 def is_capitals(line: Column) -> Column:
@@ -31,13 +38,13 @@ def is_capitals(line: Column) -> Column:
 
 
 def without_running_heads(lines: DataFrame, least_pages: int = 3) -> DataFrame:
-    """lines without page numbers and without the capital lines that stand on at least least_pages pages of their book.
+    """lines without page numbers and without the running heads: capital lines that stand on top of at least least_pages pages of their book.
 
-    Pages are counted over the whole corpus, pages of a line first, so a head of every page is spread over tasks.
+    Capital lines that repeat further down are text. Pages are counted over the whole corpus, pages of a line first, so a head of
+    every page is spread over tasks.
     """
-    number = F.btrim("text").rlike(r"^\d{1,4}$")
-    rest = lines.where(~number).withColumns({"capital": is_capitals(F.col("text")), "key": F.xxhash64(title_key(F.col("text")))})
-    heads = rest.where("capital").select("book", "page", "key").distinct().groupBy("book", "key").count().where(F.col("count") >= least_pages).select("book", "key", F.lit(True).alias("head"))
+    rest = lines.where(~is_number(F.col("text"))).withColumns({"capital": is_capitals(F.col("text")), "key": F.xxhash64(title_key(F.col("text")))})
+    heads = rest.where("capital AND top").select("book", "page", "key").distinct().groupBy("book", "key").count().where(F.col("count") >= least_pages).select("book", "key", F.lit(True).alias("head"))
     marked = rest.join(heads, ["book", "key"], "left")
     return marked.where(~(F.col("capital") & F.col("head").isNotNull())).select("book", "page", "line", "text")
 

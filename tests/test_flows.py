@@ -100,6 +100,14 @@ def test_book_with_chapters(spark):
     assert got == {1: f"# Wprowadzenie\n\n{body}\n\n biegło dalej\n\n# Energia — Atom\n\nTekst.\n\n## Inny\n\nWPROWADZENIE\n", 2: "SAMA RAZ\ntekst\n"}
 
 
+def test_repeated_capital_text_is_no_running_head(spark):
+    """A text in capitals that repeats from page to page stays; what stands on top of the pages goes."""
+    body = " ".join(["LOUD WORDS"] * 20)
+    pages = [(1, k, f"\n{k + 1}\nHEAD OF ALL\n\n{body}\n") for k in range(4)]
+    out = books.repair_books(spark.createDataFrame(pages, "book long, page long, text string"))
+    assert [r.text for r in out.collect()] == ["\n\n".join([body] * 4) + "\n"]
+
+
 def test_paragraphs_over_pages(spark):
     long = "a" * 90
     text = f"{long}\n\nbegan\n\n# {long}\n\nlower\n\n{long}.\n\nlower\n\n{long},\n\nUpper"
