@@ -22,10 +22,14 @@ def resolve(mentions: DataFrame, index: DataFrame) -> DataFrame:
     return joined.select("id", "name", F.when(n == 1, F.col("only")).alias("entity_id"), status.alias("status"))
 
 
+def name_words(c: Column) -> Column:
+    """The words of a name in lower case."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def trigrams(c: Column) -> Column:
     """The distinct trigrams of each word, padded by two spaces in front and one behind."""
-    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(name_words(c), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))))
 
 
@@ -52,6 +56,19 @@ def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return full.select("name", "other", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
+def most_similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, other): the most similar name on the right of each name on the left that has one, ties to the last in order.
+
+    Sets of trigrams don't tell 000100 from 001000. So names have to be alike by letters too: the share of the letters that
+    edits leave, words in order, has to reach the threshold as well, and the lesser of both measures counts.
+    """
+    sorted_words = lambda c: F.array_join(F.array_sort(name_words(F.col(c))), " ")
+    pairs = similar_names(left, right, least).withColumns({"a": sorted_words("name"), "b": sorted_words("other")})
+    left_over = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    alike = pairs.withColumn("alike", F.least("similarity", left_over)).where(F.col("alike") >= least)
+    return alike.groupBy("name").agg(F.max(F.struct("alike", "other"))["other"].alias("other"))
+
+
 def gazetteer(docs: DataFrame, names: list[str]) -> DataFrame:
     """(id, name, hits) of names that stand as whole words in a text; one alternation, so each text is read once."""
     import re

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..operators import mutations as M
-from ..operators.entities import similar_names
+from ..operators.entities import most_similar
 from .registry import query
 
 
@@ -173,6 +173,5 @@ def similar_tool(t):
     """The most similar known name above a threshold; none for names that resemble nothing."""
     name = F.when(F.col("c_custkey") % 2 == 0, F.regexp_replace("c_name", "^Customer", "SUPPLIER")).otherwise(F.concat(F.lit("unlike "), "c_custkey"))
     asked = t("customer").select("c_custkey", name.alias("name"))
-    pairs = similar_names(asked, t("supplier").select(F.col("s_name").alias("name")), 0.95)
-    best = pairs.groupBy("name").agg(F.max(F.struct("similarity", "other"))["other"].alias("similar"))
-    return asked.join(best, "name", "left").select("c_custkey", "similar")
+    best = most_similar(asked, t("supplier").select(F.col("s_name").alias("name")), 0.95)
+    return asked.join(best, "name", "left").select("c_custkey", F.col("other").alias("similar"))

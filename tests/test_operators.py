@@ -53,6 +53,22 @@ def test_resolution(spark):
     assert found == {1: (1, "resolved"), 2: (None, "ambiguous"), 3: (2, "resolved"), 4: (None, "unknown")}
 
 
+def test_most_similar_tells_numbers_of_the_same_trigrams(spark, tmp_path):
+    """Customer 1000 isn't supplier 100, though both numbers have the same trigrams; the order of words doesn't matter."""
+    import duckdb
+    from quillspark.plans import registry
+
+    spark.createDataFrame([(k, f"Customer#{k:09d}") for k in (100, 222, 1000, 2222, 3000)], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, f"Supplier#{k:09d}") for k in (100, 222, 300)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    for name in ("customer", "supplier"):
+        con.sql(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.sql(registry.oracle_sql()["similar_tool"]).fetchall()
+    assert sorted(map(str, map(tuple, registry.queries()["similar_tool"](spark, str(tmp_path)).collect()))) == sorted(map(str, want))
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert [tuple(r) for r in entities.most_similar(names("Studio, visual", "else"), names("Visual Studio", "Visual"), 0.9).collect()] == [("Studio, visual", "Visual Studio")]
+
+
 def test_similar_names_equals_brute_force(spark):
     names = ["anna nowak", "ana nowak", "jan kowalski", "jan kowalsky", "kowal", "", "x"]
     grams = lambda s: {("  " + w + " ")[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
