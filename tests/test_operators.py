@@ -69,6 +69,23 @@ def test_most_similar_tells_numbers_of_the_same_trigrams(spark, tmp_path):
     assert [tuple(r) for r in entities.most_similar(names("Studio, visual", "else"), names("Visual Studio", "Visual"), 0.9).collect()] == [("Studio, visual", "Visual Studio")]
 
 
+def test_names_in_long_texts(spark):
+    """Marks, runs that overlap, words cut by other signs; a text of 40,000 different words takes no time that grows with their square."""
+    import time
+
+    from quillspark.functions import places as P
+    from quillspark.operators.places import names_in
+
+    texts = ["Sudanie  Południowym", "Sudan. Południowy", "KOREĄ-\nPÓŁNOCNĄ", "do Polski,Ukrainy", "xpolska polskaé", "rpax RPA", "Nowa Zelandia", "papua nowa gwinea bissau", "õpolska", "_polska polska_", None, ""]
+    want = {0: {"Sudan", "Sudan Południowy"}, 1: {"Sudan"}, 2: {"Korea Północna"}, 3: {"Polska", "Ukraina"}, 4: {"Polska"}, 5: {"Republika Południowej Afryki"}, 6: {"Nowa Zelandia"}, 7: {"Papua-Nowa Gwinea", "Gwinea Bissau"}, 8: {"Polska"}, 9: {"Polska"}, 100: {"Polska"}}
+    rows = [*enumerate(texts), (100, " ".join(f"w{k}x" for k in range(40_000)) + " Polską")]
+    start, found = time.perf_counter(), {}
+    for r in names_in(spark.createDataFrame(rows, "id long, text string"), P.COUNTRIES).collect():
+        found.setdefault(r.id, set()).add(r.name)
+    assert time.perf_counter() - start < 30
+    assert {k: v - {"Gwinea"} for k, v in found.items()} == want
+
+
 def test_similar_names_equals_brute_force(spark):
     names = ["anna nowak", "ana nowak", "jan kowalski", "jan kowalsky", "kowal", "", "x"]
     grams = lambda s: {("  " + w + " ")[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
