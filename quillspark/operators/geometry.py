@@ -33,21 +33,38 @@ def distance_km(p: Column, a: Column, b: Column) -> Column:
     return F.sqrt(x * x + y * y) * DEGREE_KM
 
 
-def near_lines(points: DataFrame, lines: DataFrame, km: float, cell: float = 1.0) -> DataFrame:
-    """(id, line, km): points (id, point) within a distance of lines (line, points), with the least distance to each.
+def line_cells(lines: DataFrame, km: float, cell: float) -> DataFrame:
+    """(line, n, a, b, r, c): the cells of a grid of `cell` degrees in which a point within km of a segment can lie.
 
-    Points lie in one cell of a grid of `cell` degrees. A segment takes the cells of its box, widened by the distance as it is at its
-    latitude furthest from the equator, so cells are an equi-join and the distance is measured on what meets. Lines across the date line have to be cut there before.
+    In each row of the grid they are those along the part of the segment whose latitude is near enough, widened by the distance as it is at
+    the row's edge furthest from the equator; so a slanting segment takes a band of cells, not its box.
     """
-    lat = km / DEGREE_KM
+    lat = km / DEGREE_KM + 1e-6  # a little more, for rounding
     box = lambda f, c: f(F.col(f"a.{c}"), F.col(f"b.{c}"))
+    row = lambda x: F.floor(x / cell).cast("int")
+    within = lambda x, most: F.greatest(F.lit(-most), F.least(F.lit(most), x))
+    rows = F.sequence(row(within(box(F.least, "lat") - lat, 90.0)), row(within(box(F.greatest, "lat") + lat, 90.0)))
+    placed = segments(lines).withColumn("r", F.explode(rows)).withColumn("low", F.col("r") * cell)
+    rise = F.col("b.lat") - F.col("a.lat")
+    # where along the segment (0 to 1) the latitude comes within reach of the row
+    along = lambda edge: F.when(rise == 0, None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - F.col("a.lat")) / F.nullif(rise, F.lit(0.0)))))
+    placed = placed.withColumns({"u": F.coalesce(along(F.col("low") - lat), F.lit(0.0)), "v": F.coalesce(along(F.col("low") + cell + lat), F.lit(1.0))})
+    lon = lambda at: F.col("a.lon") + F.col(at) * (F.col("b.lon") - F.col("a.lon"))
+    furthest = F.greatest(F.abs("low"), F.abs(F.col("low") + cell))
     # at the poles a distance covers every longitude
-    furthest = F.least(F.greatest(F.abs(F.col("a.lat")), F.abs(F.col("b.lat"))) + lat, F.lit(89.0))
-    lon = F.lit(lat) / F.cos(F.radians(furthest))
+    wide = F.when(furthest < 90, F.least(F.lit(360.0), lat / F.cos(F.radians(furthest)) + 1e-6)).otherwise(360.0)
+    columns = F.sequence(row(within(F.least(lon("u"), lon("v")) - wide, 180.0)), row(within(F.greatest(lon("u"), lon("v")) + wide, 180.0)))
+    return placed.select("line", "n", "a", "b", "r", F.explode(columns).alias("c"))
+
+
+def near_lines(points: DataFrame, lines: DataFrame, km: float, cell: float = 1.0) -> DataFrame:
+    """(id, line, km): points (id, point) within a distance of lines (line, points), with the least distance to each.
+
+    Points lie in one cell of a grid of `cell` degrees, segments in the cells along them (`line_cells`), so cells are an equi-join and the
+    distance is measured on what meets. Lines across the date line have to be cut there before.
+    """
+    cells = line_cells(lines, km, cell)
     row = lambda x: F.floor(x / cell).cast("int")
-    rows = F.sequence(row(box(F.least, "lat") - lat), row(box(F.greatest, "lat") + lat))
-    columns = F.sequence(row(F.greatest(box(F.least, "lon") - lon, F.lit(-180.0))), row(F.least(box(F.greatest, "lon") + lon, F.lit(180.0))))
-    cells = segments(lines).withColumn("r", F.explode(rows)).withColumn("c", F.explode(columns))
     placed = points.where("point IS NOT NULL").withColumns({"r": row(F.col("point.lat")), "c": row(F.col("point.lon"))})
     met = placed.join(cells, ["r", "c"]).withColumn("km", distance_km(F.col("point"), F.col("a"), F.col("b")))
     return met.where(F.col("km") <= km).groupBy("id", "line").agg(F.min("km").alias("km"))

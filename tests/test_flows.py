@@ -247,6 +247,28 @@ def test_places_near_lines_without_cross_join(spark):
     assert sorted((r.id, r.line, round(r.km)) for r in out.collect()) == [(1, 1, 56), (1, 3, 0), (3, 2, 56)]
 
 
+def test_cells_follow_lines(spark):
+    """A slanting line takes cells along it, not its box; what is near by brute force is found, next to the poles too."""
+    import math
+
+    lines = {1: [(-60.0, -170.0), (65.0, 160.0)], 2: [(89.0, -170.0), (89.0, -150.0)], 3: [(10.0, 5.0), (10.0, 9.0)], 4: [(-89.9, 0.0), (-70.0, 1.0)], 5: [(40.0, 20.0), (-30.0, 20.0)]}
+    frame = spark.createDataFrame(list(lines.items()), "line long, points array<struct<lat double, lon double>>")
+    cells = {r.line: r["count"] for r in geometry.line_cells(frame, 150, 1.0).groupBy("line").count().collect()}
+    assert cells[1] < 2500  # the box has over 40,000
+    points = [((k * 7919 % 18000) / 100 - 90, (k * 104729 % 36000) / 100 - 180) for k in range(6000)] + [(89.95, 120.0), (-89.99, 179.0), (-90.0, -90.0), (10.0, 7.0)]
+
+    def km(p, a, b):
+        s = math.cos(math.radians(p[0]))
+        ax, ay, bx, by = (a[1] - p[1]) * s, a[0] - p[0], (b[1] - p[1]) * s, b[0] - p[0]
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(1.0, max(0.0, -(ax * (bx - ax) + ay * (by - ay)) / n)) if n > 0 else 0.0
+        return math.hypot(ax + t * (bx - ax), ay + t * (by - ay)) * geometry.DEGREE_KM
+
+    want = {(i, line) for i, p in enumerate(points) for line, (a, b) in lines.items() if km(p, a, b) <= 150}
+    asked = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, lat double, lon double").select("id", geometry.point(F.col("lat"), F.col("lon")).alias("point"))
+    assert {(r.id, r.line) for r in geometry.near_lines(asked, frame, 150).collect()} == want and (6000, 2) in want
+
+
 # files, filters
 
 
