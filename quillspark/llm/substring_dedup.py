@@ -87,8 +87,33 @@ def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.select("id", "version", place(F.col("start"), F.col("windows")).alias("at"), "key", "body", "more")
 
 
+def hot_windows(docs: DataFrame, keys: list[int], window: int, gram: int) -> DataFrame:
+    """(id, version, start, key, body) of the windows of the segments in docs (id, version, text) that have one of the keys; key and body are here the XXH128 of the window's words."""
+    wanted = np.array(sorted(keys), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch.column(2)):
+                text, start, count, key, _, _ = segments_of(block, window, gram)
+                at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                hot = wanted[at] == key
+                if not hot.any():
+                    continue
+                text, start, count = text[hot], start[hot], count[hot]
+                of = np.repeat(np.arange(len(count)), count)
+                text, start = text[of], start[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                data, first, last = joined_words(block)
+                begin = block.bounds[text] + start
+                digests = b"".join([xxhash.xxh128_digest(data[x:y]) for x, y in zip(first[begin].tolist(), last[begin + window - 1].tolist(), strict=True)])
+                body = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                row = pa.array(text + block.at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(body[:, 0].copy()), pa.array(body[:, 1].copy())], names=["id", "version", "start", "key", "body"])
+
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, version long, start int, key long, body long")
+
+
 def shard_texts(wanted: DataFrame, window: int) -> DataFrame:
-    """Cuts the wanted segments (ranges: key, start, windows, hot) out of the texts; hot ones as single hashed windows."""
+    """Cuts the wanted segments (ranges: key, start, windows) out of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,19 +122,14 @@ def shard_texts(wanted: DataFrame, window: int) -> DataFrame:
                 words = split(text)
                 for r in ranges:
                     s, n = r["start"], r["windows"]
-                    if not r["hot"]:
-                        out.append((k, s, n, r["key"], 0, b" ".join(words[s : s + n - 1 + window]).decode()))
-                        continue
-                    for i in range(s, s + n):
-                        digest = np.frombuffer(xxhash.xxh128_digest(b" ".join(words[i : i + window])), np.int64)
-                        out.append((k, i, 1, int(digest[0]), int(digest[1]), None))
+                    out.append((k, s, n, r["key"], b" ".join(words[s : s + n - 1 + window]).decode()))
             if out:
-                row, start, windows, key, body, piece = zip(*out, strict=True)
+                row, start, windows, key, piece = zip(*out, strict=True)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(key, pa.int64()), pa.array(body, pa.int64()), pa.array(piece, pa.string())], names=["id", "version", "start", "windows", "key", "body", "piece"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(key, pa.int64()), pa.array(piece, pa.string())], names=["id", "version", "start", "windows", "key", "piece"])
 
     kind = dict(wanted.dtypes)["id"]
-    return wanted.select("id", "version", "text", "ranges").mapInArrow(run, f"id {kind}, version long, start int, windows int, key long, body long, piece string")
+    return wanted.select("id", "version", "text", "ranges").mapInArrow(run, f"id {kind}, version long, start int, windows int, key long, piece string")
 
 
 def search_shards(pieces: DataFrame, window: int, shard_words: int) -> DataFrame:
@@ -198,7 +218,8 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, shard_wor
     Keys that occur once are done. Of the others, equal segments (by the XXH128 of their words) collapse to their first instance; later instances go
     whole. Keys with several contents are dealt to shards, where an FM-index over words as they are finds the windows of one segment
     in another. Keys of over hot_contents contents are too large for a shard: their windows are hashed one by one and grouped
-    instead, which is exact too. Counts and firsts are taken in two steps (partial, then final), so common passages
+    instead, which is exact too. These keys, at most one in hot_contents of all segments, are told to the tasks that hash, so that texts
+    are shuffled by document once (one exchange serves both joins), with hot keys or without. Counts and firsts are taken in two steps (partial, then final), so common passages
     and copies are spread over all tasks, and a shard stays bounded.
 
     Returns a row per input row: id_col, n_words, n_removed, kept_text (kept words joined by a space). Null text has no words.
@@ -218,20 +239,20 @@ def dedup_substrings(docs: DataFrame, window: int = 20, gram: int = 5, shard_wor
     firsts = stored(again.groupBy("key", "body", "more").agg(F.count("*").alias("times"), F.min(first).alias("first")))
     copies = spread(again.join(firsts.where("times > 1").select("key", "body", "more", "first"), ["key", "body", "more"]).where(~first.eqNullSafe(F.col("first"))))
     contents = firsts.groupBy("key").count().where(F.col("count") > 1).select("key", (F.col("count") > hot_contents).alias("hot"))
-    unsure = firsts.join(contents, "key").select("first.id", "first.version", "first.at", "key", "hot")
-    range_of = F.struct("key", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"), "hot")
+    hot = [r["key"] for r in contents.where("hot").select("key").toLocalIterator()]
+    unsure = firsts.join(contents.where("NOT hot"), "key").select("first.id", "first.version", "first.at", "key")
+    range_of = F.struct("key", start_of(F.col("at")).alias("start"), windows_of(F.col("at")).alias("windows"))
     wanted = unsure.groupBy("id", "version").agg(F.collect_list(range_of).alias("ranges"))
     rename = lambda df: df.withColumnsRenamed({"id": "i", "version": "v"})
     same = texts["id"].eqNullSafe(F.col("i")) & (texts["version"] == F.col("v"))
     pieces = shard_texts(texts.join(rename(wanted), same).select("id", "version", "text", "ranges"), window)
     late = copies
-    if not contents.where("hot").isEmpty():
-        pieces = stored(pieces)
-        single = pieces.where(F.col("piece").isNull())
+    if hot:
+        single = stored(hot_windows(texts, hot, window, gram))
         where = F.struct("id", "version", "start")
-        earliest = single.groupBy("key", "body").agg(F.min(where).alias("first"))
-        late = late.unionByName(single.join(earliest, ["key", "body"]).where(~where.eqNullSafe(F.col("first"))).select("id", "version", "start", "windows"))
-    searched = search_shards(pieces.where(F.col("piece").isNotNull()), window, shard_words)
+        earliest = single.groupBy("key", "body").agg(F.min(where).alias("first"), F.count("*").alias("times")).where("times > 1").select("key", "body", "first")
+        late = late.unionByName(single.join(earliest, ["key", "body"]).where(~where.eqNullSafe(F.col("first"))).select("id", "version", "start", F.lit(1).alias("windows")))
+    searched = search_shards(pieces, window, shard_words)
     ranges = late.unionByName(searched).groupBy("id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("ranges"))
     joined = texts.join(rename(ranges), same, "left").select("id", "text", "ranges")
     return remove_ranges(joined, window).withColumnRenamed("id", id_col)

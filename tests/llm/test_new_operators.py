@@ -336,3 +336,19 @@ def test_prose_that_mentions_stock_phrases(spark):
     assert all(out[k].kept for k in range(40))
     assert sum(len(out[k].clean_text.split()) for k in range(0, 40, 2)) == sum(len(docs[k].split()) for k in range(0, 40, 2))
     assert out[100].clean_text == "\n".join(["Home", " ".join(words), "About"])
+
+
+def test_texts_are_shuffled_once_with_hot_keys(spark, tmp_path):
+    """Keys of many contents don't make substring dedup shuffle the texts a second time."""
+    r = random.Random(8)
+    phrase, rare = (" ".join(f"{name}{k}" for k in range(24)) for name in ("common", "rare"))
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + f" {phrase} {i} tail" + f" {rare} {i} end" * (i > 37)) for i in range(40)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = substring_dedup.dedup_substrings(spark.read.parquet(str(tmp_path / "docs")), hot_contents=2)
+        removed = {row["doc_id"]: row["n_removed"] for row in out.collect()}
+        assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert removed == {i: 24 * (i > 0) + 25 * (i > 38) for i in range(40)}  # "tail" stands before the rare passage in both
