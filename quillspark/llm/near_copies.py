@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands propose candidates, exact shingle sets decide."""
+"""Near copies by Jaccard similarity of word shingles: SimHash fingerprints over an anchor cover and MinHash bands propose candidates, exact shingle sets decide."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keeps_names, stored
-from .simhash import components, rows_of_least
+from .simhash import BITS, components, near_links, rows_of_least
 from .word_hashes import mixed, run_hashes, word_blocks
 
 #: Bands and rows of the MinHash signature. A pair of similarity 0.8 shares a band with probability 0.99996.
@@ -65,8 +65,28 @@ def bands(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.T.copy().view(np.int64)
 
 
+def prints(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of each set: a bit is set where over half of the members have it set; zero for none."""
+    out = np.zeros(len(bounds) - 1, np.int64)
+    k = 0
+    while k < len(out):  # some sets at a time, so that bits stay few; of a larger set by itself they are summed in parts
+        to = max(k + 1, int(np.searchsorted(bounds, bounds[k] + _BLOCK, "right")) - 1)
+        ones = np.zeros((to - k, BITS), np.int64)
+        of = np.repeat(np.arange(to - k), np.diff(bounds[k : to + 1]))
+        own = values[bounds[k] : bounds[to]]
+        for at in range(0, len(own), _BLOCK):
+            here = of[at : at + _BLOCK]
+            first = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+            bits = np.unpackbits(np.ascontiguousarray(own[at : at + _BLOCK]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[here[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        most = ones * 2 > np.diff(bounds[k : to + 1])[:, None]
+        out[k:to] = np.packbits(most, axis=1, bitorder="little").view(np.int64)[:, 0]
+        k = to
+    return out
+
+
 def shingle_rows(docs: DataFrame, words: int, sets: bool) -> DataFrame:
-    """(id, h, node, size) of docs (id, h, text), with the band hashes or, if asked for, the shingle sets themselves; node is a hash of the set."""
+    """(id, h, node, size, fp) of docs (id, h, text), with the band hashes or, if asked for, the shingle sets themselves; node is a hash of the set, fp its fingerprint (zero with sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +100,9 @@ def shingle_rows(docs: DataFrame, words: int, sets: bool) -> DataFrame:
                 else:
                     flat = bands(values, bounds)
                     last = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), batch.column(1).slice(at, len(sizes)), pa.array(nodes), pa.array(sizes), last.cast(pa.binary()) if sets else last], names=["id", "h", "node", "size", "last"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), batch.column(1).slice(at, len(sizes)), pa.array(nodes), pa.array(sizes), pa.array(np.zeros(len(sizes), np.int64) if sets else prints(values, bounds)), last.cast(pa.binary()) if sets else last], names=["id", "h", "node", "size", "fp", "last"])
 
-    rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, h long, node long, size long, last {'binary' if sets else 'array<long>'}")
+    rows = docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, h long, node long, size long, fp long, last {'binary' if sets else 'array<long>'}")
     return rows.withColumnRenamed("last", "own" if sets else "bands")
 
 
@@ -165,10 +185,21 @@ def labels(links: DataFrame) -> DataFrame:
     return components(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+def print_pairs(nodes: DataFrame, similarity: float, distance: int = 2) -> DataFrame:
+    """(a, b) of nodes (node, size, fp) whose fingerprints are within `distance` bits by op3's anchor cover: equal fingerprints with their head, heads along the links that span the others."""
+    some = nodes.where("size > 0")
+    heads = stored(some.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")))
+    equal = some.join(heads.where("n > 1"), "fp").select("head", F.struct("node", "size").alias("other"))
+    side = lambda n: heads.select(F.col("fp").alias(n), F.col("head").alias(f"{n}_head"))
+    linked = near_links(heads.select("fp"), distance).join(side("a"), "a").join(side("b"), "b").select(F.col("a_head").alias("head"), F.col("b_head").alias("other"))
+    near = F.least("head.size", "other.size") >= F.lit(similarity) * F.greatest("head.size", "other.size")
+    return equal.unionByName(linked).where((F.col("head.node") != F.col("other.node")) & near).select(F.least("head.node", "other.node").alias("a"), F.greatest("head.node", "other.node").alias("b"))
+
+
 def similar_components(nodes: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """(node, root) of the components of all pairs that share a band and are similar; nodes without links are absent.
+    """(node, root) of the components of all pairs that share a band, or that fingerprints link, and are similar; nodes without links are absent.
 
-    nodes: node, size, bands; sets_of(nodes) gives (node, own). First every member of a bucket is compared with the bucket's head,
+    nodes: node, size, fp, bands; sets_of(nodes) gives (node, own). First what the fingerprints link is compared, and every member of a bucket is compared with the bucket's head,
     which makes one component of most groups of copies. Buckets that hold several components then are compared whole, in
     blocks, so no pair that could join two components is left out.
     """
@@ -177,7 +208,7 @@ def similar_components(nodes: DataFrame, sets_of, similarity: float) -> DataFram
     member = stored(placed.join(heads, "band"))
     # sizes that differ too much rule out similarity without a look at the sets
     near = F.least("size", "head.size") >= F.lit(similarity) * F.greatest("size", "head.size")
-    pairs = stored(member.where((F.col("node") != F.col("head.node")) & near).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
+    pairs = stored(member.where((F.col("node") != F.col("head.node")) & near).select(F.col("head.node").alias("a"), F.col("node").alias("b")).union(print_pairs(nodes, similarity)).distinct())
     links = stored(similar(pairs, sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), similarity))
     found = cut(labels(links))
     rooted = member.where("n > 2").select("band", "node", "size").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -195,8 +226,8 @@ def first_of_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.
     """One row of each group of near copies, with all its columns: a row of the smallest id in it, null ids last.
 
     Texts are sets of hashed `words`-word shingles (A-Z lower-cased, ASCII white space). Two are near copies if their exact Jaccard
-    similarity is at least `similarity`; groups are the components of such pairs. Candidates come from MinHash bands, which find
-    a pair of similarity 0.8 with probability 0.99996 and more similar ones more surely. Texts without words are copies of
+    similarity is at least `similarity`; groups are the components of such pairs. Candidates come from SimHash fingerprints
+    within 2 bits, through the anchor cover of op3, and, as these reach few pairs of similarity 0.8, from MinHash bands, which find a pair of similarity 0.8 with probability 0.99996 and more similar ones more surely. Texts without words are copies of
     each other. Rows are told apart by id and text, so null and repeated ids stand for as many documents as they have texts.
     An empty table gives an empty table.
     """
@@ -204,7 +235,7 @@ def first_of_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     rows = stored(shingle_rows(texts, words, sets=False).withColumn("id", F.col("id").cast(kind)))
     # copies have one set, so one row of each is enough
-    least = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    least = stored(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """The sets of some nodes, from the texts of their first documents."""
@@ -212,5 +243,5 @@ def first_of_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.
         chosen = texts.join(wanted, texts["id"].eqNullSafe(F.col("i")) & (texts["h"] == F.col("k")), "left_semi")
         return stored(shingle_rows(chosen, words, sets=True).dropDuplicates(["node"]).select("node", "own"))
 
-    found = similar_components(least.select("node", "size", "bands"), sets_of, similarity)
+    found = similar_components(least.select("node", "size", "fp", "bands"), sets_of, similarity)
     return rows_of_least(docs, cut(least.select("node", "least")), found, "node", id_col, text_col)

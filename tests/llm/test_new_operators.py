@@ -352,3 +352,15 @@ def test_texts_are_shuffled_once_with_hot_keys(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert removed == {i: 24 * (i > 0) + 25 * (i > 38) for i in range(40)}  # "tail" stands before the rare passage in both
+
+
+def test_fingerprints_propose_near_copies(spark):
+    """Fingerprints equal brute force over blocks of any size, and link sets within two bits by the anchor cover."""
+    r = np.random.default_rng(3)
+    sets = [r.integers(0, 1 << 63, n, np.uint64) for n in (0, 1, 5, 70_000, 300, 0, 40)]
+    found = near_copies.prints(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+    bit = lambda x, b: int(((x >> np.uint64(b)) & np.uint64(1)).sum()) * 2 > len(x)
+    assert [int(f) & (1 << 64) - 1 for f in found] == [sum(bit(x, b) << b for b in range(64)) for x in sets]
+    nodes = spark.createDataFrame([(1, 10, 0), (2, 10, 3), (3, 10, 3), (4, 10, 1 << 40 | 1 << 50 | 7), (5, 0, 0), (6, 100, 1)], "node long, size long, fp long")
+    assert {(x.a, x.b) for x in near_copies.print_pairs(nodes, 0.8).collect()} >= {(2, 3)}
+    assert all(4 not in (x.a, x.b) and 5 not in (x.a, x.b) and 6 not in (x.a, x.b) for x in near_copies.print_pairs(nodes, 0.8).collect())
