@@ -33,27 +33,45 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substr(p, i, F.lit(3))))))
 
 
-def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Pairs of distinct names (column name on both sides) by trigram similarity, shared / (all of both).
+def subsets(c: Column, k: int) -> Column:
+    """All choices of k items of an array of strings, in its order."""
+    some = F.aggregate(c, F.array(F.array().cast("array<string>")), lambda acc, x: F.concat(acc, F.transform(F.filter(acc, lambda s: F.size(s) < k), lambda s: F.concat(s, F.array(x)))))
+    return F.filter(some, lambda s: F.size(s) == k)
+
+
+def sharing_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(name, other): all pairs of distinct names (column name on both sides) that can have the similarity `least` (above 0), and few others.
+
+    Such pairs share a key. A set of n trigrams lacks at most e = (1 - least) * n of them in its partner. Where not even the
+    largest possible partner, of n / least, leaves room for one, the sets are equal: the key is the whole set. Other sets share
+    k trigrams among the rarest e + k of each (prefix filtering), and each choice of k of these is a key. One trigram alone stands
+    in a fixed share of all names, so k is greater where the threshold is high and choices are few.
 
-    Prefix filtering: two sets of that similarity share a trigram among the rarest n - ceil(least * n) + 1 of each, so only
-    those are joined, and common trigrams don't pair everything with everything. Names are deduplicated first; candidates
-    are then compared whole.
+    Joins here are by merge: Spark takes rows of exploded arrays for no more than the names' own, and would send them through the driver.
     """
-    l = left.select("name").distinct().withColumn("g", trigrams(F.col("name")))  # noqa: E741
-    r = right.select(F.col("name").alias("other")).distinct().withColumn("h", trigrams(F.col("other")))
-    grams = l.select(F.explode("g").alias("gram")).union(r.select(F.explode("h").alias("gram"))).groupBy("gram").agg(F.count("*").alias("df"))
+    k = 3 if least >= 0.9 else 2 if least >= 0.75 else 1
+    whole = lambda x: F.floor(x + F.lit(1e-9))
+    n, lacks = F.size("grams"), lambda size: whole(size * F.lit(1 - least))
+    equal = lacks(whole(n / F.lit(least))) == 0
+    sides = [df.select("name").distinct().withColumn("grams", trigrams(F.col("name"))).where(n > 0) for df in (left, right)]
+    rows = [df.where(~equal).select("name", F.explode("grams").alias("gram")) for df in sides]
+    found = rows[0].union(rows[1]).groupBy("gram").agg(F.count("*").alias("found"))
 
-    def prefix(df: DataFrame, name: str, items: str) -> DataFrame:
-        rows = df.select(name, F.size(items).alias("n"), F.explode(items).alias("gram")).join(grams, "gram")
-        rank = F.row_number().over(Window.partitionBy(name).orderBy("df", "gram"))
-        return rows.withColumn("k", rank).where(F.col("k") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select(name, "gram")
+    def keys(df: DataFrame, exploded: DataFrame) -> DataFrame:
+        by_rarity = exploded.join(found.hint("merge"), "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("found", "gram")))["gram"].alias("grams"))
+        chosen = by_rarity.select("name", F.explode(subsets(F.slice("grams", 1, (lacks(n) + k).cast("int")), k)).alias("key"))
+        return df.where(equal).select("name", F.array_sort("grams").alias("key")).union(chosen).select("name", F.xxhash64("key").alias("key"))
 
-    pairs = prefix(l, "name", "g").join(prefix(r, "other", "h"), "gram").select("name", "other").distinct()
-    full = pairs.join(l, "name").join(r, "other")
+    others = keys(sides[1], rows[1]).withColumnRenamed("name", "other")
+    return keys(sides[0], rows[0]).join(others.hint("merge"), "key").select("name", "other")
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Pairs of distinct names (column name on both sides) by trigram similarity, shared / (all of both); names that share keys are compared whole."""
+    pairs = sharing_names(left, right, least).distinct().withColumns({"g": trigrams(F.col("name")), "h": trigrams(F.col("other"))})
     shared = F.size(F.array_intersect("g", "h"))
     similarity = shared / (F.size("g") + F.size("h") - shared)
-    return full.select("name", "other", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    return pairs.select("name", "other", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def most_similar(left: DataFrame, right: DataFrame, least: float) -> DataFrame:

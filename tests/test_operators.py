@@ -1,6 +1,7 @@
 """Relational, entity, incremental and model operators; plans; streams."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -94,6 +95,29 @@ def test_similar_names_equals_brute_force(spark):
     assert {(r["name"], r["other"]) for r in entities.similar_names(df, df, 0.5).collect()} == want
 
 
+def test_similar_names_of_any_threshold(spark):
+    """Thresholds from keys of single trigrams to whole sets; 0.56 * 25 is above 14 in doubles, yet 14 of 25 reach 0.56."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdx") for _ in range(rnd.choice([1, 2, 5, 9, 14])))
+    some = [word() for _ in range(12)]
+    names = {" ".join(rnd.choices(some, k=rnd.choice([1, 2, 4, 6]))) for _ in range(40)}
+    left = sorted(names | {"abcdefghijklm nopqrstuvw", "", "-"})
+    right = sorted({n[: (k := rnd.randrange(len(n)))] + rnd.choice(["", "b", " "]) + n[k:] for n in names} | set(left[:9]) | {"abcdefghijklm", "  "})
+    grams = lambda s: {("  " + w + " ")[i : i + 3] for w in s.replace("-", " ").split() for i in range(len(w) + 1)}
+    a, b = (spark.createDataFrame([(n,) for n in x], "name string") for x in (left, right))
+    for least in (0.5, 0.56, 0.8, 0.9, 0.95):
+        want = {(x, y) for x in left for y in right if grams(x) and grams(y) and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) >= least}
+        assert sorted((r["name"], r["other"]) for r in entities.similar_names(a, b, least).collect()) == sorted(want), least
+
+
+def test_names_compared_grow_with_the_names(spark):
+    """Numbered names, whose trigrams all stand in many of them, are compared with few others, and none is sent through the driver."""
+    for first in (0, 123_456_000):
+        names = spark.range(first, first + 4000).select(F.format_string("Supplier#%09d", "id").alias("name"))
+        assert "Broadcast" not in plan(entities.similar_names(names, names, 0.95))
+        assert 4000 <= entities.sharing_names(names, names, 0.95).distinct().count() < 3 * 4000
+
+
 def test_recover_and_claim(spark):
     now = F.lit(datetime.datetime(2024, 1, 1, 12))
     old, new = datetime.datetime(2024, 1, 1, 11), datetime.datetime(2024, 1, 1, 11, 59)
